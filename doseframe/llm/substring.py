@@ -88,8 +88,9 @@ def repeated_candidates(docs: DataFrame, seen: object, n: int, gram: int) -> Dat
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "a long, b long, doc_id long, text_key long, start int, again boolean")
 
 
-def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sketch.ROWS, bits: int = sketch.BITS) -> DataFrame:
-    """docs' doc_id, with n_words, n_removed, spans (start, end of the removed runs of words) and kept_text.
+def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sketch.ROWS, bits: int = sketch.BITS, carry: bool = False) -> DataFrame:
+    """docs' doc_id, with n_words, n_removed, spans (start, end of the removed runs of words) and kept_text; with
+    carry, also all of docs' columns in one struct, carried.
 
     Words are runs of bytes other than ASCII white space, unchanged. A word goes if a window of n words over it also
     starts earlier: in a smaller doc_id, or before it in the same text. Windows are judged on the input. kept_text joins
@@ -100,7 +101,7 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
     The sketch has rows * 2**bits bits. When the input outgrows it, more unrepeated windows reach the exact grouping;
     the result stays the same.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole, docs = docs, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = sketched(docs, n, gram, rows, bits)
     seen = docs.sparkSession.sparkContext.broadcast(sketch.Sketch(sketch.merged(parts, 2, bits), rows, bits))
     found = written(repeated_candidates(docs, seen, n, gram), "substring-windows")
@@ -127,8 +128,10 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
                 gone.append(sum(j - i for i, j in runs))
                 spans.append([{"start": i, "end": j} for i, j in runs])
                 kept.append(b" ".join(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*([batch.column(3)] if carry else []), batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())], names=[*(["carried"] if carry else []), "doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    both = keyed.join(marks, keyed.doc_id.eqNullSafe(marks.doc_id) & (keyed.text_key == marks.text_key), "left").select(keyed.doc_id, "text", "starts")
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
+    row = [F.struct(*[F.col(f"`{c}`") for c in whole.columns]).alias("carried")] if carry else []
+    keyed = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), *row)
+    both = keyed.join(marks, keyed.doc_id.eqNullSafe(marks.doc_id) & (keyed.text_key == marks.text_key), "left").select(keyed.doc_id, "text", "starts", *(["carried"] if carry else []))
+    carried = f"carried {keyed.schema['carried'].dataType.simpleString()}, " if carry else ""
+    return both.mapInArrow(run, carried + "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
