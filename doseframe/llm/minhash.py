@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +107,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def links_of(values: list[np.ndarray], owners: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among sets, as few as join what they connect; sets of one owner count as connected already."""
+    rows = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    seen, at, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    rows, at = rows[shared], at[shared]
+    same = np.zeros((len(values), len(values)), np.float32)
+    place = np.cumsum(n > 1) - 1
+    at = place[at]
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        part = (at >= low) & (at < low + 4096)
+        x = np.zeros((len(values), 4096), np.float32)
+        x[rows[part], at[part] - low] = 1
+        same += x @ x.T
+    sizes = np.array([len(v) for v in values], np.float32)
+    linked = (same > 0) & (100 * same >= percent * (sizes[:, None] + sizes[None, :] - same))
+    out, todo = [], np.ones(len(values), bool)
+    for root in range(len(values)):
+        if not todo[root]:
+            continue
+        todo[root], queue = False, [root]
+        while queue:
+            i = queue.pop()
+            for j in np.flatnonzero(linked[i] & todo):
+                out.append((i, int(j)))
+                queue.append(int(j))
+            todo[queue] = False
+    return [(i, j) for i, j in out if owners[i] != owners[j]]
+
+
+#: Shingles of one block, about; a task holds the documents of two blocks.
+BLOCK = 200_000
+
+
+def linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within each group `first` of members (first, node, size, component), over pairs of blocks."""
+    blocks = members.groupBy("first").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    whole = dealt.join(sets.withColumnRenamed("id", "node"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = links_of([np.frombuffer(v, np.uint64) for v in pdf["shingles"]], pdf["component"].to_numpy(), percent)
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype="int64")
+
+    keys = [F.col("first"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    return whole.select(*keys, "node", "component", "shingles").groupBy("first", "low", "high").applyInPandas(run, "a long, b long").where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of at least percent / 100 on `words`-word shingles.
 
@@ -117,8 +167,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     null doc_id has a null component_id and isn't kept. An empty table gives an empty table.
 
     Of the documents in a band's bucket, all are held against the smallest one. Where a bucket then still has more than
-    one component, all outside its largest component are held against the bucket's other components, so no proposed pair
-    stays untested unless its ends are already connected. A pair at the threshold is proposed by at least one of 30
+    one component, the documents of all buckets with that smallest one are held against each other in pairs of blocks
+    of bounded size, so no proposed pair stays untested; a block pair sends back no more links than join its documents. A pair at the threshold is proposed by at least one of 30
     bands of 4 coordinates with a probability over 1 - 2e-7 at 0.80 and over 1 - 1e-9 at 0.85.
     """
     sig = written(signatures(docs, words, bands, rows), "minhash-signatures")
@@ -134,13 +184,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     comps = connected_components(links, "minhash-star")
 
     placed = written(members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-placed")
-    mixed = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
-    open_ = placed.join(mixed, "key").where("node <> first")  # the first was held against all
-    x = open_.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"))
-    y = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), "main")
-    fits = F.expr(f"ca <> cb and (a < b or cb = main) and 100L * least(sa, sb) >= {percent}L * greatest(sa, sb)")
-    rest = x.join(y, "key").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(confirmed(rest, sets, percent), "minhash-more")
+    mixed = placed.groupBy("key").agg(F.first("first").alias("first"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("first").distinct()
+    rest = placed.where("node <> first").select("first", "node", "size", "component").distinct().join(mixed, "first", "left_semi")
+    more = written(linked_in_blocks(rest, sets, percent), "minhash-more")
     final = comps if more.isEmpty() else connected_components(links.union(more), "minhash-all")
 
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(copies, ["set_a", "set_b", "n_shingles"], "left").withColumn("node", F.coalesce("node", "doc_id"))
