@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseframe.llm import decontaminate, language, minhash, mpeg, packing, substring
+from doseframe.llm import decontaminate, language, lm, minhash, mpeg, packing, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model(table(spark, sf_dir, "documents"))
+
+
 def op9_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mpeg.text_media(table(spark, sf_dir, "documents"))
     feature = F.format_string("mpeg1-layer3;hz=%d;frames=%d;samples=%d;variable=%s;checksums=%d/%d;payload=%s;table=%s;skipped=%d", "sample_rate", "frames", "samples", "variable", "checksums_good", "checksums", "payload_good", "table_good", "skipped")
@@ -44,7 +48,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op4_language_id, op6_substring_dedup, op9_mpeg_media, op10_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op4_language_id, op6_substring_dedup, op8_gru_scores, op9_mpeg_media, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
