@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseframe.llm import sketch
-from doseframe.llm.base import WordHashes, gram_hashes, texts_as_bytes, window_sums, written
+from doseframe.llm.base import WordHashes, gram_hashes, mix, texts_as_bytes, window_sums
 
 CHUNK = 1 << 20  # bytes of text that are hashed together
 
@@ -67,25 +68,88 @@ def sketched(docs: DataFrame, n: int, gram: int, rows: int, bits: int) -> DataFr
     return docs.select("text").mapInArrow(run, sketch.CELLS)
 
 
+#: Windows that a task compares among themselves before it sends on the rest.
+HELD = 1_500_000
+
+
+def packed_place(check: np.ndarray, start: np.ndarray, n: np.ndarray, sure: bool) -> np.ndarray:
+    """24 bits of the text's hash, 27 of the first window's start, 12 of the number of consecutive windows, 1: surely repeated."""
+    return (check.astype(np.int64) << 40 | start.astype(np.int64) << 13 | n.astype(np.int64) << 1 | int(sure)).astype(np.int64)
+
+
+def unpacked_place(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return places >> 40 & 0xFFFFFF, places >> 13 & 0x7FFFFFF, places >> 1 & 0xFFF
+
+
+def text_check(text: bytes | None) -> int:
+    return xxhash.xxh64_intdigest(text or b"") & 0xFFFFFF
+
+
+def local_repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each window also stands earlier among these: in a smaller document, or before it in its own row."""
+    order = np.lexsort((start, row, doc, b, a))
+    a, b, doc, row = a[order], b[order], doc[order], row[order]
+    same = np.zeros(len(a), bool)
+    same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    least = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))]
+    out = np.zeros(len(a), bool)
+    out[order] = doc > least
+    inner = same.copy()
+    inner[1:] &= row[1:] == row[:-1]
+    out[order] |= inner
+    return out
+
+
 def repeated_candidates(docs: DataFrame, seen: object, n: int, gram: int) -> DataFrame:
-    """One row per window estimated repeated: its hashes, document and start; again: it starts earlier in the same text."""
+    """Windows estimated repeated. Those that stand earlier among the task's own are sent as runs that are sure, the
+    others one by one with their hashes (a, b), so that of a window in many documents each task sends one."""
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        a, b, doc, null, row, start, check = (np.concatenate(x) for x in zip(*held, strict=True))
+        again = local_repeats(a, b, np.where(null, 0, doc), row, start)
+        one = ~again & ~null
+        k = np.flatnonzero(again)
+        k = k[np.lexsort((start[k], row[k]))]
+        new = np.ones(len(k), bool)
+        new[1:] = (row[k][1:] != row[k][:-1]) | (start[k][1:] != start[k][:-1] + 1)
+        first = np.flatnonzero(new)
+        inside = np.arange(len(k)) - (first[np.cumsum(new) - 1] if len(k) else 0)
+        new |= inside % 4000 == 0
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(k)))
+        k = k[first]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([a[one], a[k]]).view(np.int64)), pa.array(np.concatenate([b[one], mix(row[k].astype(np.uint64))]).view(np.int64)),
+                pa.array(np.concatenate([doc[one], doc[k]]), mask=np.concatenate([null[one], null[k]])),
+                pa.array(np.concatenate([packed_place(check[one], start[one], np.ones(one.sum(), np.int64), False), packed_place(check[k], start[k], length, True)])),
+            ],
+            names=["a", "b", "doc_id", "place"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found = WordHashes(), seen.value
-        for batch, words in chunks(batches, 2):
+        hashes, found, held, size, rows = WordHashes(), seen.value, [], 0, 0
+        for batch, words in chunks(batches, 1):
             doc, start, _, least, ids = windows(words, n, gram, hashes)
             hit = found.reached(least)
             doc, start = doc[hit], start[hit]
-            if not len(doc):
-                continue
-            a, b = (window_sums(ids, n, step)[start] for step in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
-            order = np.lexsort((start, a, doc))
-            again = np.zeros(len(doc), bool)
-            again[order[1:]] = (doc[order][1:] == doc[order][:-1]) & (a[order][1:] == a[order][:-1])
-            begins = np.cumsum([0] + [len(w) for w in words])
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array((start - begins[doc]).astype(np.int32)), pa.array(again)], names=["a", "b", "doc_id", "text_key", "start", "again"])
+            if len(doc):
+                a, b = (window_sums(ids, n, step)[start] for step in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
+                begins = np.cumsum([0] + [len(w) for w in words])
+                keys, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                alone = null[doc]
+                b = np.where(alone, b ^ mix((rows + doc).astype(np.uint64)), b)  # meets no other row's
+                check = np.array([text_check(t) for t in texts_as_bytes(batch.column(1))])
+                held.append((a, b, keys[doc], alone, rows + doc, start - begins[doc], check[doc]))
+                size += len(doc)
+            rows += len(words)
+            if size > HELD:
+                yield from sent(held)
+                held, size = [], 0
+        if held:
+            yield from sent(held)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "a long, b long, doc_id long, text_key long, start int, again boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "a long, b long, doc_id long, place long")
 
 
 def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sketch.ROWS, bits: int = sketch.BITS, carry: bool = False) -> DataFrame:
@@ -104,24 +168,24 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
     whole, docs = docs, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = sketched(docs, n, gram, rows, bits)
     seen = docs.sparkSession.sparkContext.broadcast(sketch.Sketch(sketch.merged(parts, 2, bits), rows, bits))
-    found = written(repeated_candidates(docs, seen, n, gram), "substring-windows")
-    first = written(found.where("not again and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "substring-first")
-    later = found.where("not again").join(first, ["a", "b"]).where("doc_id > first")
-    marks = later.select("doc_id", "text_key", "start").union(found.where("again").select("doc_id", "text_key", "start"))
-    # positions of one text: no more than it has words
-    marks = marks.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    found = repeated_candidates(docs, seen, n, gram)
+    earliest = F.min("doc_id").over(Window.partitionBy("a", "b"))
+    marks = found.withColumn("first", earliest).where("place & 1 = 1 or doc_id > first")
+    # places of one document: no more than it has words
+    marks = marks.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("place").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in chunks(batches, 1):
             total, gone, spans, kept = [], [], [], []
-            for own, starts in zip(words, batch.column(2), strict=True):
+            for own, text, places in zip(words, texts_as_bytes(batch.column(1)), batch.column(2), strict=True):
                 total.append(len(own))
                 runs = []
-                if starts.is_valid:
+                if places.is_valid:
+                    check, at, count = unpacked_place(np.asarray(places.values))
+                    mine = check == text_check(text)
                     edge = np.zeros(len(own) + 1, np.int32)
-                    at = np.asarray(starts.values)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n, -1)
+                    np.add.at(edge, at[mine], 1)
+                    np.add.at(edge, (at + count + n - 1)[mine], -1)
                     cover = np.cumsum(edge[:-1]) > 0
                     runs = np.flatnonzero(np.diff(cover.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
                     own = [w for w, c in zip(own, cover, strict=True) if not c]
@@ -131,7 +195,7 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
             yield pa.RecordBatch.from_arrays([*([batch.column(3)] if carry else []), batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())], names=[*(["carried"] if carry else []), "doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
     row = [F.struct(*[F.col(f"`{c}`") for c in whole.columns]).alias("carried")] if carry else []
-    keyed = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), *row)
-    both = keyed.join(marks, keyed.doc_id.eqNullSafe(marks.doc_id) & (keyed.text_key == marks.text_key), "left").select(keyed.doc_id, "text", "starts", *(["carried"] if carry else []))
+    keyed = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row)
+    both = keyed.join(marks, keyed.doc_id.eqNullSafe(marks.id), "left").select("doc_id", "text", "places", *(["carried"] if carry else []))
     carried = f"carried {keyed.schema['carried'].dataType.simpleString()}, " if carry else ""
     return both.mapInArrow(run, carried + "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
