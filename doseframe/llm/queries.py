@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseframe.llm import decontaminate, language, lm, minhash, mpeg, packing, substring
+from doseframe.llm import decontaminate, language, lm, minhash, mpeg, packing, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judged(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("log_odds", 6).alias("log_odds"), "words")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -48,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op4_language_id, op6_substring_dedup, op8_gru_scores, op9_mpeg_media, op10_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op4_language_id, op5_url_filter, op6_substring_dedup, op8_gru_scores, op9_mpeg_media, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
