@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseframe.llm import decontaminate, language, lm, minhash, mpeg, packing, substring, urls
+from doseframe.llm import decontaminate, html, language, lm, minhash, mpeg, packing, quality, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.round("p_quality", 6).alias("p_quality"), F.round("p_toxic", 6).alias("p_toxic"), "kept")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.main_texts(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_model(table(spark, sf_dir, "documents"))
 
@@ -53,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op4_language_id, op5_url_filter, op6_substring_dedup, op8_gru_scores, op9_mpeg_media, op10_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_quality_classifier, op4_language_id, op5_url_filter, op6_substring_dedup, op7_html_text, op8_gru_scores, op9_mpeg_media, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
