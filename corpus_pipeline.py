@@ -11,7 +11,7 @@ from doseframe.llm.base import written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that are rejected, and null and letterless texts, go."""
-    return language.accepted(docs, language.fit(docs.where(~language.held_out()).select("text", "lang")))
+    return language.accepted(docs, language.fit(docs.where(~language.held_out()).select("doc_id", "text", "lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,17 +104,17 @@ class Centroids:
 
 
 def fit(labelled: DataFrame, clusters: int = 4, sample: int = SAMPLE, strictness: float = 0.6) -> Centroids:
-    """Centroids from text and lang of labelled, where neither is null.
+    """Centroids from text and lang of labelled (doc_id, text, lang), where neither is null.
 
     Document frequencies cover all its rows. The centroids are found on at most about `sample` texts of each language
-    (those whose hash falls in that share), in one group per language. A cosine is too small below `strictness` times
+    (those whose doc_id's hash falls in that share, so that copies of one text are drawn apart), in one group per language. A cosine is too small below `strictness` times
     the 1 % quantile of the sample's texts of the same logarithmic length, or of all shorter ones where those are few."""
-    texts = labelled.where("text is not null and lang is not null").select("text", "lang")
+    texts = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     df, n = document_frequencies(texts.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
     each = labelled.where("text is not null and lang is not null").groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
     share = F.lit(float(sample)) / F.col("n")
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = texts.join(each, F.col("lang") == F.col("l")).where(draw < share).select("lang", "text")
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,5 +169,5 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def language_id(docs: DataFrame) -> DataFrame:
     """Fits on the rows of docs that aren't held out and identifies all: doc_id, held_out, lang_pred, score, rejected."""
-    model = fit(docs.where(~held_out()).select("text", "lang"))
+    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     return identified(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from doseframe.llm.base import texts_as_bytes, written
 
 EDGES = b"".join(bytes([i]) for i in range(33, 127) if not chr(i).isalnum())
-#: Features that count: seen in so many labelled documents and so many standard errors from no association; how many, at most.
-LEAST, SIGMAS, MOST = 8, 4.0, 20_000
+#: Features that count: seen in so many labelled documents, so many standard errors from no association, and with such a
+#: log likelihood ratio at least (weak ones are many, depend on each other, and add up); how many, at most.
+LEAST, SIGMAS, RATIO, MOST = 8, 4.0, 1.5, 20_000
 TARGETS = ("quality", "toxic")
+#: Probabilities from which a document is good and toxic; the latter is high, as a clean document wrongly called toxic is lost.
+GOOD, TOXIC = 0.5, 0.9
 
 
 def style(text: bytes, words: list[bytes]) -> list[str]:
@@ -82,7 +85,7 @@ def weights(counts: DataFrame, docs: int, good: dict[str, int]) -> dict[str, tup
         share = F.col("n") / F.lit(float(max(1, docs)))
         sigma = (F.col(t) - F.lit(float(yes)) * share) / F.sqrt(F.lit(float(max(1, yes * no))) / F.lit(float(max(1, docs))) * share * F.greatest(1 - share, F.lit(1e-9)) + 1e-9)
         ratio = F.log((F.col(t) + 0.5) / F.lit(yes + 1.0)) - F.log((F.col("n") - F.col(t) + 0.5) / F.lit(no + 1.0))
-        rows = counts.where((F.col("n") >= LEAST) & (F.abs(sigma) >= SIGMAS)).select("feature", ratio.alias("w"), F.abs(sigma).alias("s")).orderBy(F.desc("s"), "feature").limit(MOST).toArrow()
+        rows = counts.where((F.col("n") >= LEAST) & (F.abs(sigma) >= SIGMAS) & (F.abs(ratio) >= RATIO)).select("feature", ratio.alias("w"), F.abs(sigma).alias("s")).orderBy(F.desc("s"), "feature").limit(MOST).toArrow()
         keys, w = rows.column("feature").to_numpy().view(np.uint64), rows.column("w").to_numpy()
         order = np.argsort(keys)
         out[t] = keys[order], w[order]
@@ -107,7 +110,7 @@ def logit(p: Column) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_quality, p_toxic and kept (good and not toxic, by odds) for every row of docs.
+    """doc_id, p_quality, p_toxic and kept (good and not toxic, by GOOD and TOXIC) for every row of docs.
 
     Learns from all rows of docs (doc_id, text, lang, source) with a label (doc_id, quality, toxic). Null labels, label rows
     without their document and all but one of several labels of a document are left out (of these the least good, most toxic
@@ -151,5 +154,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = out.join(shifts, ["source", "lang"], "left")
     odds = {t: F.lit(math.log(prior[t] / (1 - prior[t])) if total else 0.0) + F.col(t) + F.coalesce(f"{t}_shift", f"{t}_host", F.lit(0.0)) for t in TARGETS}
     p = {t: 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds[t])))) for t in TARGETS}
-    kept = (odds["quality"] >= 0) & (odds["toxic"] < 0) if total else F.lit(True)
+    kept = (p["quality"] >= GOOD) & (p["toxic"] < TOXIC) if total else F.lit(True)
     return out.select("doc_id", p["quality"].alias("p_quality"), p["toxic"].alias("p_toxic"), kept.alias("kept"))
