@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doseframe.plans import features, records, splits
+
+PLANS = (records, splits, features)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for plan in PLANS for f in plan.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for plan in PLANS for name, text in plan.SQL.items()}
