@@ -46,10 +46,9 @@ def baseline_predictions(frame: DataFrame, target: str, head: str, model: str =
     for (name,) in rows.select("task_head").distinct().orderBy("task_head").collect():  # few heads; each fit is distributed
         own = rows.where(F.col("task_head") == name)
         train = own.where("split_part = 'train'")
-        features = array_to_vector(TabularPreprocessor().fit(train, columns).features()).alias("_features")
-        keys = ["split_part", "task_head", "y_true"]
-        fitted = regressor(model, seed, size).fit(train.select(*keys, features))
-        out.append(fitted.transform(own.select(*keys, features)).select(F.lit(split_name).alias("split_name"), *keys, "y_pred"))
+        ready = TabularPreprocessor().fit(train, columns).transform(own, "_array").select("split_part", "task_head", "y_true", array_to_vector("_array").alias("_features")).persist()
+        fitted = regressor(model, seed, size).fit(ready.where("split_part = 'train'"))
+        out.append(fitted.transform(ready).select(F.lit(split_name).alias("split_name"), "split_part", "task_head", "y_true", "y_pred"))
     if not out:
         raise ValueError("no head has training and other rows")
     return reduce(DataFrame.unionByName, out)

@@ -140,14 +140,21 @@ def category_gate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return values.groupBy("column").agg(F.count_distinct("value").alias("categories")).withColumn("encoding", F.when(F.col("categories") <= ONE_HOT_MOST, "one_hot").otherwise("hashed"))
 
 
+def hot(position: Column, size: int) -> Column:
+    """size numbers, 1 at the position (from 0), all 0 where that is null or negative."""
+    zeros = F.array_repeat(F.lit(0.0), size)
+    made = F.concat(F.array_repeat(F.lit(0.0), position), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.lit(size - 1) - position))
+    return F.when(position >= 0, made).otherwise(zeros)
+
+
 def hashed(c: str, bins: int = HASH_BINS) -> Column:
     """One-hot bins of column=value; all 0 for a missing one."""
-    own = hash_bin(F.concat(F.lit(f"{c}="), category(c)), bins)
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: ((k == own) & (category(c) != "<missing>")).cast("double"))
+    return hot(hash_bin(F.concat(F.lit(f"{c}="), filled(c)), bins).cast("int"), bins)
 
 
 def one_hot_of(c: str, categories: Sequence[str]) -> Column:
-    return F.array(*[(category(c) == k).cast("double") for k in categories])
+    """One-hot of the listed categories; all 0 for any other."""
+    return hot((F.array_position(F.array(*map(F.lit, categories)), category(c)) - 1).cast("int"), len(categories))
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -169,7 +176,16 @@ class TabularPreprocessor:
         self.categories = {c: found[c] for c in few}
         return self
 
-    def features(self) -> Column:
-        parts = [F.array(F.coalesce(number(c), F.lit(float(self.fill[c] or 0.0)))) for c in self.numeric]
-        parts += [one_hot_of(c, k) for c, k in self.categories.items()] + [hashed(c) for c in self.hashed]
-        return F.concat(*parts) if parts else F.array(F.lit(1.0))
+    def transform(self, df: DataFrame, name: str = "features") -> DataFrame:
+        """df with the features as one array; each category and its place is computed once, in a column of its own."""
+        names = [*self.categories, *self.hashed]
+        rows = df.withColumns({f"_c{i}": filled(c) for i, c in enumerate(names)} | {f"_n{i}": number(c) for i, c in enumerate(self.numeric)})
+        places, parts = {}, [F.array(F.coalesce(f"_n{i}", F.lit(float(self.fill[c] or 0.0)))) for i, c in enumerate(self.numeric)]
+        for i, c in enumerate(names):
+            if c in self.categories:
+                places[f"_p{i}"] = (F.array_position(F.array(*map(F.lit, self.categories[c])), F.coalesce(f"_c{i}", F.lit("<missing>"))) - 1).cast("int")
+            else:
+                places[f"_p{i}"] = hash_bin(F.concat(F.lit(f"{c}="), F.col(f"_c{i}")), HASH_BINS).cast("int")
+            parts.append(hot(F.col(f"_p{i}"), len(self.categories.get(c, ())) or HASH_BINS))
+        made = F.concat(*parts) if parts else F.array(F.lit(1.0))
+        return (rows.withColumns(places) if places else rows).withColumn(name, made).select(*df.columns, name)

@@ -157,7 +157,7 @@ def tabular_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features fitted on the training rows of one head, of all its rows."""
     frame = model_frame(spark, sf_dir).where("task_head = 'ECx_Mortality'")
     made = encode.TabularPreprocessor().fit(frame.where("split_part = 'train'"), ["molecular_weight_g_mol", "media_type", "dtxsid"])
-    return frame.select("result_id", joined(made.features()).alias("v"))
+    return made.transform(frame, "v").select("result_id", joined("v").alias("v"))
 
 
 FEATURES = ["cas_number", "molecular_weight_g_mol", "media_type", "organism_lifestage", "exposure_duration_mean_h", "endpoint"]
@@ -173,7 +173,7 @@ def predictions(spark: SparkSession, sf_dir: str, model: str, size: int) -> Data
 
 
 def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions(spark, sf_dir, "rf", 10)
+    return predictions(spark, sf_dir, "rf", 5)
 
 
 def report_of(spark: SparkSession, sf_dir: str, model: str, size: int) -> DataFrame:
@@ -183,11 +183,11 @@ def report_of(spark: SparkSession, sf_dir: str, model: str, size: int) -> DataFr
 
 
 def baseline_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_of(spark, sf_dir, "random_forest", 20)
+    return report_of(spark, sf_dir, "random_forest", 10)
 
 
 def baseline_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_of(spark, sf_dir, "hist-gradient-boosting", 5)
+    return report_of(spark, sf_dir, "hist-gradient-boosting", 3)
 
 
 RULES = "SELECT DISTINCT organism_lifestage, media_type, 12.0 + length(organism_lifestage) AS rule_duration FROM tests WHERE organism_lifestage = 'AD' AND media_type IN ('FW', 'SW')"
@@ -251,7 +251,7 @@ SQL = {
     "standardizer_params": f"SELECT i AS position, round(avg(x), 6) AS mean, round(greatest(stddev_pop(x), 1e-8), 6) AS scale FROM ({EMB}) GROUP BY 1",
     "standardized_vectors": f"SELECT vec_id, i AS position, round((x - avg(x) OVER (PARTITION BY i)) / greatest(stddev_pop(x) OVER (PARTITION BY i), 1e-8), 5) AS z FROM ({EMB})",
     "vector_width_audit": "SELECT min(len(embedding)) AS least, max(len(embedding)) AS most, min(len(embedding)) = max(len(embedding)) AS equal FROM embeddings",
-    "coerce_vectors": f"""SELECT event_id, coalesce({M}, '') AS v FROM (SELECT event_id, CASE WHEN t LIKE '{{%' THEN [CAST(json_extract_string(t, '$.k') AS DOUBLE)] ELSE list_transform(list_filter(regexp_split_to_array(replace(replace(coalesce(t, ''), '[', ''), ']', ''), '[,;|]'), z -> trim(z) <> ''), z -> CAST(trim(z) AS DOUBLE)) END AS l FROM (SELECT event_id, {TEXTS} AS t FROM events)),
+    "coerce_vectors": f"""SELECT event_id, coalesce({M}, '') AS v FROM (SELECT event_id, CASE WHEN t LIKE '{{%' THEN [CAST(json_extract_string(t, '$.k') AS DOUBLE)] ELSE list_transform(list_filter(regexp_split_to_array(replace(replace(coalesce(t, ''), '[', ''), ']', ''), '[,;|]'), lambda z: trim(z) <> ''), lambda z: CAST(trim(z) AS DOUBLE)) END AS l FROM (SELECT event_id, {TEXTS} AS t FROM events)),
 LATERAL (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) GROUP BY event_id UNION ALL SELECT event_id, '' FROM events WHERE event_id % 6 IN (4, 5)""",
     "fixed_width_vectors": f"SELECT vec_id, {M} AS v FROM (SELECT vec_id, CASE WHEN i <= vec_id % 7 THEN x ELSE 0 END AS x, i FROM ({EMB}) WHERE i < 4) GROUP BY 1",
     "json_int_map": "SELECT event_id, CAST(len(json_keys(props)) AS BIGINT) AS n, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
@@ -270,7 +270,7 @@ LATERAL (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) GROUP BY event_i
     "column_kinds": sql.over("wide", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN {c in encode.CATEGORICAL_HINTS} OR count({sql.number(f'CAST({c} AS VARCHAR)')}) = 0 THEN 'categorical' ELSE 'numeric' END AS kind FROM wide" for c in KINDS)),
     "category_gate": sql.over("wide", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {x}) AS categories, CASE WHEN count(DISTINCT {x}) <= 30 THEN 'one_hot' ELSE 'hashed' END AS encoding FROM wide" for c in ("cas_number", "media_type", "organism_lifestage", "dtxsid") for x in [sql.category(f"CAST({c} AS VARCHAR)")])),
     "tabular_features": sql.over(
-        "task", "SELECT result_id, concat_ws(',', CAST(CAST(round(coalesce(molecular_weight_g_mol, md) * 1e6) AS BIGINT) AS VARCHAR), list_aggregate(list_transform(cats, c -> CASE WHEN c = mt THEN '1000000' ELSE '0' END), 'string_agg', ','), " + HOT.format(HASHED, "") + ") AS v FROM fit, s",
+        "task", "SELECT result_id, concat_ws(',', CAST(CAST(round(coalesce(molecular_weight_g_mol, md) * 1e6) AS BIGINT) AS VARCHAR), list_aggregate(list_transform(cats, lambda c: CASE WHEN c = mt THEN '1000000' ELSE '0' END), 'string_agg', ','), " + HOT.format(HASHED, "") + ") AS v FROM fit, s",
         **ASSIGNED, fit=FIT, s="SELECT median(molecular_weight_g_mol) AS md, list(DISTINCT mt ORDER BY mt) AS cats FROM fit WHERE split_part = 'train'",
     ),
     "duration_fill": sql.over(
