@@ -95,6 +95,20 @@ def window_sums(words: np.ndarray, n: int, step: int) -> np.ndarray:
         width *= 2
 
 
+#: Rows and bytes of text that a task hands to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_ROWS rows and BATCH_BYTES at most, however long its texts are."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not 0 < int(now.removesuffix("b")) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 of a text column without decoding it."""
     return column.cast(pa.binary()).to_pylist()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.llm import sketch
-from doseframe.llm.base import WordHashes, gram_hashes, texts_as_bytes, window_sums, written
+from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, texts_as_bytes, window_sums, written
 from doseframe.llm.substring import chunks
 
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
@@ -110,7 +110,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
     A filter of 2**27 bits, whatever the number of items, is broadcast to pass over grams that no item has; the join
     on the grams themselves then finds the pairs.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct()
     seeds = written(item_seeds(items, least), "decontaminate-seeds")
 

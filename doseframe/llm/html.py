@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import written
+from doseframe.llm.base import in_small_batches, written
 from doseframe.llm.urls import url_parts
 
 # Element names of HTML, and words in names of elements that aren't the article's own.
@@ -203,7 +203,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     read as far as it goes. Repeated rows are extracted each; an empty table gives an empty one; other columns are not
     looked at."""
     host = url_parts(F.coalesce("url", F.lit("")))[0]
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page_key"))
+    rows = in_small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page_key"))
     slots = written(templates(rows), "html-templates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

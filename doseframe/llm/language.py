@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doseframe.llm.base import in_small_batches
+
 DIM = 4096
 #: ASCII letters stay, as do the bytes of other letters; all else is one space.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -109,7 +111,7 @@ def fit(labelled: DataFrame, clusters: int = 4, sample: int = SAMPLE, strictness
     Document frequencies cover all its rows. The centroids are found on at most about `sample` texts of each language
     (those whose doc_id's hash falls in that share, so that copies of one text are drawn apart), in one group per language. A cosine is too small below `strictness` times
     the 1 % quantile of the sample's texts of the same logarithmic length, or of all shorter ones where those are few."""
-    texts = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    texts = in_small_batches(labelled).where("text is not null and lang is not null").select("doc_id", "text", "lang")
     df, n = document_frequencies(texts.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
     each = labelled.where("text is not null and lang is not null").groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import WordHashes, connected_components, gram_hashes, mix, texts_as_bytes, written
+from doseframe.llm.base import WordHashes, connected_components, gram_hashes, in_small_batches, mix, texts_as_bytes, written
 
 PLACES = 1 << 22
 BANDS, ROWS = 30, 4
@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     of bounded size, so no proposed pair stays untested; a block pair sends back no more links than join its documents. A pair at the threshold is proposed by at least one of 30
     bands of 4 coordinates with a probability over 1 - 2e-7 at 0.80 and over 1 - 1e-9 at 0.85.
     """
+    docs = in_small_batches(docs)
     sig = written(signatures(docs, words, bands, rows), "minhash-signatures")
     copies = written(sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n"), "minhash-copies")
     known = sig.where("doc_id is not null").join(copies, ["set_a", "set_b", "n_shingles"], "left").withColumn("node", F.coalesce("node", "doc_id"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import texts_as_bytes, written
+from doseframe.llm.base import in_small_batches, texts_as_bytes, written
 
 UNIT = 192
 # Fixed values of the MPEG audio header: kbit/s by (version 1?, layer), Hz by version bits, samples a frame.
@@ -185,7 +185,7 @@ def media(docs: DataFrame) -> DataFrame:
                 raw = [t or b"" for t in texts_as_bytes(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array([stored(t.ljust(max(1, -(-len(t) // UNIT)) * UNIT)) for t in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEDIA)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEDIA)
 
 
 def read_media(streams: DataFrame) -> DataFrame:

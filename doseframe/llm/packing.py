@@ -9,68 +9,109 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doseframe.llm.base import written
+from doseframe.llm.base import in_small_batches, written
 
 CAPACITY = 2048
 CELL_ROWS, CELL_BYTES = 100_000, 64 << 20
 #: A single space between characters that aren't white space: no token of a byte-level BPE with this kind of
 #: pre-tokenizer goes over the place before it, so what lies between such places can be encoded by itself.
 GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Texts with other spaces than such, as far as RE2 can tell; they are split by GAP.
+OTHER_SPACES = r"^\s|\s$| \s|\s |[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-class PieceEncoder:
-    """Ids of whole texts from the remembered ids of their space-separated parts; each unknown part is encoded once."""
+@lru_cache(1)
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable bytes of Latin-1 as they are, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
 
-    def __init__(self, path: str, end: int, most: int = 500_000):
+
+class PartEncoder:
+    """Ids of whole texts from the remembered ids of their space-separated parts; a part that is not known is encoded once."""
+
+    def __init__(self, path: str, end: int, most: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        if tokenizer.normalizer is not None:
+            raise ValueError("a tokenizer without a normalizer is needed: it must not look beyond a part")
+        self.cut, self.tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize  # special tokens' strings are ordinary text
+        self.pattern, self.letters = regex.compile(public_tokenizers.PATTERN), byte_letters()
         self.end, self.most = end, most
         self.clear()
 
     def clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
+        self.at: dict[str, int] = {}
+        self.small: dict[str, list[int]] = {}
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, first: set[str], later: set[str]) -> None:
-        if len(self.first) + len(self.later) > self.most:
-            self.clear()
-        first, later = ([x for x in new if x not in known] for new, known in ((first, self.first), (later, self.later)))
-        parts = first + [" " + x for x in later]
-        if not parts:
-            return
-        n = len(self.starts)
-        self.first.update(zip(first, range(n, n + len(first)), strict=True))
-        self.later.update(zip(later, range(n + len(first), n + len(parts)), strict=True))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def ids(self, part: str) -> list[int]:
+        """A part's ids. Words of letters are one token of the pre-tokenizer; printable ASCII needs its pattern alone."""
+        word = part[1:] if part[:1] == " " else part
+        if word.isalpha():
+            return [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        if part.isascii() and part.isprintable():
+            tokens = [t.replace(" ", "\u0120") for t in self.pattern.findall(part)]
+        else:
+            tokens = [t for t, _ in self.cut(part)]
+        out: list[int] = []
+        for token in tokens:
+            if (found := self.small.get(token)) is None:
+                self.small[token] = found = [t.id for t in self.tokenize(token)]
+            out += found
+        return out
+
+    def places(self, words: list[str], first: bool) -> np.ndarray:
+        """Where the ids of distinct words stand in flat, by starts and sizes; first: they begin their text, without a space."""
+        keys = ["\n" + w for w in words] if first else words
+        at = list(map(self.at.get, keys))
+        new = [i for i, x in enumerate(at) if x is None]
+        n, found = len(self.starts), [self.ids(words[i] if first else " " + words[i]) for i in new]
+        for k, i in enumerate(new):
+            self.at[keys[i]] = at[i] = n + k
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
+        self.sizes = np.concatenate([self.sizes, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        return np.array(at, np.int64)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
-        split = [GAP.split(t) if t else [] for t in texts]
-        self.learn({x[0] for x in split if x}, {p for x in split for p in x[1:]})
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, OTHER_SPACES)
+        plain = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        coded = plain.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(plain).to_numpy())]).astype(np.int64)
+        slow = {i: GAP.split(texts[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        if len(self.at) > self.most or len(self.small) > self.most:
+            self.clear()
+        at = self.places(words, False)[codes]
+        at[starts[:-1]] = self.places([words[c] for c in codes[starts[:-1]]], True)
         out = []
-        for x in split:
-            at = np.fromiter(map(self.later.__getitem__, x[1:]), np.int64, len(x) - 1) if len(x) > 1 else np.zeros(0, np.int64)
-            at = np.concatenate([[self.first[x[0]]], at]) if x else at
-            sizes = self.sizes[at]
+        for i in range(len(texts)):
+            own = at[starts[i] : starts[i + 1]]
+            if i in slow:
+                own = np.concatenate([self.places(slow[i][:1], True), self.places(slow[i][1:], False)])
+            sizes = self.sizes[own]
             total = int(sizes.sum())
             ids = np.full(total + 1, self.end, np.uint32)
-            ids[:total] = self.flat[np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
+            ids[:total] = self.flat[np.repeat(self.starts[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
             out.append(ids)
         return out
 
@@ -82,12 +123,12 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceEncoder(path, end)
+        encode = PartEncoder(path, end)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for k in range(0, whole.num_rows, 1500):
+                batch = whole.slice(k, 1500)
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for i, ids in enumerate(encode(batch.column(1).to_pylist())):
+                for i, ids in enumerate(encode(batch.column(1))):
                     cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
                     for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         for column, v in zip(rows, (i, p, a, b - a, ids[a:b].tobytes()), strict=True):
@@ -95,7 +136,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
                 at, piece, start, length, raw = rows
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

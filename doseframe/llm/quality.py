@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import texts_as_bytes, written
+from doseframe.llm.base import in_small_batches, texts_as_bytes, written
 
 EDGES = b"".join(bytes([i]) for i in range(33, 127) if not chr(i).isalnum())
 #: Features that count: seen in so many labelled documents, so many standard errors from no association, and with such a
@@ -26,6 +26,8 @@ LEAST, SIGMAS, RATIO, MOST = 8, 4.0, 1.5, 20_000
 TARGETS = ("quality", "toxic")
 #: Probabilities from which a document is good and toxic; the latter is high, as a clean document wrongly called toxic is lost.
 GOOD, TOXIC = 0.5, 0.9
+#: Labelled documents the words and measures of style are learned from, about; sites' shares cover all of them.
+SAMPLE = 50_000
 
 
 def style(text: bytes, words: list[bytes]) -> list[str]:
@@ -112,19 +114,23 @@ def logit(p: Column) -> Column:
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_quality, p_toxic and kept (good and not toxic, by GOOD and TOXIC) for every row of docs.
 
-    Learns from all rows of docs (doc_id, text, lang, source) with a label (doc_id, quality, toxic). Null labels, label rows
+    Learns from the rows of docs (doc_id, text, lang, source) with a label (doc_id, quality, toxic): the evidence from about
+    SAMPLE of them, drawn by doc_id, the sites' shares from all. Null labels, label rows
     without their document and all but one of several labels of a document are left out (of these the least good, most toxic
     counts). A null text has no words; a null source or lang is a site of its own; a null doc_id stays null. Repeated rows are
     scored each. Without labels every document has even odds and is kept. An empty table gives an empty one; other
     columns are not looked at."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    marked = docs.join(known, "doc_id")
+    share = min(1.0, SAMPLE / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 24)) < int(share * (1 << 24)) + 1)
+    marked = docs.join(F.broadcast(drawn), "doc_id")  # about SAMPLE rows of three numbers at most: the texts stay where they are
     counts = written(feature_counts(marked), "quality-features")
-    sites = written(marked.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")), "quality-sites")
+    fitted, *fit_good = (int(x or 0) for x in marked.agg(F.count("*"), *[F.sum(t) for t in TARGETS]).first())
+    sites = written(docs.select("doc_id", "source", "lang").join(known, "doc_id").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")), "quality-sites")
     total, *good = (int(x or 0) for x in sites.agg(F.sum("n"), *[F.sum(t) for t in TARGETS]).first())
     prior = {t: min(0.999, max(0.001, (g + 0.5) / (total + 1))) for t, g in zip(TARGETS, good, strict=True)}
-    model = docs.sparkSession.sparkContext.broadcast(weights(counts, total, dict(zip(TARGETS, good, strict=True))))
+    model = docs.sparkSession.sparkContext.broadcast(weights(counts, fitted, dict(zip(TARGETS, fit_good, strict=True))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

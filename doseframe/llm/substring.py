@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseframe.llm import sketch
-from doseframe.llm.base import WordHashes, gram_hashes, mix, texts_as_bytes, window_sums
+from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, mix, texts_as_bytes, window_sums
 
 CHUNK = 1 << 20  # bytes of text that are hashed together
 
@@ -165,7 +165,7 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
     The sketch has rows * 2**bits bits. When the input outgrows it, more unrepeated windows reach the exact grouping;
     the result stays the same.
     """
-    whole, docs = docs, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole, docs = docs, in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = sketched(docs, n, gram, rows, bits)
     seen = docs.sparkSession.sparkContext.broadcast(sketch.Sketch(sketch.merged(parts, 2, bits), rows, bits))
     found = repeated_candidates(docs, seen, n, gram)
