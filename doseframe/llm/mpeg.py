@@ -127,19 +127,20 @@ def read(data: bytes) -> dict:
     """Payload and features of a stream.
 
     Bytes that begin no frame are passed over until a header is found whose successor is a header of the same version,
-    layer and rate, or the stream's end. A Xing or Info frame counts neither as audio nor as payload."""
+    layer and rate, or the stream's end; all frames of a stream agree in these. A Xing or Info frame counts neither as audio nor as payload."""
     start, end, found = tags(data)
     at, offsets, parts, samples, skipped, good, tested, rates, table, first = start, [], [], 0, 0, 0, 0, set(), None, None
+    kind = lambda x: x and (x.version, x.layer, x.hertz)
+    stream, lost = None, True  # the kind of its frames; whether the place of the next one isn't known
     while at + 4 <= end:
         f = header(data[at : at + 4])
-        ok = f is not None and at + f.size <= end
-        if ok and (not offsets and table is None or skipped and at == resync):
-            after = header(data[at + f.size : at + f.size + 4])
-            ok = at + f.size + 4 > end or after is not None and (after.version, after.layer, after.hertz) == (f.version, f.layer, f.hertz)
+        ok = f is not None and at + f.size <= end and stream in (None, kind(f))
+        if ok and lost:
+            ok = at + f.size + 4 > end or kind(header(data[at + f.size : at + f.size + 4])) == kind(f)
         if not ok:
-            at, skipped = at + 1, skipped + 1
-            resync = at
+            at, skipped, lost = at + 1, skipped + 1, True
             continue
+        stream, lost = kind(f), False
         body = at + 4 + 2 * f.protected + f.side
         if f.layer == 3 and not offsets and table is None and data[body : body + 4] in (b"Xing", b"Info"):
             flags, rest = struct.unpack(">I", data[body + 4 : body + 8])[0], body + 8
