@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a table is cut into for ranking.
-RANGES = 1024
+#: Ranges that a table is cut into for ranking, at least.
+RANGES = 64
 
 
-def distributed_rank(df: DataFrame, key: str, name: str, ties: str | None = None) -> DataFrame:
-    """df with name: 1, 2, ... in the order of key (and ties). Keys are cut at approximate quantiles into ranges, which are
-    ranked each by itself, behind the exact numbers of rows in the ranges before."""
-    text = dict(df.dtypes)[key] == "string"
-    if text:  # hexadecimal digests: their first digits are spread evenly
-        ranged = df.withColumn("_range", F.conv(F.substring(key, 1, 3), 16, 10).cast("long"))
-    else:
-        cuts = df.select(F.approx_percentile(key, [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("cuts"))
-        ranged = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")  # one row of RANGES numbers
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # at most 4096 rows
+def distributed_rank(df: DataFrame, key: str, name: str, ties: str | None = None, total: str | None = None) -> DataFrame:
+    """df with name: 1, 2, ... in the order of key (and ties); with total, also the number of all rows.
+
+    Rows are dealt out by ranges of the key, kept, and ranked within each range behind the rows of the ranges before;
+    equal keys are in one range. The ranges are as many as shuffle partitions, so they grow with the cluster."""
+    spark = df.sparkSession
+    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()).persist()  # one cut for both uses below
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_range", before.alias("_before"))
+    offsets = counts.select("_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     order = Window.partitionBy("_range").orderBy(key, *([ties] if ties else []))
-    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.row_number().over(order)).drop("_range", "_before")
+    out = ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.row_number().over(order))
+    return (out.withColumnRenamed("_all", total) if total else out.drop("_all")).drop("_range", "_before")

@@ -31,10 +31,10 @@ def random_parts(df: DataFrame, key: str, seed: int = SEED, fractions: tuple[flo
     if min(fractions) < 0 or abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions are non-negative and sum to 1")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    ranked = distributed_rank(df.withColumn("_digest", digest), "_digest", "_rank", ties=key)
-    counts = df.agg(F.count("*").alias("_all")).select(F.floor(F.col("_all") * fractions[0]).alias("_train"), F.floor(F.col("_all") * fractions[1]).alias("_valid"))
-    part = F.when(F.col("_rank") <= F.col("_train"), "train").when(F.col("_rank") <= F.col("_train") + F.col("_valid"), "valid").otherwise("test")
-    return ranked.crossJoin(F.broadcast(counts)).withColumn("split_part", part).drop("_digest", "_rank", "_train", "_valid")  # counts: one row
+    ranked = distributed_rank(df.withColumn("_digest", digest), "_digest", "_rank", ties=key, total="_all")
+    train, valid = F.floor(F.col("_all") * fractions[0]), F.floor(F.col("_all") * fractions[1])
+    part = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + valid, "valid").otherwise("test")
+    return ranked.withColumn("split_part", part).drop("_digest", "_rank", "_all")
 
 
 def group_parts(df: DataFrame, columns: tuple[str, ...], seed: int = SEED) -> DataFrame:
