@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.llm import sketch
-from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, texts_as_bytes, window_sums, written
+from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, texts_as_bytes, tidy, window_sums, written
 from doseframe.llm.substring import chunks
 
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
@@ -93,7 +93,7 @@ def item_seeds(items: DataFrame, least: int) -> DataFrame:
                 rows += [(i, len(ids), p, g) for p, g in enumerate(gram_hashes(ids, least).view(np.int64).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k in (0, 3) else pa.int32()) for k in range(4)], names=["item_id", "tokens", "place", "seed"])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").mapInArrow(run, "item_id long, tokens int, place int, seed long")
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").mapInArrow(tidy(run), "item_id long, tokens int, place int, seed long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: float = 0.5) -> DataFrame:
@@ -120,7 +120,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
                 yield from sketch.partial(batch.column(0).to_numpy().view(np.uint64), 1, FILTER_BITS)
 
     spark = docs.sparkSession
-    some = spark.sparkContext.broadcast(sketch.Sketch(sketch.merged(seeds.select("seed").mapInArrow(cells, sketch.CELLS), 1, FILTER_BITS), 1, FILTER_BITS))
+    some = spark.sparkContext.broadcast(sketch.Sketch(sketch.merged(seeds.select("seed").mapInArrow(tidy(cells), sketch.CELLS), 1, FILTER_BITS), 1, FILTER_BITS))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = TokenHashes(), some.value
@@ -133,7 +133,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs.d)), pa.array(np.ascontiguousarray(pairs.g))], names=["doc_id", "seed"])
 
-    hits = docs.mapInArrow(grams, "doc_id long, seed long").join(seeds, "seed")
+    hits = docs.mapInArrow(tidy(grams), "doc_id long, seed long").join(seeds, "seed")
     # an item's places are at most its tokens
     reach = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + least - 1)))))
     pairs = hits.groupBy("doc_id", "item_id", "tokens").agg(F.collect_set("place").alias("places")).where(reach >= F.col("tokens") * coverage).select("doc_id", "item_id")
@@ -156,6 +156,6 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
             place = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[1] / r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], place)], names=["doc_id", "item_id", "matched", "tokens", "coverage", "tiles"])
 
-    out = both.mapInArrow(tile, "doc_id long, item_id long, matched int, tokens int, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>")
+    out = both.mapInArrow(tidy(tile), "doc_id long, item_id long, matched int, tokens int, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>")
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "tokens", "tiles")).alias("m"))
     return best.select("doc_id", "item_id", "m.matched", "m.tokens", "m.coverage", "m.tiles")

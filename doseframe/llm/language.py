@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import in_small_batches
+from doseframe.llm.base import in_small_batches, tidy
 
 DIM = 4096
 #: ASCII letters stay, as do the bytes of other letters; all else is one space.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 SAMPLE = 1500
+#: Languages that are learned at most, the most frequent ones.
+LANGUAGES = 1000
 LENGTHS = 24
 
 
@@ -74,7 +76,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1, dtype=np.int32)), pa.array(df)], names=["feature", "n"])
 
     found = np.zeros(DIM + 1, np.int64)
-    for feature, n in texts.mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n")).toLocalIterator():
+    for feature, n in texts.mapInArrow(tidy(run), "feature int, n long").groupBy("feature").agg(F.sum("n")).toLocalIterator():
         found[feature] = n
     return found[:DIM], int(found[DIM])
 
@@ -114,10 +116,10 @@ def fit(labelled: DataFrame, clusters: int = 4, sample: int = SAMPLE, strictness
     texts = in_small_batches(labelled).where("text is not null and lang is not null").select("doc_id", "text", "lang")
     df, n = document_frequencies(texts.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    each = labelled.where("text is not null and lang is not null").groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+    each = labelled.where("text is not null and lang is not null").groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
     share = F.lit(float(sample)) / F.col("n")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = texts.join(each, F.col("lang") == F.col("l")).where(draw < share).select("lang", "text")
+    chosen = texts.join(F.broadcast(each), F.col("lang") == F.col("l")).where(draw < share).select("lang", "text")
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         x, size = vectors(pdf["text"].tolist(), idf)
@@ -147,7 +149,7 @@ def identified(docs: DataFrame, model: Centroids) -> DataFrame:
                 langs, score, rejected = shared.value.predict(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
@@ -161,7 +163,7 @@ def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
                 batch = whole.slice(k, 1000)
                 yield batch.filter(pa.array(~shared.value.predict(batch.column(at).to_pylist())[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import WordHashes, connected_components, gram_hashes, in_small_batches, mix, texts_as_bytes, written
+from doseframe.llm.base import WordHashes, connected_components, gram_hashes, in_small_batches, mix, texts_as_bytes, tidy, written
 
 PLACES = 1 << 22
 BANDS, ROWS = 30, 4
@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -86,7 +86,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             for i in range(0, len(made), 500):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 500), pa.array(made[i : i + 500], pa.binary())], names=["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(tidy(run), "id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -104,7 +104,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def links_of(values: list[np.ndarray], owners: np.ndarray, percent: int) -> list[tuple[int, int]]:

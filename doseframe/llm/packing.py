@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doseframe.llm.base import in_small_batches, written
+from doseframe.llm.base import in_small_batches, tidy, written
 
 CAPACITY = 2048
 CELL_ROWS, CELL_BYTES = 100_000, 64 << 20
@@ -44,7 +44,7 @@ def byte_letters() -> dict[int, str]:
 class PartEncoder:
     """Ids of whole texts from the remembered ids of their space-separated parts; a part that is not known is encoded once."""
 
-    def __init__(self, path: str, end: int, most: int = 200_000):
+    def __init__(self, path: str, end: int, most: int = 300_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -64,7 +64,7 @@ class PartEncoder:
         """A part's ids. Words of letters are one token of the pre-tokenizer; printable ASCII needs its pattern alone."""
         word = part[1:] if part[:1] == " " else part
         if word.isalpha():
-            return [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+            return [t.id for t in self.tokenize(("\u0120" + word if word is not part else part) if part.isascii() else part.encode().decode("latin-1").translate(self.letters))]
         if part.isascii() and part.isprintable():
             tokens = [t.replace(" ", "\u0120") for t in self.pattern.findall(part)]
         else:
@@ -123,20 +123,30 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PartEncoder(path, end)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1500):
-                batch = whole.slice(k, 1500)
-                rows: tuple[list, ...] = ([], [], [], [], [])
-                for i, ids in enumerate(encode(batch.column(1))):
-                    cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                    for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        for column, v in zip(rows, (i, p, a, b - a, ids[a:b].tobytes()), strict=True):
-                            column.append(v)
-                at, piece, start, length, raw = rows
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
-
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+        encode, held = PartEncoder(path, end), []
+
+        def pieces() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            ids_of, texts = whole.column(0).combine_chunks(), whole.column(1).combine_chunks()
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for i, ids in enumerate(encode(texts)):
+                cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
+                for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    for column, v in zip(rows, (i, p, a, b - a, ids[a:b].tobytes()), strict=True):
+                        column.append(v)
+            at, piece, start, length, raw = rows
+            return pa.RecordBatch.from_arrays([ids_of.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= 4000 or sum(b.nbytes for b in held) >= 12 << 20:
+                yield pieces()
+        if held:
+            yield pieces()
+
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +219,7 @@ def _cells(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
         if held:
             yield from cell()
 
-    return pieces.select(names).mapInArrow(run, schema)
+    return pieces.select(names).mapInArrow(tidy(run), schema)
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, turns: int = 6) -> tuple[DataFrame, dict[str, int]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import mix
+from doseframe.llm.base import mix, tidy
 
 ROWS, BITS = 2, 28
 BLOCK = 19  # bits of a cell's place in its block
@@ -62,7 +62,7 @@ def merged(parts: DataFrame, least: int, bits: int = BITS) -> DataFrame:
         if now:
             yield done()
 
-    return parts.repartition("sketch_row", "block").sortWithinPartitions("sketch_row", "block").mapInArrow(run, "sketch_row int, block int, bits binary")
+    return parts.repartition("sketch_row", "block").sortWithinPartitions("sketch_row", "block").mapInArrow(tidy(run), "sketch_row int, block int, bits binary")
 
 
 class Sketch:

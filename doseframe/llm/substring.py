@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseframe.llm import sketch
-from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, mix, texts_as_bytes, window_sums
+from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, mix, texts_as_bytes, tidy, window_sums
 
 CHUNK = 1 << 20  # bytes of text that are hashed together
 
@@ -65,7 +65,7 @@ def sketched(docs: DataFrame, n: int, gram: int, rows: int, bits: int) -> DataFr
         if size:
             yield from sketch.partial(np.concatenate(held), rows, bits)
 
-    return docs.select("text").mapInArrow(run, sketch.CELLS)
+    return docs.select("text").mapInArrow(tidy(run), sketch.CELLS)
 
 
 #: Windows that a task compares among themselves before it sends on the rest.
@@ -149,7 +149,7 @@ def repeated_candidates(docs: DataFrame, seen: object, n: int, gram: int) -> Dat
         if held:
             yield from sent(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "a long, b long, doc_id long, place long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "a long, b long, doc_id long, place long")
 
 
 def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sketch.ROWS, bits: int = sketch.BITS, carry: bool = False) -> DataFrame:
@@ -198,4 +198,4 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
     keyed = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row)
     both = keyed.join(marks, keyed.doc_id.eqNullSafe(marks.id), "left").select("doc_id", "text", "places", *(["carried"] if carry else []))
     carried = f"carried {keyed.schema['carried'].dataType.simpleString()}, " if carry else ""
-    return both.mapInArrow(run, carried + "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
+    return both.mapInArrow(tidy(run), carried + "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
