@@ -5,21 +5,23 @@ from __future__ import annotations
 import numpy as np
 
 Params = dict[str, np.ndarray]
-EMBED, HIDDEN, PER_CLASS = 16, 24, 32
+EMBED, HIDDEN, PER_CLASS = 16, 24, 32  # classes grow with the vocabulary, from PER_CLASS tokens on
+CELLS = 1 << 22  # most probabilities of classes that are held at once
 
 
 def new(counts: np.ndarray, seed: int = 7) -> Params:
     """Parameters for tokens of these counts, most frequent first; the biases give the tokens' own frequencies."""
     rng = np.random.default_rng(seed)
-    classes = -(-len(counts) // PER_CLASS)
-    share = np.full(classes * PER_CLASS, 1e-9)
+    per = max(PER_CLASS, int(np.sqrt(len(counts)) / 2))
+    classes = -(-len(counts) // per)
+    share = np.full(classes * per, 1e-9)
     share[: len(counts)] = (counts + 1) / (counts + 1).sum()
-    share = share.reshape(classes, PER_CLASS)
+    share = share.reshape(classes, per)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     word = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
     return {
         "embed": draw(len(counts), EMBED), "wx": draw(EMBED, 3 * HIDDEN), "wh": draw(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
-        "wc": np.zeros((HIDDEN, classes), np.float32), "bc": np.log(share.sum(axis=1)).astype(np.float32), "ww": np.zeros((classes, HIDDEN, PER_CLASS), np.float32), "bw": word,
+        "wc": np.zeros((HIDDEN, classes), np.float32), "bc": np.log(share.sum(axis=1)).astype(np.float32), "ww": np.zeros((classes, HIDDEN, per), np.float32), "bw": word,
     }
 
 
@@ -36,8 +38,8 @@ def step(p: Params, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return n + z * (h - n), z, r, n, un
 
 
-def by_class(targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    own = targets // PER_CLASS
+def by_class(targets: np.ndarray, per: int) -> list[tuple[int, np.ndarray]]:
+    own = targets // per
     order = np.argsort(own, kind="stable")
     values, starts = np.unique(own[order], return_index=True)
     return list(zip(values.tolist(), np.split(order, starts[1:]), strict=True)) if len(targets) else []
@@ -50,9 +52,13 @@ def normalised(x: np.ndarray) -> np.ndarray:
 
 def log_probs(p: Params, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms of the targets' probabilities after states h: of the class, and of the token in its class."""
-    out = normalised(h @ p["wc"] + p["bc"])[np.arange(len(h)), targets // PER_CLASS]
-    for c, rows in by_class(targets):
-        out[rows] += normalised(h[rows] @ p["ww"][c] + p["bw"][c])[np.arange(len(rows)), targets[rows] % PER_CLASS]
+    out, per, most = np.zeros(len(h), h.dtype), p["ww"].shape[2], max(1, CELLS // len(p["bc"]))
+    for k in range(0, len(h), most):
+        own, ys = h[k : k + most], targets[k : k + most]
+        part = normalised(own @ p["wc"] + p["bc"])[np.arange(len(own)), ys // per]
+        for c, rows in by_class(ys, per):
+            part[rows] += normalised(own[rows] @ p["ww"][c] + p["bw"][c])[np.arange(len(rows)), ys[rows] % per]
+        out[k : k + most] = part
     return out
 
 
@@ -93,20 +99,20 @@ def gradients(p: Params, h0: np.ndarray, inputs: np.ndarray, targets: np.ndarray
     after = [k[0] for k in kept[1:]] + [h]
     states, flat, seen = np.concatenate(after), targets.ravel(), mask.ravel()
     count = max(1, int(seen.sum()))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g, per = {k: np.zeros(v.shape, v.dtype) for k, v in p.items()}, p["ww"].shape[2]
     rows = np.flatnonzero(seen)
     hs, ys = states[rows], flat[rows]
     lc = normalised(hs @ p["wc"] + p["bc"])
-    loss = -lc[np.arange(len(rows)), ys // PER_CLASS].sum()
+    loss = -lc[np.arange(len(rows)), ys // per].sum()
     d = np.exp(lc)
-    d[np.arange(len(rows)), ys // PER_CLASS] -= 1
+    d[np.arange(len(rows)), ys // per] -= 1
     d /= count
     g["wc"], g["bc"], dh = hs.T @ d, d.sum(axis=0), d @ p["wc"].T
-    for c, own in by_class(ys):
+    for c, own in by_class(ys, per):
         lw = normalised(hs[own] @ p["ww"][c] + p["bw"][c])
-        loss -= lw[np.arange(len(own)), ys[own] % PER_CLASS].sum()
+        loss -= lw[np.arange(len(own)), ys[own] % per].sum()
         dw = np.exp(lw)
-        dw[np.arange(len(own)), ys[own] % PER_CLASS] -= 1
+        dw[np.arange(len(own)), ys[own] % per] -= 1
         dw /= count
         g["ww"][c], g["bw"][c] = hs[own].T @ dw, dw.sum(axis=0)
         dh[own] += dw @ p["ww"][c].T
@@ -150,13 +156,17 @@ def train(p: Params, docs: list[np.ndarray], end: int, batch: int = 48, window:
             at = slice(t, t + window)
             g, h, _ = gradients(p, h, inputs[at], targets[at], mask[at])
             turn += 1
+            # only what the window touches moves: of a large vocabulary that is a small part
+            words, classes = np.unique(inputs[at]), np.unique(targets[at][mask[at]] // p["ww"].shape[2])
+            touched = {"embed": words, "ww": classes, "bw": classes}
+            g = {name: x[touched[name]] if name in touched else x for name, x in g.items()}
             size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             scale = min(1.0, 1.0 / max(size, 1e-9))
             for name, x in g.items():
-                x = x * np.float32(scale)
-                m[name] = 0.9 * m[name] + 0.1 * x
-                v[name] = 0.99 * v[name] + 0.01 * x * x
-                p[name] -= (rate * (m[name] / (1 - 0.9**turn)) / (np.sqrt(v[name] / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
+                x, rows = x * np.float32(scale), touched.get(name, slice(None))
+                m[name][rows] = first = 0.9 * m[name][rows] + 0.1 * x
+                v[name][rows] = second = 0.99 * v[name][rows] + 0.01 * x * x
+                p[name][rows] -= (rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
     return p
 
 

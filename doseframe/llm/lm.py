@@ -2,7 +2,7 @@
 
 Token counts cover all training documents. The most frequent tokens are the model's own; any other is the model's
 unknown token, times its share of all unknown ones, so the probabilities of all words sum to one. The model is trained
-in rounds: shards of a bounded sample train copies, which are averaged.
+in rounds: shards of all training documents train copies, which are averaged.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from doseframe.llm.base import WordHashes, in_small_batches, texts_as_bytes, wri
 
 #: The end's place among the words; no word holds white space.
 END_WORD = b"\n"
-VOCABULARY = 1024  # tokens of the model, the unknown one and the end among them
+VOCABULARY, OFTEN = 1024, 50  # tokens of the model, the unknown one and the end among them, at least; all that occur so often are
 TABLE = 1 << 19  # most frequent tokens whose counts are broadcast; the others' counts are joined
-SAMPLE_DOCS, SHARDS, ROUNDS = 3000, 4, 3  # documents the recurrent weights are fitted on, about
+SHARDS, SHARD_TOKENS, ROUNDS = 4, 2_000_000, 3  # shards at least, and tokens of one, about
 HELD_TOKENS, HELD_DOCS = 1_500_000, 6000
 
 
@@ -86,7 +86,7 @@ class Model:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.distinct = total, distinct
-        best = np.lexsort((self.hashes, -self.counts))[: VOCABULARY - 1]
+        best = np.lexsort((self.hashes, -self.counts))[: max(VOCABULARY - 1, int(np.count_nonzero(self.counts >= OFTEN)))]
         known = int(self.counts[best].sum())
         self.rest = total - known + distinct - len(best) + 1  # of counts and types beyond the model's own, and the unseen one
         n = np.append(self.counts[best], total - known)
@@ -100,37 +100,65 @@ class Model:
         self.params = gru.new(n[np.argsort(-n, kind="stable")])
 
 
+def unpacked_params(raw: bytes) -> gru.Params:
+    return dict(np.load(io.BytesIO(raw)))
+
+
 def packed_params(p: gru.Params) -> bytes:
     out = io.BytesIO()
     np.savez(out, **p)
     return out.getvalue()
 
 
-def trained(model: Model, sample: DataFrame, rounds: int) -> gru.Params:
-    """The model's parameters after rounds of training on the shards of sample (text), averaged after each."""
-    spark, params = sample.sparkSession, model.params
+def coded(texts: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, ids): the model's tokens of each text."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        table = Table(model.hashes)
+        for batch in batches:
+            docs = [model.ids[table.of(tokens(t))] for t in texts_as_bytes(batch.column(1))]
+            if docs:
+                ends = np.cumsum([0, *map(len, docs)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(docs).astype(np.int32)))], names=["doc_id", "ids"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def trained(model: Model, docs: DataFrame, rounds: int) -> tuple[gru.Params, int]:
+    """The model's parameters after rounds of training on all docs (ids), and the tokens that a round was trained on.
+
+    Each partition trains a copy, buffer by buffer; the copies are averaged pairwise on the executors after each round."""
+    spark, params, seen = docs.sparkSession, model.params, 0
 
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model, params))
+        shared = spark.sparkContext.broadcast((params, model.end))
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            model, params = shared.value
-            table = Table(model.hashes)
-            docs = [model.ids[table.of(tokens(t))] for batch in batches for t in texts_as_bytes(batch.column(0))]
-            if docs:
-                p = gru.train(params, docs, model.end)
-                yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, docs))], pa.int64()), pa.array([packed_params(p)], pa.binary())], names=["n", "params"])
+            (params, end), held, size, total = shared.value, [], 0, 0
+            for batch in batches:
+                ids = batch.column(0)
+                flat, ends = ids.flatten().to_numpy().astype(np.int64), np.cumsum(ids.value_lengths().to_numpy())
+                held += np.split(flat, ends[:-1]) if len(ends) else []
+                size += len(flat)
+                if size >= SHARD_TOKENS:
+                    params, total = gru.train(params, held, end), total + size
+                    held, size = [], 0
+            if held:
+                params, total = gru.train(params, held, end), total + size
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([packed_params(params)], pa.binary())], names=["n", "params"])
 
-        got = sample.mapInArrow(run, "n long, params binary").collect()  # at most SHARDS rows
-        if not got:
+        got = written(docs.select("ids").mapInArrow(run, "n long, params binary"), "lm-params")
+        if got.isEmpty():
             break
-        params = gru.mean([dict(np.load(io.BytesIO(r.params))) for r in got], [r.n for r in got])
-    return params
+        seen, params = got.rdd.map(lambda r: (r.n, unpacked_params(r.params))).treeReduce(lambda a, b: (a[0] + b[0], gru.mean([a[1], b[1]], [a[0], b[0]])))
+    return params, seen
 
 
-def fit(texts: DataFrame, counts: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
-    """The model of training texts and their counts. The counts cover all texts; the recurrent weights are fitted on
-    about sample_docs of them, those whose doc_id's hash falls in that share (copies of one text are drawn apart)."""
+def fit(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of training texts (doc_id, text) and their counts; counts and recurrent weights come from all texts."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     level = F.floor(F.log2("n") * 16).cast("int")  # so many a doubling: a thousand at most
     above, least = 0, 0
@@ -141,11 +169,9 @@ def fit(texts: DataFrame, counts: DataFrame, sample_docs: int = SAMPLE_DOCS, rou
         above += n
     top = counts.where(level >= least).toArrow()
     model = Model(top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy(), total, distinct)
-    number = texts.count()
-    share = min(1.0, sample_docs / max(1, number))
-    sample = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 24)) < int(share * (1 << 24)) + 1)
-    sample = written(sample.repartition(SHARDS, F.xxhash64("doc_id")).select("text"), "lm-sample")
-    model.params = trained(model, sample.coalesce(SHARDS), rounds)
+    shards = max(SHARDS, -(-total // SHARD_TOKENS))
+    docs = written(coded(texts, model).repartition(shards, F.xxhash64("doc_id", "ids")).select("ids"), "lm-coded")
+    model.params, model.trained_tokens = trained(model, docs, rounds)
     return model
 
 
@@ -199,7 +225,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("lm") + log).alias("score"))
 
 
-def language_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> DataFrame:
+def language_model(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Learns from the rows of docs that aren't held out and scores all rows, whole texts.
 
     base_score sums log10((c + 1) / (N + V + 1)) over the tokens, score is the model's log10 probability. A null or empty
@@ -208,4 +234,4 @@ def language_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int
     docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     train = docs.where("not held_out").select("doc_id", "text")
     counts = written(token_counts(train.select("text")), "lm-counts")
-    return scored(docs, fit(train, counts, sample_docs, rounds), counts)
+    return scored(docs, fit(train, counts, rounds), counts)

@@ -134,6 +134,14 @@ def test_language_model(spark):
     assert lm.language_model(docs.limit(0)).count() == 0
 
 
+def test_language_model_learns_from_all_documents(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id % 1500, ' w', (id + 1) % 1500, ' ', repeat(concat('w', id % 1500, ' '), 20)) AS text")
+    counts = lm.token_counts(docs.select("text"))
+    model = lm.fit(docs, counts, rounds=1)
+    assert model.trained_tokens == model.total == 5000 * 23
+    assert len(model.params["embed"]) == 1502  # every word occurs over 50 times, and has a token of its own
+
+
 def test_media(spark):
     docs = spark.createDataFrame([(i, t, b"x") for i, t in EDGE + [(1, "é" * 1000), (2, "é" * 1000), (3, "x" * 192), (4, "ÿþ\xff" * 300)]], "doc_id long, text string, media binary")
     out = mpeg.text_media(docs).collect()
