@@ -1,9 +1,9 @@
-"""Main text of pages by equivalence classes of template tokens.
+"""Main text of pages by rules for the slot of the article and for blocks that are outside it.
 
-A template token is an element with its path from the root. Over the pages of one host, tokens that occur equally often
-on every page (equal occurrence vectors, held as sums of hashes of page and count) form an equivalence class. The classes
-of tokens that stand once on their pages nest into the host's template; of its slots, the one that holds most of the
-text outside menus and the like is the article's. Pages without their host's slot are their own template.
+A token is an element with its path from the root. Over the pages of one host, tokens that occur equally often on every
+page (equal occurrence vectors, held as sums of hashes of page and count) form an equivalence class; its size decides only
+between slots that the rules hold to be equal. Text tokens are in no class and classes aren't nested: text that repeats on
+all pages of a host inside the slot is kept. Pages without their host's slot are their own template.
 """
 
 from __future__ import annotations
