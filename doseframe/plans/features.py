@@ -167,27 +167,27 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_frame(tasks(spark, sf_dir).where("task_status = 'included'"), assignments(spark, sf_dir), "pairs", "target_records", "result_id")
 
 
-def predictions(spark: SparkSession, sf_dir: str, model: str, size: int) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, model: str, size: int = 100) -> DataFrame:
     frame = model_frame(spark, sf_dir).select("result_id", "split_part", "task_head", "target_value", *FEATURES)
     return baseline.baseline_predictions(frame, "target_value", "task_head", model, 42, size, "pairs")
 
 
 def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions(spark, sf_dir, "rf", 5)
+    return predictions(spark, sf_dir, "rf")
 
 
-def report_of(spark: SparkSession, sf_dir: str, model: str, size: int) -> DataFrame:
+def report_of(spark: SparkSession, sf_dir: str, model: str, size: int = 100) -> DataFrame:
     from doseframe.operators.metrics import regression_report
 
     return regression_report(predictions(spark, sf_dir, model, size))
 
 
 def baseline_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_of(spark, sf_dir, "random_forest", 10)
+    return report_of(spark, sf_dir, "random_forest")
 
 
 def baseline_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_of(spark, sf_dir, "hist-gradient-boosting", 3)
+    return report_of(spark, sf_dir, "hist-gradient-boosting")
 
 
 RULES = "SELECT DISTINCT organism_lifestage, media_type, 12.0 + length(organism_lifestage) AS rule_duration FROM tests WHERE organism_lifestage = 'AD' AND media_type IN ('FW', 'SW')"
