@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseframe.llm.base import in_small_batches, tidy
@@ -23,9 +23,9 @@ DIM = 4096
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 SAMPLE = 1500
-#: Languages that are learned at most, the most frequent ones.
-LANGUAGES = 1000
 LENGTHS = 24
+#: Texts that a floor needs, and texts of each length that are drawn for the floors beside those of the centroids.
+FEW, OF_A_LENGTH = 30, 100
 
 
 def counts(text: str) -> np.ndarray:
@@ -63,6 +63,24 @@ def spherical_kmeans(x: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return c
 
 
+def widened(top: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Cosines of the texts of length class k, of longer ones too until there are FEW, else of all."""
+    for longest in range(k, LENGTHS):
+        own = top[(size >= k) & (size <= longest)]
+        if len(own) >= FEW:
+            return own
+    return top
+
+
+def floors_of(rows: list[tuple[np.ndarray, np.ndarray]], strictness: float) -> list[np.ndarray]:
+    """The least cosine for each length class, per language with the cosines and length classes of its texts."""
+    tops, sizes = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+    of_all = [widened(tops, sizes, k) for k in range(LENGTHS)]
+    least = lambda own: strictness * float(np.quantile(own, 0.01))
+    shared = np.array([least(own) for own in of_all])
+    return [np.array([least(widened(top, size, k)) for k in range(LENGTHS)]) if len(top) >= FEW else shared for top, size in rows]
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Texts that hold each hashed n-gram, over all of them, and their number; the driver gets DIM + 1 numbers."""
 
@@ -112,27 +130,29 @@ def fit(labelled: DataFrame, clusters: int = 4, sample: int = SAMPLE, strictness
 
     Document frequencies cover all its rows. The centroids are found on at most about `sample` texts of each language
     (those whose doc_id's hash falls in that share, so that copies of one text are drawn apart), in one group per language. A cosine is too small below `strictness` times
-    the 1 % quantile of the sample's texts of the same logarithmic length, or of all shorter ones where those are few."""
+    the 1 % quantile of texts of the same logarithmic length, drawn by length; where those are few, of longer ones too, then
+    of the whole language, then of all languages."""
     texts = in_small_batches(labelled).where("text is not null and lang is not null").select("doc_id", "text", "lang")
     df, n = document_frequencies(texts.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    each = labelled.where("text is not null and lang is not null").groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
-    share = F.lit(float(sample)) / F.col("n")
+    length = F.floor(F.log2(F.octet_length("text") + 1.0)).cast("int")
+    of_length = texts.groupBy("lang", length.alias("length")).agg(F.count("*").alias("n"))
+    each = of_length.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang"))).select(F.col("lang").alias("l"), F.col("length").alias("k"), "n", "of_lang")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = texts.join(F.broadcast(each), F.col("lang") == F.col("l")).where(draw < share).select("lang", "text")
+    both = texts.join(F.broadcast(each), (F.col("lang") == F.col("l")) & (length == F.col("k")))
+    fitted = draw < F.lit(float(sample)) / F.col("of_lang")
+    chosen = both.where(fitted | (draw < F.lit(float(OF_A_LENGTH)) / F.col("n"))).select("lang", "text", fitted.alias("fitted"))
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         x, size = vectors(pdf["text"].tolist(), idf)
-        c = spherical_kmeans(x, clusters)
-        top = (x @ c.T).max(axis=1)
-        floors = np.zeros(LENGTHS)
-        for k in range(LENGTHS):
-            own = top[size == k] if (size == k).sum() >= 30 else top[size <= k]
-            floors[k] = strictness * np.quantile(own, 0.01) if len(own) >= 30 else 0.0
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [c.ravel().tolist()], "floors": [floors.tolist()]})
-
-    rows = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroids array<float>, floors array<double>").collect()
-    return Centroids(idf, sorted((r[0], np.array(r[1], np.float32).reshape(-1, DIM), np.array(r[2])) for r in rows)) if rows else Centroids(idf, [])
+        own = pdf["fitted"].to_numpy(bool)
+        c = spherical_kmeans(x[own] if own.any() else x, clusters)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [c.ravel().tolist()], "top": [(x @ c.T).max(axis=1).tolist()], "size": [size.tolist()]})
+
+    rows = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroids array<float>, top array<float>, size array<int>").collect()
+    rows.sort(key=lambda r: r["lang"])
+    floors = floors_of([(np.array(r["top"]), np.array(r["size"])) for r in rows], strictness) if rows else []
+    return Centroids(idf, [(r["lang"], np.array(r["centroids"], np.float32).reshape(-1, DIM), f) for r, f in zip(rows, floors, strict=True)])
 
 
 def identified(docs: DataFrame, model: Centroids) -> DataFrame:

@@ -34,6 +34,14 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identified(edge, language.fit(edge.limit(0))).collect()} == {"und"}
 
 
+def test_short_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs.union(spark.createDataFrame([(-1, "zug zug zug", "rare")], docs.schema)))
+    assert all((f > 0).all() for f in model.floors)
+    _, _, rejected = model.predict(["\u03ba\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1", "\u0434\u043e\u0431\u0440\u044b\u0439 \u0434\u0435\u043d\u044c", "xqzvk jwqx"])
+    assert rejected.all()
+
+
 def test_quality(spark):
     rows = [(i, f"some plain words here {i} " + ("you stupid idiot " if i % 5 == 0 else "") + ("### *** $$$ " * 20 if i % 7 == 0 else ""), "en", f"s{i % 3}") for i in range(300)]
     labels = [(i, int(i % 7 != 0), int(i % 5 == 0)) for i in range(0, 300, 2)] + [(0, 1, 1), (None, 1, 1), (2, None, 0), (9999, 1, 0)]
