@@ -20,7 +20,8 @@ from doseframe.llm.base import written
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words that make a host an example to block.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "xxx")
-LONGEST_WORD, LONGEST_LABEL = 20, 63  # of a label: by the rules of the domain name system
+#: A longer name that stands in a path is no word by that alone: it may be a concatenation. Words of texts have any length.
+LONGEST_NAME = 20
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -53,18 +54,19 @@ def word_counts(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>|&[#\w]+;|[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+", " ")
     host, path = url_parts(F.coalesce("url", F.lit("")))
     parts = F.regexp_extract_all(host, F.lit(r"(\p{L}+(?=-)|(?<=-)\p{L}+)"), 1)
-    words = pages.select(F.explode(F.concat(delimited(text), delimited(path), parts)).alias("word"))
+    words = pages.select(F.explode(F.concat(delimited(text), F.filter(F.concat(delimited(path), parts), lambda w: F.length(w) <= LONGEST_NAME))).alias("word"))
     words = words.union(pages.sparkSession.createDataFrame([(w,) for w in seeds], "word string"))
-    return words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(name: str, costs: dict[str, float], unknown: float) -> list[str]:
     """The split of a name with the least cost; a character in no word costs `unknown`, neighbouring ones make one word."""
+    lengths = sorted({len(w) for w in costs})
     best: list[tuple[float, int, int, bool]] = [(0.0, 0, 0, True)]
     for j in range(1, len(name) + 1):
         cost, count = best[j - 1][:2]
         options = [(cost + unknown, count + best[j - 1][3], j - 1, False)]
-        for i in range(max(0, j - LONGEST_WORD), j):
+        for i in (j - n for n in lengths if n <= j):
             if (c := costs.get(name[i:j])) is not None:
                 options.append((best[i][0] + c, best[i][1] + 1, i, True))
         best.append(min(options))
@@ -79,20 +81,21 @@ def viterbi(name: str, costs: dict[str, float], unknown: float) -> list[str]:
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """(name, words) for distinct names of up to 63 letters; longer ones, which no host has, stay whole."""
+    """(name, words) for distinct names of any length; of a name's substrings those of the words' lengths are looked up."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]  # one number
+    lengths = F.array(*[F.lit(r[0]) for r in counts.select(F.length("word")).distinct().collect()]).cast("array<int>")  # few
     names = names.select("name").distinct()
     ends = F.expr("explode(sequence(1, length(name)))")
-    parts = names.where(F.length("name") <= LONGEST_LABEL).select("name", ends.alias("i"))
-    parts = parts.select("name", F.explode(F.expr(f"transform(sequence(1, least({LONGEST_WORD}, length(name) - i + 1)), k -> substring(name, i, k))")).alias("word")).distinct()
-    known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # at most 63 * 20 words
+    parts = names.select("name", ends.alias("i")).select("name", "i", F.explode(lengths).alias("k")).where("i + k <= length(name) + 1")
+    parts = parts.select("name", F.expr("substring(name, i, k)").alias("word")).distinct()
+    known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = []
             for name, found in zip(pdf["name"], pdf["known"], strict=True):
                 costs = {w["word"]: math.log(total / w["n"]) for w in (found if found is not None else ())}
-                words.append(viterbi(name, costs, math.log(total) + 3.0) if len(name) <= LONGEST_LABEL else [name])
+                words.append(viterbi(name, costs, math.log(total) + 3.0))
             yield pd.DataFrame({"name": pdf["name"], "words": words})
 
     return names.join(known, "name", "left").mapInPandas(split, "name string, words array<string>")
@@ -115,7 +118,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, se
     names = each.select(F.explode(F.array_distinct(F.concat("host_names", "path_names"))).alias("name"))
     words = written(segmented(names, counts), "url-segments")
 
-    token = each.select("host", "path", "n", F.explode(F.array_distinct(F.concat(F.transform("host_names", lambda x: F.struct(x.alias("name"), F.lit("h").alias("kind"))), F.transform("path_names", lambda x: F.struct(x.alias("name"), F.lit("p").alias("kind")))))).alias("t"))
+    token = each.select("host", "path", "n", F.explode(F.concat(F.transform("host_names", lambda x: F.struct(x.alias("name"), F.lit("h").alias("kind"))), F.transform("path_names", lambda x: F.struct(x.alias("name"), F.lit("p").alias("kind"))))).alias("t"))
     token = token.select("host", "path", "n", "t.kind", "t.name").join(words, "name").select("host", "path", "n", "kind", F.explode("words").alias("word"))
     token = written(token, "url-tokens")
     bad = token.where("kind = 'h'").where(F.col("word").isin(*seeds)).select("host").distinct().withColumn("bad", F.lit(1))

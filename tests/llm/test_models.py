@@ -79,6 +79,16 @@ def test_urls(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_long_names_are_segmented_and_repeated_ones_count(spark):
+    long = "gardenbookgardeningencyclopaedia"
+    text = "<p>free casino garden book encyclopaediagardeningbook free casino garden book encyclopaediagardeningbook</p>"
+    given = ["http://a.com/" + "freecasino" * 8, "http://b.com/casino", "http://b.com/casino/casino", "http://c.com/gardenencyclopaediagardeningbook", f"http://d.com/{long}"]
+    out = {r.page_id: r for r in urls.judged(spark.createDataFrame([(i, u, text) for i, u in enumerate([*given, "http://casino-x.com/"])], "page_id long, url string, html string")).collect()}
+    assert out[0].words == ["a", "casino", "com", "free"]
+    assert out[1].log_odds != out[2].log_odds
+    assert {"garden", "encyclopaediagardeningbook"} <= set(out[3].words) and long not in out[4].words
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="ad">Buy</div><article><h1>Title &amp; more</h1><p>First  <b>bold</b> text<br>next.<p>Second &eacute;&#33;</p><ul><li>item one<li>item two</ul><aside>side</aside><form><input>Send</form><div id="comments">A reader</div></article>
 <div class="sidebar">links</div><footer>&copy; us</footer></body></html>"""
