@@ -15,9 +15,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8). Rows without a doc_id go."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """The smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8); of its rows, one for
+    each text. A row without a doc_id is a document of its own, after all others."""
+    keyed = written(docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id())), "pipeline-keys")
+    kept = minhash.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row_key")).distinct()
+    rows = keyed.join(kept, "row_key", "left_semi").withColumn("text_key", F.sha2("text", 256))
+    return rows.dropDuplicates(["row_key", "text_key"]).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
-#: SQL can't express the fitted language model and the tokenizer; tests hold run() against a brute-force version.
+#: SQL can't express the fitted language model and the tokenizer; tests compare run() with its stages, by doc_id.
 ORACLE_SQL = None
 
 

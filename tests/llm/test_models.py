@@ -209,3 +209,12 @@ def test_pipeline(spark):
         now = kept.persist()
     ids = {r.doc_id for r in now.select("doc_id").collect()}
     assert {r.doc_id for r in c.run(spark, SF).select("doc_id").distinct().collect()} == ids
+
+
+def test_pipeline_keeps_documents_without_id_and_one_row_of_repeated_ones(spark):
+    import corpus_pipeline as c
+
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(1, texts["a"]), (1, texts["a"]), (1, texts["a"]), (None, texts["b"]), (None, texts["b"]), (None, texts["c"]), (None, texts["a"]), (2, texts["d"])]
+    got = c.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((r.text[0], r.doc_id) for r in got) == [("a", 1), ("b", None), ("c", None), ("d", 2)]
