@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.functions.parsing import as_column, category, filled, hash_bin, number, token
+from doseframe.operators.ranks import distributed_rank
 
 # Categorical id columns, taxonomy and context fields, columns that are no features, columns taken as categories.
 ID_FIELDS = ("species_id", "taxon_id", "kingdom_id", "phylum_id", "class_id", "order_id", "family_id", "genus_id", "species_context_id", "life_stage_id", "habitat_id", "primary_medium_id", "exposure_route_id")
@@ -28,7 +29,7 @@ ONE_HOT_MOST, HASH_BINS = 30, 16
 def vocabulary(df: DataFrame, field: str, least: int = 1) -> DataFrame:
     """(token, n, id): tokens of at least `least` rows numbered from 1, the most frequent first; <UNK> is 0 and not in it."""
     counts = df.groupBy(token(field).alias("token")).agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("token") != "<UNK>"))
-    return counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")))  # of distinct tokens
+    return distributed_rank(counts.withColumn("_key", F.struct(-F.col("n"), "token")), "_key", "id").select("token", "n", F.col("id").cast("int").alias("id"))
 
 
 def encoded(df: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:

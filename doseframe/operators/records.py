@@ -166,7 +166,11 @@ def tolerance(a: Column, b: Column, relative: float = 0.002, least: float = 0.05
 
 def duration_clusters(records: DataFrame, keys: list[str], duration: str, relative: float = 0.002, least: float = 0.05) -> DataFrame:
     """records with cluster: within a condition, a duration more than the tolerance above the one before begins a new cluster."""
+    rows = records.where(F.col(duration).isNotNull())
     order = Window.partitionBy(*keys).orderBy(F.col(duration))
     before = F.lag(duration).over(order)
     opens = F.when(before.isNull() | tolerance(F.col(duration), before, relative, least), 0).otherwise(1)
-    return records.where(F.col(duration).isNotNull()).withColumn("_open", opens).withColumn("cluster", F.sum("_open").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("_open")
+    cut = rows.select(*keys, duration).distinct().withColumn("_open", opens).withColumn("cluster", F.sum("_open").over(order))
+    cut = cut.select(*[F.col(k).alias(f"_{k}") for k in [*keys, duration]], "cluster")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, duration]]
+    return rows.join(cut, same).drop(*[f"_{k}" for k in [*keys, duration]])
