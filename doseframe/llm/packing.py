@@ -1,22 +1,21 @@
 """Packing of token pieces into sequences: best-fit decreasing in cells, certified by dual-feasible functions.
 
-Each partition packs its pieces in cells of bounded size. The sum of a dual-feasible function over all lengths bounds the
-number of sequences from below; where the packing is above that bound, the pieces of all sequences with a gap are dealt
-out anew to fewer, mixed cells and packed again, as long as that saves sequences.
+Each partition packs its pieces in cells of bounded size, and every cell carries its certificate: the number of its
+sequences, and the lower bound that a dual-feasible function over its own lengths gives. While the whole is above the
+bound of all lengths, the cells deal the pieces of their sequences with a gap out anew to fewer, mixed cells, which are
+packed and certified again; a cell that keeps only its full sequences is certified by them.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import base64
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,127 +25,66 @@ from doseframe.llm.base import in_small_batches, tidy, written
 
 CAPACITY = 2048
 CELL_ROWS, CELL_BYTES = 100_000, 64 << 20
-#: A single space between characters that aren't white space: no token of a byte-level BPE with this kind of
-#: pre-tokenizer goes over the place before it, so what lies between such places can be encoded by itself.
-GAP = re.compile(r"(?<=\S) (?=\S)")
-#: Texts with other spaces than such, as far as RE2 can tell; they are split by GAP.
-OTHER_SPACES = r"^\s|\s$| \s|\s |[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-@lru_cache(1)
-def byte_letters() -> dict[int, str]:
-    """Byte-level BPE's letter for each byte: printable bytes of Latin-1 as they are, the others from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
-
-
-class PartEncoder:
-    """Ids of whole texts from the remembered ids of their space-separated parts; a part that is not known is encoded once."""
-
-    def __init__(self, path: str, end: int, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.normalizer is not None:
-            raise ValueError("a tokenizer without a normalizer is needed: it must not look beyond a part")
-        self.cut, self.tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize  # special tokens' strings are ordinary text
-        self.pattern, self.letters = regex.compile(public_tokenizers.PATTERN), byte_letters()
-        self.end, self.most = end, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.small: dict[str, list[int]] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def ids(self, part: str) -> list[int]:
-        """A part's ids. Words of letters are one token of the pre-tokenizer; printable ASCII needs its pattern alone."""
-        word = part[1:] if part[:1] == " " else part
-        if word.isalpha():
-            return [t.id for t in self.tokenize(("\u0120" + word if word is not part else part) if part.isascii() else part.encode().decode("latin-1").translate(self.letters))]
-        if part.isascii() and part.isprintable():
-            tokens = [t.replace(" ", "\u0120") for t in self.pattern.findall(part)]
-        else:
-            tokens = [t for t, _ in self.cut(part)]
-        out: list[int] = []
-        for token in tokens:
-            if (found := self.small.get(token)) is None:
-                self.small[token] = found = [t.id for t in self.tokenize(token)]
-            out += found
-        return out
-
-    def places(self, words: list[str], first: bool) -> np.ndarray:
-        """Where the ids of distinct words stand in flat, by starts and sizes; first: they begin their text, without a space."""
-        keys = ["\n" + w for w in words] if first else words
-        at = list(map(self.at.get, keys))
-        new = [i for i, x in enumerate(at) if x is None]
-        n, found = len(self.starts), [self.ids(words[i] if first else " " + words[i]) for i in new]
-        for k, i in enumerate(new):
-            self.at[keys[i]] = at[i] = n + k
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
-        self.sizes = np.concatenate([self.sizes, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-        return np.array(at, np.int64)
-
-    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text, with the end id."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, OTHER_SPACES)
-        plain = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-        coded = plain.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(plain).to_numpy())]).astype(np.int64)
-        slow = {i: GAP.split(texts[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
-        if len(self.at) > self.most or len(self.small) > self.most:
-            self.clear()
-        at = self.places(words, False)[codes]
-        at[starts[:-1]] = self.places([words[c] for c in codes[starts[:-1]]], True)
-        out = []
-        for i in range(len(texts)):
-            own = at[starts[i] : starts[i + 1]]
-            if i in slow:
-                own = np.concatenate([self.places(slow[i][:1], True), self.places(slow[i][1:], False)])
-            sizes = self.sizes[own]
-            total = int(sizes.sum())
-            ids = np.full(total + 1, self.end, np.uint32)
-            ids[:total] = self.flat[np.repeat(self.starts[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
-            out.append(ids)
-        return out
-
-
-def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """Pieces of at most `capacity` ids: doc_id, piece, start (ids of the document before it), length, ids (little-endian
-    unsigned 32-bit). The ids of a text are those of the whole text, then the id `end`. Only longer documents are cut,
-    and then only their first piece may be shorter than `capacity`."""
-    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+#: Texts and bytes of text that are encoded together.
+TEXTS, TEXT_BYTES = 1000, 4 << 20
+
+
+@lru_cache(2)  # a worker keeps it from task to task
+def encoder(tokenizer: str, ranks: str | None) -> Callable[[list[str]], list[np.ndarray]]:
+    """The ids of each text under the `tokenizers` file, without special tokens added.
+
+    `ranks` is the same vocabulary as ranks of byte sequences, from which tiktoken makes the same ids (tests hold the two
+    against each other on every character) in a fifth of the time. Strings of added tokens become these tokens, as there."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer)
+    if ranks is None:
+        own.no_padding()
+        own.no_truncation()
+        return lambda texts: [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    import tiktoken
+
+    with open(ranks, "rb") as lines:
+        known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    added = {str(token): i for i, token in own.get_added_tokens_decoder().items()}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
+    return lambda texts: [fast.encode_to_numpy(t, allowed_special="all") for t in texts]
+
+
+def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = 0, ids: bool = True) -> DataFrame:
+    """Pieces of at most `capacity` ids: doc_id, piece, start (ids of the document before it), length, ids_crc32 and, if
+    asked for, ids (little-endian unsigned 32-bit). The ids of a text are those of the whole text, then the id `end`. Only
+    longer documents are cut, and then only their first piece may be shorter than `capacity`."""
+    path, ranks = (tokenizer, None) if tokenizer else (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if ids else {})
+
+    def pieces(own: pa.Array, texts: list[str], encode: Callable[[list[str]], list[np.ndarray]]) -> pa.RecordBatch:
+        at, rows = [], {k: [] for k in kinds}
+        for i, found in enumerate(encode(texts)):
+            whole = np.append(found, np.uint32(end)).astype("<u4")
+            cuts = [0, *range((len(whole) - 1) % capacity + 1, len(whole) + 1, capacity)]
+            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                raw = whole[a:b].tobytes()
+                at.append(i)
+                for column, v in zip(rows.values(), (p, a, b - a, zlib.crc32(raw), raw), strict=False):
+                    column.append(v)
+        return pa.RecordBatch.from_arrays([own.take(pa.array(at, pa.int64())), *(pa.array(rows[k], kind) for k, kind in kinds.items())], names=["doc_id", *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held = PartEncoder(path, end), []
-
-        def pieces() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            ids_of, texts = whole.column(0).combine_chunks(), whole.column(1).combine_chunks()
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for i, ids in enumerate(encode(texts)):
-                cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    for column, v in zip(rows, (i, p, a, b - a, ids[a:b].tobytes()), strict=True):
-                        column.append(v)
-            at, piece, start, length, raw = rows
-            return pa.RecordBatch.from_arrays([ids_of.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
-
+        encode = encoder(path, ranks)
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= 4000 or sum(b.nbytes for b in held) >= 12 << 20:
-                yield pieces()
-        if held:
-            yield pieces()
+            first, size, texts = 0, 0, []
+            for i, text in enumerate(batch.column(1)):
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if len(texts) >= TEXTS or size >= TEXT_BYTES:
+                    yield pieces(batch.column(0).slice(first, len(texts)), texts, encode)
+                    first, size, texts = i + 1, 0, []
+            if texts:
+                yield pieces(batch.column(0).slice(first), texts, encode)
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids binary")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,10 +117,9 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     x = np.arange(capacity + 1)
     n = counts.astype(object) if counts.sum() > 1 << 40 else counts.astype(np.int64)
     total, pieces = np.cumsum(x * n), np.cumsum(n)
-    best = -(-total[capacity] // capacity)
-    for e in range(1, capacity // 2 + 1):
-        middle = total[capacity - e] - total[e - 1]
-        best = max(best, pieces[capacity] - pieces[capacity - e] + -(-middle // capacity))
+    e = np.arange(1, capacity // 2 + 1)
+    by_edge = pieces[capacity] - pieces[capacity - e] - (total[e - 1] - total[capacity - e]) // capacity
+    best = max(-(-total[capacity] // capacity), max(by_edge, default=0))
     for k in range(1, 25):
         whole = (k + 1) * x % capacity == 0
         value = np.where(whole, x * k, (k + 1) * x // capacity * capacity)  # in units of 1 / k
@@ -190,10 +127,14 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return int(best)
 
 
+#: What a cell adds to its pieces: place, fill of the piece's sequence, and the cell with its sequences, full ones and bound.
+PLACED = ("sequence_id", "offset", "fill", "cell", "cell_sequences", "cell_full", "cell_bound")
+
+
 def _cells(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
-    """Every partition packed cell by cell; fill: of the piece's sequence."""
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "fill")]
-    schema = T.StructType([pieces.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "fill")])
+    """Every partition packed and certified cell by cell."""
+    names = [c for c in pieces.columns if c not in PLACED]
+    schema = T.StructType([pieces.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in PLACED])
     at = names.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +143,14 @@ def _cells(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
 
         def cell() -> Iterator[pa.RecordBatch]:
             nonlocal used
-            bins, offsets, fill = best_fit_decreasing(np.concatenate([b.column(at).to_numpy() for b in held]), capacity)
+            lengths = np.concatenate([b.column(at).to_numpy() for b in held])
+            bins, offsets, fill = best_fit_decreasing(lengths, capacity)
+            own = (base + used, len(fill), int((fill == capacity).sum()), lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity))
             i = 0
             for b in held:
                 j = i + b.num_rows
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base + used + bins[i:j]), pa.array(offsets[i:j]), pa.array(fill[bins[i:j]])], names=[*names, "sequence_id", "offset", "fill"])
+                certificate = [pa.array(np.full(j - i, v, np.int64)) for v in own]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base + used + bins[i:j]), pa.array(offsets[i:j]), pa.array(fill[bins[i:j]]), *certificate], names=[*names, *PLACED])
                 i = j
             used += len(fill)
             held.clear()
@@ -223,10 +167,13 @@ def _cells(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, turns: int = 6) -> tuple[DataFrame, dict[str, int]]:
-    """pieces (any columns, length among them, each from 1 to capacity) with sequence_id and offset (gapless from 0).
+    """pieces (any columns, length among them, each from 1 to capacity) with sequence_id, offset (gapless from 0), cell, and
+    the cell's certificate: cell_sequences, and cell_bound, below which no packing of the cell's pieces can go.
 
-    Returns the frame and the certificate: sequences, and the lower bound that no packing can go below. Equal rows are
-    packed each by itself. An empty table gives an empty one and zeros."""
+    Returns the frame and the certificate of the whole: sequences, and the bound for all lengths. Cells exchange the
+    pieces of their sequences with gaps until the whole meets that bound, a turn saves nothing, or `turns` are over; what
+    is left between sequences and bound is reported by both certificates. Equal rows are packed each by itself. An empty
+    table gives an empty one and zeros."""
     now = written(_cells(pieces, capacity, 0), "packing-cells")
     seen = now.groupBy("length").agg(F.count("*").alias("n"))  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
@@ -244,15 +191,16 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, turns: int = 6) -> tuple
         new = again.where("offset = 0").count()
         if new >= was:
             break
-        now, total = now.where(F.col("fill") == capacity).unionByName(again), total - was + new
-    return now.drop("fill"), {"sequences": total, "bound": bound}
+        full = now.where(F.col("fill") == capacity).withColumns({"cell_sequences": F.col("cell_full"), "cell_bound": F.col("cell_full")})
+        now, total = full.unionByName(again), total - was + new
+    return now.drop("fill", "cell_full"), {"sequences": total, "bound": bound}
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Whole documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """Whole documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset, cell, cell_sequences,
+    cell_bound (see `packed`).
 
     A null or empty text is the end id alone. Rows with a null or repeated doc_id are packed like any other; an empty
     table gives an empty one. Other columns are not looked at. The ids themselves are those of `tokenized`, which can be
     joined on (doc_id, piece), or packed along: `packed` takes any columns."""
-    pieces = tokenized(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packed(pieces, capacity)[0].select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed(tokenized(docs, tokenizer, capacity, ids=False), capacity)[0].select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "cell", "cell_sequences", "cell_bound")

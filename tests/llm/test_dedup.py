@@ -146,7 +146,6 @@ def test_decontamination(spark):
 
 def test_packing(docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = defaultdict(int)
     capacity = 64
     for i, x in corpus():
@@ -169,27 +168,38 @@ def test_packing(docs):
             assert offset == at
             at += size
         assert at <= capacity
+    cells = defaultdict(lambda: ([], set(), set()))
+    for r in rows:
+        lengths, sequences, told = cells[r.cell]
+        lengths.append(r.length)
+        sequences.add(r.sequence_id)
+        told.add((r.cell_sequences, r.cell_bound))
+    for lengths, sequences, told in cells.values():
+        assert told == {(len(sequences), packing.lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity))}
     total = sum(k[3] * n for k, n in want.items())
     assert len(places) <= -(-total // capacity) * 1.02 + 1
 
 
-def test_encoder_equals_the_tokenizer_on_odd_texts():
-    import pyarrow as pa
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+def test_encoder_equals_the_tokenizer():
+    """On texts of odd parts, on every character beside letters, digits, spaces and marks, and on long runs."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
     rng = random.Random(1)
-    alphabet = ["a", "B", "é", "ß", " ", "  ", "\n", "\t", "'s", "'", "1", "½", "²", "中", " ", " ", " ", "\x1c", "\x85", "<|endoftext|>", ".", "***", "😀", "ñ", "​", "　"]
+    alphabet = ["a", "B", "\u00e9", "\u00df", " ", "  ", "\n", "\t", "'s", "'", "1", "\u00bd", "\u00b2", "\u4e2d", "\u2009", "\u200b", "\xa0", "\x1c", "\x85", "<|endoftext|>", "<|endof", ".", "***", "\U0001f600", "\u00f1", "\u3000"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    encode = packing.PartEncoder(public_tokenizers.path("byte_bpe_50k.json"), 0)
-    for k in range(0, len(texts), 700):
-        part = texts[k : k + 700]
-        assert [x.tolist()[:-1] for x in encode(pa.array(part))] == [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
+    for low in range(0, 0x30000, 16):
+        texts.append(" ".join(f"a{c}b 1{c}2 {c} {c}{c}  {c}.{c}'s" for c in map(chr, range(low, low + 16)) if not 0xD800 <= ord(c) <= 0xDFFF))
+    texts += ["a" * 100_000, " " * 100_000 + "a", "ab1." * 20_000]
+    encode = packing.encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for k in range(0, len(texts), 1000):
+        part = texts[k : k + 1000]
+        assert [x.tolist() for x in encode(part)] == [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
+    assert packing.encoder(path, None)(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275] == encode(["a <|endoftext|> b"])[0].tolist()
 
 
 def test_lower_bound_holds():
     rng = np.random.default_rng(0)
-    for capacity in (10, 64, 100):
+    for capacity in (10, 64, 100, 1):
         for _ in range(30):
             lengths = rng.integers(1, capacity + 1, rng.integers(1, 40))
             bins, offsets, fill = packing.best_fit_decreasing(lengths, capacity)
