@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SENTINELS = ("NR", "NC", "NA", "N/A", "NONE", "NULL")
 HOURS = {"h": 1.0, "hr": 1.0, "hrs": 1.0, "hour": 1.0, "hours": 1.0, "d": 24.0, "day": 24.0, "days": 24.0, "min": 1 / 60, "minute": 1 / 60, "minutes": 1 / 60}
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+# White space at the ends of texts (ASCII), and anywhere in codes (Unicode's).
+SPACE = " \t\n\x0b\f\r"
+ANY_SPACE = SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def as_column(c: Column | str) -> Column:
@@ -17,7 +20,7 @@ def as_column(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without any white space at both ends."""
-    return F.regexp_replace(as_column(c).cast("string"), r"^\s+|\s+$", "")
+    return F.trim(as_column(c).cast("string"), F.lit(SPACE))
 
 
 def filled(c: Column | str) -> Column:
@@ -49,8 +52,8 @@ def or_else(c: Column | str, other: Column | str, blank: object) -> Column:
 
 def code(c: Column | str) -> Column:
     """A code in capitals without white space, ~ before it and / or * behind it; null gives ''."""
-    bare = F.regexp_replace(F.upper(F.coalesce(as_column(c).cast("string"), F.lit(""))), r"(?U)\s+", "")
-    return F.regexp_replace(F.regexp_replace(bare, "^~+", ""), "[/*]+$", "")
+    bare = F.translate(F.upper(F.coalesce(as_column(c).cast("string"), F.lit(""))), ANY_SPACE, "")
+    return F.rtrim(F.ltrim(bare, F.lit("~")), F.lit("/*"))
 
 
 def effect_level(c: Column | str) -> Column:

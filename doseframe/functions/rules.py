@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doseframe.functions.parsing import as_column, code, filled, number, or_else, strip
+from doseframe.functions.parsing import as_column, code, filled, or_else, strip
 
 # Endpoint and effect codes.
 EXCLUDED_ENDPOINTS = ("BAF", "BCF", "BCFD", "LOEL", "LT50", "MATC", "NOEL")
@@ -108,8 +108,9 @@ def oral(name: Column | str, basis: Column | str) -> Column:
 
 
 def duration_bin(duration: Column | str) -> Column:
-    """struct(bin, rule): to half hours from 24 h, to tenths from 1 h, else to hundredths, half to even."""
-    h = number(duration)
+    """struct(bin, rule) of a double: to half hours from 24 h, to tenths from 1 h, else to hundredths, half to even. NaN and
+    infinity count as missing. Text is first parsed into a column of its own."""
+    h = F.when(F.abs(as_column(duration)) < float("inf"), as_column(duration))
     day, hour = F.abs(h) >= 24, F.abs(h) >= 1
     return F.struct(
         F.when(day, F.bround(2 * h) / 2).when(hour, F.bround(h, 1)).when(h.isNotNull(), F.bround(h, 2)).alias("bin"),

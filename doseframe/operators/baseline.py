@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -11,9 +14,16 @@ from pyspark.sql import functions as F
 
 from doseframe.functions.parsing import number
 from doseframe.operators.encode import TabularPreprocessor, feature_columns
+from doseframe.sources.shared import materialised
+
+#: Fits at a time, and rows that a task of a fit takes at most.
+AT_ONCE, ROWS_OF_A_TASK = 8, 100_000
 
 # Names of the models.
-MODELS = {"random_forest": ("random_forest", "rf", "randomforest"), "hist_gradient_boosting": ("hist_gradient_boosting", "hgb", "histgradientboosting", "hist_gbdt", "gradient_boosting", "gbt")}
+MODELS = {
+    "random_forest": ("random_forest", "random_forest_regressor", "rf", "randomforest"),
+    "hist_gradient_boosting": ("hist_gradient_boosting", "hist_gradient_boosting_regressor", "hgb", "histgradientboosting"),
+}
 
 
 def model_name(name: str) -> str:
@@ -37,21 +47,31 @@ def trainable_rows(frame: DataFrame, target: str, head: str) -> DataFrame:
     return rows.join(good, "task_head", "left_semi")
 
 
+def head_predictions(rows: DataFrame, head: str, columns: Sequence[str], model: str, seed: int, size: int) -> DataFrame:
+    """split_part, task_head, y_true and y_pred of one head's rows, from features and a model of its training rows."""
+    own = rows.where(F.col("task_head") == head)
+    train = own.where("split_part = 'train'")
+    ready = TabularPreprocessor().fit(train, columns).transform(own, "_array").select("split_part", "task_head", "y_true", array_to_vector("_array").alias("_features"))
+    parts = max(1, -(-own.count() // ROWS_OF_A_TASK))
+    ready = materialised(ready.coalesce(parts), "features")
+    fitted = regressor(model, seed, size).fit(ready.where("split_part = 'train'").coalesce(parts))
+    return materialised(fitted.transform(ready).select("split_part", "task_head", "y_true", "y_pred"), "predictions")
+
+
 def baseline_predictions(frame: DataFrame, target: str, head: str, model: str = "random_forest", seed: int = 42, size: int = 100, split_name: str = "split") -> DataFrame:
     """split_name, split_part, task_head, y_true and y_pred of all rows; each head's features and model learn from its
-    training rows. Without a head to train it is an error."""
-    rows = trainable_rows(frame, target, head).persist()
+    training rows. Without a head to train it is an error.
+
+    The heads are few (an endpoint family and an effect family each); each fit is distributed, and several run at a time,
+    as a fit of a small head is many short jobs."""
     columns = [c for c in feature_columns(frame, target, head)]
-    out = []
-    for (name,) in rows.select("task_head").distinct().orderBy("task_head").collect():  # few heads; each fit is distributed
-        own = rows.where(F.col("task_head") == name)
-        train = own.where("split_part = 'train'")
-        ready = TabularPreprocessor().fit(train, columns).transform(own, "_array").select("split_part", "task_head", "y_true", array_to_vector("_array").alias("_features")).persist()
-        fitted = regressor(model, seed, size).fit(ready.where("split_part = 'train'"))
-        out.append(fitted.transform(ready).select(F.lit(split_name).alias("split_name"), "split_part", "task_head", "y_true", "y_pred"))
-    if not out:
+    rows = materialised(trainable_rows(frame, target, head), "trainable")
+    names = [name for (name,) in rows.select("task_head").distinct().orderBy("task_head").collect()]
+    if not names:
         raise ValueError("no head has training and other rows")
-    return reduce(DataFrame.unionByName, out)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        out = list(pool.map(inheritable_thread_target(frame.sparkSession)(lambda name: head_predictions(rows, name, columns, model, seed, size)), names))
+    return reduce(DataFrame.unionByName, out).select(F.lit(split_name).alias("split_name"), "split_part", "task_head", "y_true", "y_pred")
 
 
 def run_summary(predictions: DataFrame, features: int) -> DataFrame:

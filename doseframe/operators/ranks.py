@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doseframe.sources.shared import materialised
+
 #: Ranges that a table is cut into for ranking, at least.
 RANGES = 64
 
@@ -12,11 +14,12 @@ RANGES = 64
 def distributed_rank(df: DataFrame, key: str, name: str, ties: str | None = None, total: str | None = None) -> DataFrame:
     """df with name: 1, 2, ... in the order of key (and ties); with total, also the number of all rows.
 
-    Rows are dealt out by ranges of the key, kept, and ranked within each range behind the rows of the ranges before;
+    Rows are dealt out by ranges of the key, written, and ranked within each range behind the rows of the ranges before;
     equal keys are in one range. The ranges are as many as shuffle partitions, so they grow with the cluster."""
     spark = df.sparkSession
     ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()).persist()  # one cut for both uses below
+    ranged = df.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id())
+    ranged = materialised(ranged, "ranges")  # one cut for both uses below
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from doseframe.functions import parsing
 from doseframe.operators import baseline, encode, extras, records, splits
 from doseframe.plans import sql
-from doseframe.plans.records import rounded, targets, tasks, wide
-from doseframe.plans.splits import ASSIGNED, assignments
+from doseframe.plans.records import TASK_INPUTS, rounded, target_table, targets, wide
+from doseframe.plans.splits import ASSIGNED, pair_assignments
 from doseframe.sources import fixtures
+from doseframe.sources.shared import materialised
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,7 +165,9 @@ FEATURES = ["cas_number", "molecular_weight_g_mol", "media_type", "organism_life
 
 
 def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_frame(tasks(spark, sf_dir).where("task_status = 'included'"), assignments(spark, sf_dir), "pairs", "target_records", "result_id")
+    """The included tasks with their part of the split, written once: kinds, categories, medians and fits read it again."""
+    own = target_table(spark, sf_dir, *dict.fromkeys([*TASK_INPUTS, *FEATURES, "dtxsid", "species_number", "target_value"]))
+    return materialised(splits.split_frame(records.with_tasks(own).where("task_status = 'included'"), pair_assignments(own), "pairs", "target_records", "result_id"), "frame")
 
 
 def predictions(spark: SparkSession, sf_dir: str, model: str, size: int = 100) -> DataFrame:

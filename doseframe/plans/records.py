@@ -9,6 +9,7 @@ from doseframe.functions import parsing, rules
 from doseframe.operators import profiles, records
 from doseframe.plans import sql
 from doseframe.sources import fixtures, tables
+from doseframe.sources.shared import materialised
 
 SIX = ("results", "tests", "chemicals", "chemical_category_curated", "species", "species_category_curated")
 MAPPING = {
@@ -35,8 +36,19 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_targets(wide(spark, sf_dir))
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.with_tasks(targets(spark, sf_dir))
+def target_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The targets, or these columns of them, written once: what reads them filters by columns, not by rules."""
+    rows = targets(spark, sf_dir)
+    return materialised(rows.select(*columns) if columns else rows, "targets")
+
+
+#: What the rules of tasks read.
+TASK_INPUTS = ("result_id", "endpoint", "effect", "measurement", "exposure_duration_mean_h", "target_name", "target_basis", "target_status")
+
+
+def tasks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The tasks with these columns of the targets beside TASK_INPUTS."""
+    return records.with_tasks(target_table(spark, sf_dir, *dict.fromkeys([*TASK_INPUTS, *columns])))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -71,7 +83,9 @@ STATS = ("target_value_median", "target_value_mean", "target_value_std", "target
 
 
 def condition_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rounded(records.aggregated(tasks(spark, sf_dir)), *STATS)
+    own = [c for c in records.CONDITION if c not in records.TASK_COLUMNS]
+    rows = materialised(tasks(spark, sf_dir, *own, "target_value").select("result_id", "target_value", "task_status", *records.CONDITION), "tasks")
+    out = rounded(records.aggregated(rows), *STATS)
     return out.withColumn("result_ids", F.concat_ws(",", F.transform("result_ids", lambda x: x.cast("string"))))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.functions import parsing
-from doseframe.operators import metrics, splits
+from doseframe.operators import metrics, records, splits
 from doseframe.plans import sql
-from doseframe.plans.records import rounded, targets, tasks, wide
+from doseframe.plans.records import TASK_INPUTS, rounded, target_table, targets, wide
 from doseframe.sources import tables
-from doseframe.sources.shared import shared_folder
+from doseframe.sources.shared import materialised, shared_folder
 
 
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,12 @@ def medium_transfer_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.medium_parts(targets(spark, sf_dir)).select("result_id", "group_key", "split_part")
 
 
-def assignments(spark: SparkSession, sf_dir: str, kind: str = "chemical_species_group_split") -> DataFrame:
-    return splits.split_assignments(targets(spark, sf_dir), "pairs", kind, "target_records", "result_id")
+def pair_assignments(rows: DataFrame) -> DataFrame:
+    return splits.split_assignments(rows, "pairs", "chemical_species_group_split", "target_records", "result_id")
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_assignments(targets(spark, sf_dir))
 
 
 def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +56,8 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = splits.split_frame(targets(spark, sf_dir), assignments(spark, sf_dir), "pairs", "target_records", "result_id")
+    own = target_table(spark, sf_dir, "result_id", "target_status", "target_value", "cas_number", "species_number")
+    rows = splits.split_frame(own, pair_assignments(own), "pairs", "target_records", "result_id")
     return rounded(rows.select("result_id", "split_part", "target_status", "target_value"), "target_value")
 
 
@@ -111,7 +116,8 @@ def observed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trainable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doseframe.operators.baseline import trainable_rows as rows
 
-    frame = splits.split_frame(tasks(spark, sf_dir), assignments(spark, sf_dir), "pairs", "target_records", "result_id")
+    own = target_table(spark, sf_dir, *TASK_INPUTS, "target_value", "cas_number", "species_number")
+    frame = materialised(splits.split_frame(records.with_tasks(own), pair_assignments(own), "pairs", "target_records", "result_id").select("result_id", "target_value", "task_head", "split_part"), "frame")
     return rounded(rows(frame, "target_value", "task_head").groupBy("task_head", "split_part").agg(F.count("*").alias("n"), F.sum("y_true").alias("total")), "total")
 
 

@@ -1,11 +1,11 @@
-"""New folders that all executors share."""
+"""Folders and tables that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -17,3 +17,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="doseframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/doseframe/{label}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and its rules stay out of the plans that read it."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
