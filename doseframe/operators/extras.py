@@ -25,10 +25,14 @@ def filled_durations(df: DataFrame, duration: str, rules: DataFrame, keys: Seque
     return out.select(*df.columns, F.coalesce(value, rule, near).alias("duration_filled"), source.alias("duration_source"))
 
 
-def exported(target: Column, weight: Column) -> dict[str, Column]:
-    """A negative logarithm back as an amount: mol/L, or mg/kg where it was one, and mg/L."""
+def exported(name: Column, target: Column, weight: Column) -> dict[str, Column]:
+    """A negative logarithm back as an amount, by the target's name: mol/L and mg/L, mg/kg, or mg/kg of body weight a day."""
     amount = F.pow(F.lit(10.0), -target)
-    return {"mol_l": amount, "mg_l": F.when(weight > 0, amount * weight * 1000)}
+    water = name == "ptox_mol_l"
+    return {
+        "mol_l": F.when(water, amount), "mg_l": F.when(water & (weight > 0), amount * weight * 1000),
+        "mg_kg": F.when(name == "neg_log10_mg_kg", amount), "mg_kg_bw_day": F.when(name == "neg_log10_mg_kg_bw_day", amount),
+    }
 
 
 def descriptor_weights(df: DataFrame, cluster: str, descriptor: str, cluster_weight: str, weight: str) -> DataFrame:

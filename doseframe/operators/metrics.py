@@ -45,3 +45,8 @@ def weighted_task_loss(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     heads = predictions.where("y_true is not null and y_pred is not null").groupBy("task_head").agg(F.avg(huber(F.col("y_pred") - F.col("y_true"))).alias("loss"), F.count("*").alias("n"))
     weight = F.coalesce("weight", F.lit(1.0))
     return heads.join(weights.select("task_head", "weight"), "task_head", "left").select("task_head", "n", "loss", weight.alias("weight"), (weight * F.col("loss")).alias("weighted_loss"))
+
+
+def multitask_loss(heads: DataFrame) -> DataFrame:
+    """One row of weighted_task_loss's rows: heads, rows, the sum of the weighted losses, and the mean loss of a row."""
+    return heads.agg(F.count("*").alias("heads"), F.sum("n").alias("n"), F.sum("weighted_loss").alias("total_loss"), (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("mean_loss"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doseframe.functions.parsing import code, effect_level, measured, number, whole
+from doseframe.functions.parsing import code, effect_level, measured, number, or_else, whole
 from doseframe.functions.rules import (
     duration_bin,
     effect_family,
@@ -82,11 +82,19 @@ def with_values(wide: DataFrame, least_doses: int = 3) -> DataFrame:
     return rows.withColumns(value_choice("_mean", "_min", "_max", "_middle")).drop(*read, "_middle")
 
 
+def weight_column(wide: DataFrame) -> Column:
+    """The molecular weight as a double, or that of the fallback; text is parsed, and its sentinels are no weight."""
+    names = ("molecular_weight_g_mol", "molecular_weight_rdkit_g_mol")
+    if any(dict(wide.dtypes)[c] == "string" for c in names):
+        return measured(or_else(*[F.col(c).cast("string") for c in names], ""))
+    return fallback_weight(*names)
+
+
 def with_targets(wide: DataFrame, least_doses: int = 3) -> DataFrame:
     """wide and the eight target columns."""
     rows = with_values(wide, least_doses).withColumns({
         "_kind": unit_kind("conc1_unit_family", "conc1_standard_unit"), "_medium": fallback_medium("media_type", "organism_habitat"),
-        "_weight": fallback_weight("molecular_weight_g_mol", "molecular_weight_rdkit_g_mol"),
+        "_weight": weight_column(wide),
     })
     rows = rows.withColumn("_amount", target_amount("_kind", "tox_value", "_weight"))
     rows = rows.withColumn("excluded_reason", target_reason("_kind", "tox_value", "_amount", "conc1_unit_family", "conc1_standard_unit"))
@@ -140,6 +148,23 @@ def build_stats(targets: DataFrame, least_doses: int = 3) -> DataFrame:
     return targets.agg(F.count("*").alias("target_records"), F.count_if(F.col("target_status") == "included").alias("included_targets"), F.count_if(F.col("target_status") == "excluded").alias("excluded_targets"))
 
 
+def task_stats(tasks: DataFrame) -> DataFrame:
+    """One row: task records, included and excluded ones."""
+    return tasks.agg(F.count("*").alias("task_records"), F.count_if(F.col("task_status") == "included").alias("included_tasks"), F.count_if(F.col("task_status") == "excluded").alias("excluded_tasks"))
+
+
+def aggregate_stats(aggregates: DataFrame) -> DataFrame:
+    """One row: conditions, and the results behind them."""
+    return aggregates.agg(F.count("*").alias("aggregated_task_records"), F.coalesce(F.sum("target_value_count"), F.lit(0)).alias("aggregated_source_records"))
+
+
+def representatives(records: DataFrame, keys: list[str], duration: str, identity: str) -> DataFrame:
+    """(identity, representative): the least identity of the rows with equal keys and an equal duration."""
+    rows = records.where(F.col(duration).isNotNull())
+    least = rows.groupBy(*keys, duration).agg(F.min(identity).alias("representative")).select(*[F.col(c).alias(f"_{c}") for c in [*keys, duration]], "representative")
+    return rows.join(least, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, duration]]).select(identity, "representative")
+
+
 def duration_pairs(records: DataFrame, keys: list[str], duration: str, identity: str, relative: float = 0.002, least: float = 0.05) -> DataFrame:
     """Pairs (a, b) with equal keys and a < b whose durations differ by at most max(least, relative * the larger one).
 

@@ -66,8 +66,10 @@ def medium_parts(df: DataFrame, rules: MediumRules = MediumRules()) -> DataFrame
 
 
 def split_assignments(df: DataFrame, split_name: str, split_type: str, source_table: str, id_column: str, seed: int = SEED, fractions: tuple[float, float, float] = FRACTIONS, rules: MediumRules = MediumRules()) -> DataFrame:
-    """The assignment of every row: split_name, record_id or aggregate_id, split_part, seed, split_type, source_table, group_key."""
+    """The assignment of every row (an empty frame is an error): split_name, record_id or aggregate_id, split_part, seed, split_type, source_table, group_key."""
     kind = split_type.strip().lower()
+    if df.isEmpty():
+        raise ValueError("at least one record is needed to build a split")
     if kind == "random_split":
         parts = random_parts(df, id_column, seed, fractions).withColumn("group_key", F.lit(None).cast("string"))
     elif kind in GROUPS:

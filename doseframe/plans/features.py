@@ -209,9 +209,9 @@ def duration_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = targets(spark, sf_dir).where("target_name = 'ptox_mol_l'")
-    made = extras.exported(F.col("target_value"), F.col("molecular_weight_g_mol"))
-    return rounded(rows.withColumns(made).select("result_id", "mol_l", "mg_l"), "mol_l", "mg_l")
+    rows = target_table(spark, sf_dir, "result_id", "target_name", "target_value", "molecular_weight_g_mol").where("target_name is not null")
+    made = extras.exported(F.col("target_name"), F.col("target_value"), F.col("molecular_weight_g_mol"))
+    return rounded(rows.withColumns(made).select("result_id", *made), *made)
 
 
 def descriptor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +287,10 @@ FROM tests LEFT JOIN rules USING (organism_lifestage, media_type) LEFT JOIN u US
         l="SELECT *, exposure_duration_mean_h AS d, lag(exposure_duration_mean_h) OVER (PARTITION BY species_number, test_cas ORDER BY exposure_duration_mean_h) AS b FROM tests WHERE exposure_duration_mean_h IS NOT NULL",
         o="SELECT *, CASE WHEN b IS NULL OR abs(d - b) <= greatest(0.05, greatest(abs(d), abs(b)) * 0.002) THEN 0 ELSE 1 END AS o FROM l",
     ),
-    "target_export": sql.over("target", "SELECT result_id, round(pow(10, -target_value), 6) AS mol_l, round(CASE WHEN molecular_weight_g_mol > 0 THEN pow(10, -target_value) * molecular_weight_g_mol * 1000 END, 6) AS mg_l FROM target WHERE target_name = 'ptox_mol_l'"),
+    "target_export": sql.over(
+        "target", """SELECT result_id, round(CASE WHEN target_name = 'ptox_mol_l' THEN pow(10, -target_value) END, 6) AS mol_l, round(CASE WHEN target_name = 'ptox_mol_l' AND molecular_weight_g_mol > 0 THEN pow(10, -target_value) * molecular_weight_g_mol * 1000 END, 6) AS mg_l,
+round(CASE WHEN target_name = 'neg_log10_mg_kg' THEN pow(10, -target_value) END, 6) AS mg_kg, round(CASE WHEN target_name = 'neg_log10_mg_kg_bw_day' THEN pow(10, -target_value) END, 6) AS mg_kg_bw_day FROM target WHERE target_name IS NOT NULL""",
+    ),
     "descriptor_weights": "WITH i AS (SELECT p_brand AS cluster, p_type AS descriptor, CAST(sum(p_size) AS DOUBLE) AS w, CAST(max(length(p_brand)) AS DOUBLE) AS c FROM part GROUP BY 1, 2), k AS (SELECT cluster, sum(w) AS own, max(c) AS cw FROM i GROUP BY 1) SELECT i.cluster, descriptor, round(w / own * cw / (SELECT sum(cw) FROM k), 9) AS share FROM i JOIN k ON i.cluster = k.cluster",
     "body_weight_dose": sql.over("wide", "SELECT result_id, round(CASE WHEN w.species_number IS NOT NULL THEN conc1_mean_standardized / (w.species_number / 10.0 + 0.5) END, 6) AS mg_kg FROM wide LEFT JOIN (SELECT * FROM species WHERE species_number % 2 = 0) w ON wide.species_number = w.species_number"),
     "species_sensitivity": sql.over("target", "SELECT cas_number, count(*) AS species, round(quantile_cont(g, 0.05), 6) AS hc05, round(quantile_cont(g, 0.10), 6) AS hc10 FROM (SELECT cas_number, species_number, exp(avg(ln(tox_value))) AS g FROM target WHERE tox_value > 0 GROUP BY 1, 2) GROUP BY 1"),

@@ -82,13 +82,25 @@ def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATS = ("target_value_median", "target_value_mean", "target_value_std", "target_value_min", "target_value_max")
 
 
-def condition_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [c for c in records.CONDITION if c not in records.TASK_COLUMNS]
     rows = materialised(tasks(spark, sf_dir, *own, "target_value").select("result_id", "target_value", "task_status", *records.CONDITION), "tasks")
-    out = rounded(records.aggregated(rows), *STATS)
+    return records.aggregated(rows)
+
+
+def condition_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rounded(aggregates(spark, sf_dir), *STATS)
     return out.withColumn("result_ids", F.concat_ws(",", F.transform("result_ids", lambda x: x.cast("string"))))
 
 
+def task_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.task_stats(tasks(spark, sf_dir))
+
+
+def aggregate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.aggregate_stats(aggregates(spark, sf_dir))
+
+
 def build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.build_stats(targets(spark, sf_dir))
 
@@ -143,7 +155,7 @@ def duration_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.withColumn("log1p_hours", F.log1p("hours")), "hours", "log1p_hours")
 
 
-KEYS = ["species_number"]
+KEYS = ["species_number", "test_cas"]
 
 
 def condition_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +167,11 @@ def duration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(records.duration_pairs(condition_durations(spark, sf_dir), KEYS, "duration", "test_id"), "d_a", "d_b")
 
 
+def duration_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test that stands for each test in duration_pairs."""
+    return records.representatives(fixtures.tables(spark, sf_dir, "tests")["tests"], KEYS, "exposure_duration_mean_h", "test_id")
+
+
 def mapped_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.Mapping.from_config(MAPPING).select(fixtures.tables(spark, sf_dir))
 
@@ -172,8 +189,8 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    wide_records, wide_prefix, target_records, target_summary, task_records, task_summary, condition_aggregate, build_stats, build_manifest, parse_concentration, value_choice, fallback_columns, normalize_codes, effect_level,
-    endpoint_class, effect_family, duration_bins, duration_hours, duration_pairs, mapped_projection, value_profile, table_counts, catalog_scan,
+    wide_records, wide_prefix, target_records, target_summary, task_records, task_summary, condition_aggregate, task_stats, aggregate_stats, build_stats, build_manifest, parse_concentration, value_choice, fallback_columns, normalize_codes, effect_level,
+    endpoint_class, effect_family, duration_bins, duration_hours, duration_pairs, duration_members, mapped_projection, value_profile, table_counts, catalog_scan,
 ]
 
 R6 = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
@@ -199,9 +216,16 @@ SQL = {
     "duration_bins": sql.over("", f"SELECT test_id, {sql.BIN.format('exposure_duration_mean_h')} AS bin, {sql.RULE.format('exposure_duration_mean_h')} AS rule FROM tests"),
     "duration_hours": sql.over("", f"SELECT test_id, round(h, 6) AS hours, round(ln(1 + h), 6) AS log1p_hours FROM (SELECT test_id, exposure_duration_mean_h * CASE lower(trim({UNITS})) WHEN 'h' THEN 1.0 WHEN 'hours' THEN 1.0 WHEN 'd' THEN 24.0 WHEN 'days' THEN 24.0 WHEN 'min' THEN 1.0 / 60 END AS h FROM tests)"),
     "duration_pairs": sql.over(
-        "", """SELECT a.test_id AS a, b.test_id AS b, round(a.d, 6) AS d_a, round(b.d, 6) AS d_b FROM t a JOIN t b ON a.species_number = b.species_number
+        "", """SELECT a.test_id AS a, b.test_id AS b, round(a.d, 6) AS d_a, round(b.d, 6) AS d_b FROM t a JOIN t b ON a.species_number = b.species_number AND a.test_cas = b.test_cas
 AND a.test_id < b.test_id AND abs(a.d - b.d) <= greatest(0.05, greatest(abs(a.d), abs(b.d)) * 0.002)""",
-        t="SELECT species_number, exposure_duration_mean_h AS d, min(test_id) AS test_id FROM tests WHERE exposure_duration_mean_h IS NOT NULL GROUP BY ALL",
+        t="SELECT species_number, test_cas, exposure_duration_mean_h AS d, min(test_id) AS test_id FROM tests WHERE exposure_duration_mean_h IS NOT NULL GROUP BY ALL",
+    ),
+    "duration_members": sql.over("", "SELECT test_id, min(test_id) OVER (PARTITION BY species_number, test_cas, exposure_duration_mean_h) AS representative FROM tests WHERE exposure_duration_mean_h IS NOT NULL"),
+    "task_stats": sql.over("task", "SELECT count(*) AS task_records, count(*) FILTER (task_status = 'included') AS included_tasks, count(*) FILTER (task_status = 'excluded') AS excluded_tasks FROM task"),
+    "aggregate_stats": sql.over("aggregate", "SELECT count(*) AS aggregated_task_records, CAST(coalesce(sum(target_value_count), 0) AS BIGINT) AS aggregated_source_records FROM aggregate"),
+    "build_manifest": sql.over(
+        "target", """SELECT 'limit' AS key, 'None' AS value UNION ALL SELECT 'min_dose_groups_for_midpoint', '3' UNION ALL
+SELECT 'stats', '{"excluded_targets":' || count(*) FILTER (target_status = 'excluded') || ',"included_targets":' || count(*) FILTER (target_status = 'included') || ',"target_records":' || count(*) || '}' FROM target""",
     ),
     "mapped_projection": sql.over(
         "", """SELECT results.result_id, tests.test_id, r.title AS reference_title, c.chemical_name, d.smiles AS dictionary_smiles, cc.chemical_class_l1, s.latin_name, h.habitat FROM results LEFT JOIN tests ON results.test_id = tests.test_id

@@ -39,7 +39,7 @@ def pair_assignments(rows: DataFrame) -> DataFrame:
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_assignments(targets(spark, sf_dir))
+    return pair_assignments(target_table(spark, sf_dir, "result_id", "cas_number", "species_number"))
 
 
 def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,15 @@ def split_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("result_id", "split_part", "target_status", "target_value"), "target_value")
 
 
+MEDIUM_INPUTS = ("primary_medium", "media_type", "organism_habitat", "target_basis")
+
+
 def split_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two splits written, the second one twice; what is read back."""
     path = shared_folder(spark, "splits")
+    rows = target_table(spark, sf_dir, "result_id", "species_number", *MEDIUM_INPUTS)
     for name, kind in (("one", "random_split"), ("two", "species_group_split"), ("two", "medium_transfer_split")):
-        tables.replace_split(splits.split_assignments(targets(spark, sf_dir), name, kind, "target_records", "result_id"), path)
+        tables.replace_split(splits.split_assignments(rows, name, kind, "target_records", "result_id"), path)
     return spark.read.parquet(path).groupBy("split_name", "split_type", "split_part").agg(F.count("*").alias("n"))
 
 
@@ -107,6 +111,12 @@ def weighted_task_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.weighted_task_loss(rows, metrics.head_registry(rows)), "loss", "weight", "weighted_loss")
 
 
+def multitask_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.when(F.col("task_head") == "A", "ECx_Mortality").when(F.col("task_head") == "N", "logBCF").otherwise("other")
+    rows = prices(spark, sf_dir).withColumn("task_head", heads)
+    return rounded(metrics.multitask_loss(metrics.weighted_task_loss(rows, metrics.head_registry(rows))), "total_loss", "mean_loss")
+
+
 def observed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean Huber error over observed labels only, by head."""
     loss = parsing.huber(F.coalesce("y_pred", F.lit(0.0)) - F.col("y_true"))
@@ -123,7 +133,7 @@ def trainable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     random_split, chemical_group_split, species_group_split, pair_group_split, medium_transfer_split, split_assignments, split_summary, split_leakage, split_frame, split_replace, group_keys, regression_metrics, regression_report,
-    metrics_by_medium, huber, weighted_task_loss, observed_mask, trainable_rows,
+    metrics_by_medium, huber, weighted_task_loss, multitask_loss, observed_mask, trainable_rows,
 ]
 
 
@@ -141,6 +151,7 @@ def grouped(*columns: str) -> str:
 PAIR = f"SELECT *, {sql.category('CAST(cas_number AS VARCHAR)')} || '||' || {sql.category('CAST(species_number AS VARCHAR)')} AS group_key FROM target"
 ASSIGNED = {"k": PAIR, "p": parts("SELECT DISTINCT group_key FROM k", "group_key"), "a": "SELECT k.*, split_part FROM k JOIN p ON k.group_key = p.group_key"}
 MEDIUM = "SELECT result_id, concat_ws(' ', " + ", ".join(f"lower({sql.filled(c)})" for c in ("primary_medium", "media_type", "organism_habitat", "target_basis")) + ") AS t FROM target"
+PART = "CASE WHEN t = '' THEN 'valid' WHEN contains(t, 'soil') THEN 'test' WHEN contains(t, 'water') OR contains(t, 'non_soil') OR contains(t, 'aquatic') THEN 'train' WHEN contains(t, 'sediment') THEN 'test' ELSE 'valid' END"
 E = "SELECT *, y_pred - y_true AS e FROM p WHERE y_true IS NOT NULL AND y_pred IS NOT NULL"
 H = "CASE WHEN abs({0}) <= {1} THEN 0.5 * ({0}) * ({0}) ELSE {1} * (abs({0}) - 0.5 * {1}) END"
 METRICS = f"count(*) AS n, round(1 - sum(e * e) / (var_pop(y_true) * count(*)), 6) AS r2, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(avg({H.format('e', '1.0')}), 6) AS huber"
@@ -149,7 +160,7 @@ SQL = {
     "chemical_group_split": grouped("cas_number"),
     "species_group_split": grouped("species_number"),
     "pair_group_split": grouped("cas_number", "species_number"),
-    "medium_transfer_split": sql.over("target", "SELECT result_id, coalesce(nullif(t, ''), '<missing>') AS group_key, CASE WHEN t = '' THEN 'valid' WHEN contains(t, 'soil') THEN 'test' WHEN contains(t, 'water') OR contains(t, 'non_soil') OR contains(t, 'aquatic') THEN 'train' WHEN contains(t, 'sediment') THEN 'test' ELSE 'valid' END AS split_part FROM m", m=MEDIUM),
+    "medium_transfer_split": sql.over("target", f"SELECT result_id, coalesce(nullif(t, ''), '<missing>') AS group_key, {PART} AS split_part FROM m", m=MEDIUM),
     "split_assignments": sql.over("target", "SELECT 'pairs' AS split_name, CAST(result_id AS VARCHAR) AS record_id, CAST(NULL AS VARCHAR) AS aggregate_id, split_part, 42 AS seed, 'chemical_species_group_split' AS split_type, 'target_records' AS source_table, group_key FROM a", **ASSIGNED),
     "split_summary": sql.over("target", "SELECT split_part, count(*) AS n FROM a GROUP BY 1", **ASSIGNED),
     "split_leakage": sql.over("target", "SELECT group_key, count(DISTINCT split_part) AS parts FROM a GROUP BY 1", **ASSIGNED),
@@ -160,6 +171,12 @@ SQL = {
     "metrics_by_medium": f"WITH p AS ({PRICES}), e AS ({E}) SELECT split_name, split_part, task_head, medium, {METRICS} FROM e GROUP BY 1, 2, 3, 4",
     "huber": f"WITH p AS ({PRICES}) SELECT task_head, round(sum({H.format('y_pred - y_true', '2.0')}), 6) AS loss, count(y_pred - y_true) AS n FROM p GROUP BY 1",
     "weighted_task_loss": f"WITH p AS ({PRICES}), e AS ({E}), h AS (SELECT CASE task_head WHEN 'A' THEN 'ECx_Mortality' WHEN 'N' THEN 'logBCF' ELSE 'other' END AS task_head, avg({H.format('e', '1.0')}) AS loss, count(*) AS n FROM e GROUP BY 1) SELECT task_head, n, round(loss, 6) AS loss, w AS weight, round(w * loss, 6) AS weighted_loss FROM (SELECT *, CASE task_head WHEN 'logBCF' THEN CAST(0.3 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS w FROM h)",
+    "multitask_loss": f"""WITH p AS ({PRICES}), e AS ({E}), h AS (SELECT CASE task_head WHEN 'A' THEN 'ECx_Mortality' WHEN 'N' THEN 'logBCF' ELSE 'other' END AS task_head, avg({H.format('e', '1.0')}) AS loss, count(*) AS n FROM e GROUP BY 1)
+SELECT count(*) AS heads, CAST(sum(n) AS BIGINT) AS n, round(sum(loss * CASE task_head WHEN 'logBCF' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END), 6) AS total_loss, round(sum(loss * n) / sum(n), 6) AS mean_loss FROM h""",
+    "split_replace": sql.over(
+        "target", """SELECT 'one' AS split_name, 'random_split' AS split_type, split_part, count(*) AS n FROM r GROUP BY 3 UNION ALL SELECT 'two', 'medium_transfer_split', split_part, count(*) FROM d GROUP BY 3""",
+        r=parts("SELECT result_id FROM target", "result_id"), m=MEDIUM, d=f"SELECT {PART} AS split_part FROM m",
+    ),
     "observed_mask": f"WITH p AS ({PRICES}) SELECT task_head, round(avg({H.format('coalesce(y_pred, 0) - y_true', '1.0')}), 6) AS loss, count(y_true) AS observed FROM p GROUP BY 1",
     "trainable_rows": sql.over("task", """SELECT coalesce(task_head, 'default') AS task_head, split_part, count(*) AS n, round(sum(target_value), 6) AS total FROM q WHERE coalesce(task_head, 'default') IN
 (SELECT coalesce(task_head, 'default') FROM q GROUP BY 1 HAVING count(*) FILTER (split_part = 'train') > 0 AND count(*) FILTER (split_part <> 'train') > 0) GROUP BY 1, 2""", **ASSIGNED, q="SELECT task.task_head, task.target_value, a.split_part FROM task JOIN a ON task.result_id = a.result_id"),

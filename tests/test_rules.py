@@ -134,3 +134,70 @@ def test_stream_equals_batch(spark, tmp_path):
     q = record_stream(stream, str(tmp_path / "out"), str(tmp_path / "at"))
     q.awaitTermination(60)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select("result_id", "task_head").collect())) == sorted(map(str, tasks(spark, SF).select("result_id", "task_head").collect()))
+
+
+def test_text_weights_are_parsed(spark):
+    from doseframe.operators.records import weight_column
+
+    rows = [("180.2", None), ("NR", "3"), ("", "12"), (None, " 7 "), ("0", "5"), ("x", None)]
+    df = spark.createDataFrame(rows, "molecular_weight_g_mol string, molecular_weight_rdkit_g_mol string")
+    assert [r.w for r in df.select(weight_column(df).alias("w")).collect()] == [180.2, None, 12.0, 7.0, 0.0, None]
+
+
+def test_names_of_the_models():
+    import pytest
+
+    from doseframe.operators.baseline import model_name
+
+    assert {model_name(x) for x in ("rf", "RandomForest", "random-forest-regressor", "random_forest")} == {"random_forest"}
+    assert {model_name(x) for x in ("hgb", "HistGradientBoosting", "hist-gradient-boosting-regressor", "hist_gradient_boosting")} == {"hist_gradient_boosting"}
+    with pytest.raises(ValueError):
+        model_name("gbt")
+
+
+def test_an_empty_split_is_an_error(spark):
+    import pytest
+
+    from doseframe.operators import splits
+
+    with pytest.raises(ValueError):
+        splits.split_assignments(spark.createDataFrame([], "record_id long"), "s", "random_split", "t", "record_id")
+
+
+def test_sources(spark, tmp_path):
+    """Samples from rows, tables and queries; named and first tables; splits' sources; heads; first present values; sinks."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from doseframe.sources import tables
+
+    made = tables.samples(spark, rows=[(1, "a")], schema="i int, head string")
+    made.createOrReplaceTempView("target_records")
+    assert tables.samples(spark, table="target_records").count() == tables.samples(spark, query="select * from target_records").count() == 1
+    with pytest.raises(ValueError):
+        tables.samples(spark)
+    assert tables.source_table(spark) == tables.source_table(spark, "target_records") == "target_records"
+    with pytest.raises(ValueError):
+        tables.source_table(spark, "not_there")
+    parts = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "b"), ("t", "a")], "split_name string, source_table string")
+    assert tables.split_source(parts, "s") == "b" and tables.split_source(parts, "s", "x") == "x"
+    with pytest.raises(ValueError):
+        tables.split_source(parts, "u")
+    assert tables.first_column(made, ("x", "head")) == "head"
+    df = spark.createDataFrame([(None, "E", "T"), ("N", "E", "T")], "target_name string, endpoint string, other string")
+    assert [r.h for r in df.select(tables.head_column(df).alias("h")).collect()] == [None, "N"]
+    assert [r.h for r in made.select(tables.head_column(made).alias("h")).collect()] == ["default"]
+    assert [r.v for r in df.select(tables.first_present(df, ["absent", "target_name", "endpoint"]).alias("v")).collect()] == ["E", "N"]
+    report = spark.range(2).select(*[F.lit(1.0).alias(c) for c in tables.REPORT_COLUMNS])
+    for end in ("json", "csv"):
+        tables.write_report(report, f"{tmp_path}/r.{end}")
+    assert spark.read.json(f"{tmp_path}/r.json").count() == spark.read.option("header", True).csv(f"{tmp_path}/r.csv").count() == 2
+    spark.catalog.dropTempView("target_records")
+
+
+def test_run_summary(spark):
+    from doseframe.operators.baseline import run_summary
+
+    rows = spark.createDataFrame([("b",), ("a",), ("a",)], "task_head string")
+    got = run_summary(rows, 7).first()
+    assert (got.predictions, got.heads, got.features) == (3, ["a", "b"], 7)
