@@ -7,12 +7,14 @@ import numpy as np
 Params = dict[str, np.ndarray]
 EMBED, HIDDEN, PER_CLASS = 16, 24, 32  # classes grow with the vocabulary, from PER_CLASS tokens on
 CELLS = 1 << 22  # most probabilities of classes that are held at once
+ROWS = 1 << 16  # states that are scored together, about
+SMALL = 1 << 16  # up to so many tokens their input parts are worked out once
 
 
 def new(counts: np.ndarray, seed: int = 7) -> Params:
     """Parameters for tokens of these counts, most frequent first; the biases give the tokens' own frequencies."""
     rng = np.random.default_rng(seed)
-    per = max(PER_CLASS, int(np.sqrt(len(counts)) / 2))
+    per = max(PER_CLASS, int(np.sqrt(len(counts))))
     classes = -(-len(counts) // per)
     share = np.full(classes * per, 1e-9)
     share[: len(counts)] = (counts + 1) / (counts + 1).sum()
@@ -38,135 +40,186 @@ def step(p: Params, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return n + z * (h - n), z, r, n, un
 
 
-def by_class(targets: np.ndarray, per: int) -> list[tuple[int, np.ndarray]]:
+def segments(targets: np.ndarray, per: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that sorts targets by class, and (class, begin, end) of each class in it."""
     own = targets // per
     order = np.argsort(own, kind="stable")
     values, starts = np.unique(own[order], return_index=True)
-    return list(zip(values.tolist(), np.split(order, starts[1:]), strict=True)) if len(targets) else []
+    return order, list(zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True))
 
 
-def normalised(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(x) of rows, less their largest values where they would overflow; the sums; the logarithms of the sums of exp(x)."""
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+        total = e.sum(axis=1)
+    if np.isfinite(total).all() and total.min(initial=1) > 0:
+        return e, total, np.log(total)
+    most = x.max(axis=1)
+    e = np.exp(x - most[:, None])
+    total = e.sum(axis=1)
+    return e, total, np.log(total) + most
 
 
 def log_probs(p: Params, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms of the targets' probabilities after states h: of the class, and of the token in its class."""
     out, per, most = np.zeros(len(h), h.dtype), p["ww"].shape[2], max(1, CELLS // len(p["bc"]))
     for k in range(0, len(h), most):
-        own, ys = h[k : k + most], targets[k : k + most]
-        part = normalised(own @ p["wc"] + p["bc"])[np.arange(len(own)), ys // per]
-        for c, rows in by_class(ys, per):
-            part[rows] += normalised(own[rows] @ p["ww"][c] + p["bw"][c])[np.arange(len(rows)), ys[rows] % per]
-        out[k : k + most] = part
+        ys = targets[k : k + most]
+        order, parts = segments(ys, per)
+        own, ys = h[k : k + most][order], ys[order]
+        part = np.empty(len(own), h.dtype)
+        x = own @ p["wc"] + p["bc"]
+        at = np.arange(len(own))
+        part = x[at, ys // per] - exponentials(x)[2]
+        for c, i, j in parts:
+            x = own[i:j] @ p["ww"][c] + p["bw"][c]
+            part[i:j] += x[at[: j - i], ys[i:j] - c * per] - exponentials(x)[2]
+        out[k + order] = part
     return out
 
 
-def scores(p: Params, docs: list[np.ndarray], end: int, window: int = 32) -> np.ndarray:
-    """Log-likelihood of each whole document; the state goes on from window to window until the document ends."""
+def scores(p: Params, docs: list[np.ndarray], end: int, rows: int = ROWS) -> np.ndarray:
+    """Log-likelihood of each whole document; the state goes on from window to window until the document ends. A window
+    closes once it has `rows` states."""
     order = np.argsort([-len(d) for d in docs], kind="stable")
     sizes = np.array([len(docs[i]) for i in order], np.int64)
     flat = np.concatenate([docs[i] for i in order]).astype(np.int64)
     starts = np.cumsum(sizes) - sizes
-    table = p["embed"] @ p["wx"] + p["b"]
+    small = len(p["embed"]) <= SMALL
+    table = p["embed"] @ p["wx"] + p["b"] if small else None
     out, h, previous = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), end)
-    for t in range(0, int(sizes[0]) if len(sizes) else 0, window):
-        states, targets, owners = [], [], []
-        for s in range(t, min(t + window, int(sizes[0]))):
-            active = int(np.searchsorted(-sizes, -s, side="left"))  # those longer than s
-            h = step(p, table[previous[:active]], h[:active])[0]
-            previous = flat[starts[:active] + s]
-            states.append(h)
-            targets.append(previous)
-            owners.append(np.arange(active))
-        got = log_probs(p, np.concatenate(states), np.concatenate(targets))
-        out += np.bincount(np.concatenate(owners), got, len(docs))
+    states, targets, owners, held, longest = [], [], [], 0, int(sizes[0]) if len(sizes) else 0
+    actives = np.searchsorted(-sizes, -np.arange(longest), side="left")  # how many are longer than each place
+    for s, active in enumerate(actives.tolist()):
+        gx = table[previous[:active]] if small else p["embed"][previous[:active]] @ p["wx"] + p["b"]
+        h = step(p, gx, h[:active])[0]
+        previous = flat[starts[:active] + s]
+        states.append(h)
+        targets.append(previous)
+        owners.append(active)
+        held += active
+        if held >= rows or s + 1 == longest:
+            got = log_probs(p, np.concatenate(states), np.concatenate(targets))
+            out += np.bincount(np.concatenate([np.arange(n) for n in owners]), got, len(docs))
+            states, targets, owners, held = [], [], [], 0
     result = np.zeros(len(docs))
     result[order] = out
     return result
 
 
-def gradients(p: Params, h0: np.ndarray, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[Params, np.ndarray, float]:
-    """Of the mean loss over one window (time x batch); the last state; the loss."""
+def gradients(p: Params, h0: np.ndarray, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Params, np.ndarray, float]:
+    """Of the mean loss over one window (time x batch); the last state; the loss. fresh: where a document begins, and with
+    it a state of zeros. Places outside the mask come last and count for nothing."""
     steps, batch = inputs.shape
+    shape, dtype = (steps, batch, HIDDEN), p["wh"].dtype
     x = p["embed"][inputs]
     gx = x @ p["wx"] + p["b"]
-    h, kept = h0, []
+    keep = None if fresh is None else (~fresh)[:, :, None].astype(dtype)
+    before, z, r, n, un, after = (np.empty(shape, dtype) for _ in range(6))
+    h = h0
     for t in range(steps):
-        new_h, *inner = step(p, gx[t], h)
-        kept.append((h, *inner))
-        h = np.where(mask[t][:, None], new_h, h)
-    after = [k[0] for k in kept[1:]] + [h]
-    states, flat, seen = np.concatenate(after), targets.ravel(), mask.ravel()
-    count = max(1, int(seen.sum()))
-    g, per = {k: np.zeros(v.shape, v.dtype) for k, v in p.items()}, p["ww"].shape[2]
-    rows = np.flatnonzero(seen)
-    hs, ys = states[rows], flat[rows]
-    lc = normalised(hs @ p["wc"] + p["bc"])
-    loss = -lc[np.arange(len(rows)), ys // per].sum()
-    d = np.exp(lc)
-    d[np.arange(len(rows)), ys // per] -= 1
-    d /= count
+        before[t] = h if keep is None else h * keep[t]
+        after[t], z[t], r[t], n[t], un[t] = step(p, gx[t], before[t])
+        h = after[t]
+    seen = np.flatnonzero(mask.ravel())
+    count, per = max(1, len(seen)), p["ww"].shape[2]
+    order, parts = segments(targets.ravel()[seen], per)
+    rows = seen[order]
+    hs, ys, at = after.reshape(-1, HIDDEN)[rows], targets.ravel()[rows], np.arange(len(rows))
+    g = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+
+    def softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, float]:
+        """The logits' gradient, and the loss."""
+        hit = logits[at[: len(own)], own]
+        e, total, log = exponentials(logits)
+        e *= (1 / (total * count))[:, None]
+        e[at[: len(own)], own] -= 1 / count
+        return e, float((log - hit).sum())
+
+    d, loss = softmax(hs @ p["wc"] + p["bc"], ys // per)
     g["wc"], g["bc"], dh = hs.T @ d, d.sum(axis=0), d @ p["wc"].T
-    for c, own in by_class(ys, per):
-        lw = normalised(hs[own] @ p["ww"][c] + p["bw"][c])
-        loss -= lw[np.arange(len(own)), ys[own] % per].sum()
-        dw = np.exp(lw)
-        dw[np.arange(len(own)), ys[own] % per] -= 1
-        dw /= count
-        g["ww"][c], g["bw"][c] = hs[own].T @ dw, dw.sum(axis=0)
-        dh[own] += dw @ p["ww"][c].T
-    dstates = np.zeros_like(states)
+    for c, i, j in parts:
+        d, more = softmax(hs[i:j] @ p["ww"][c] + p["bw"][c], ys[i:j] - c * per)
+        loss += more
+        g["ww"][c], g["bw"][c] = hs[i:j].T @ d, d.sum(axis=0)
+        dh[i:j] += d @ p["ww"][c].T
+    dstates = np.zeros((steps * batch, HIDDEN), dtype)
     dstates[rows] = dh
-    dstates = dstates.reshape(steps, batch, HIDDEN)
-    dgx, carried = np.zeros_like(gx), np.zeros_like(h0)
+    dstates = dstates.reshape(shape)
+    by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), un * r * (1 - r)
+    dgx, dgh, carried, back = np.empty((*shape[:2], 3 * HIDDEN), dtype), np.empty((*shape[:2], 3 * HIDDEN), dtype), np.zeros_like(h0), p["wh"].T.copy()
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, un = kept[t]
-        m = mask[t][:, None]
         total = dstates[t] + carried
-        d_new = np.where(m, total, 0)
-        dn = d_new * (1 - z) * (1 - n * n)
-        dz = d_new * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        dgh = np.concatenate([dz, dr, dn * r], axis=1)
-        dgx[t] = np.concatenate([dz, dr, dn], axis=1)
-        g["wh"] += before.T @ dgh
-        carried = np.where(m, d_new * z + dgh @ p["wh"].T, total)
-    flat_dgx = dgx.reshape(-1, 3 * HIDDEN)
-    g["b"], g["wx"] = flat_dgx.sum(axis=0), x.reshape(-1, EMBED).T @ flat_dgx
-    np.add.at(g["embed"], inputs.ravel(), flat_dgx @ p["wx"].T)
-    return g, h, float(loss)
-
-
-def train(p: Params, docs: list[np.ndarray], end: int, batch: int = 48, window: int = 20, rate: float = 0.004) -> Params:
-    """One pass over the documents by truncated backpropagation; a document's state goes on over its windows."""
+        dn = total * by_n[t]
+        dgx[t, :, :HIDDEN] = total * by_z[t]
+        dgx[t, :, HIDDEN : 2 * HIDDEN] = dn * by_r[t]
+        dgx[t, :, 2 * HIDDEN :] = dn
+        dgh[t] = dgx[t]
+        dgh[t, :, 2 * HIDDEN :] *= r[t]
+        carried = total * z[t] + dgh[t] @ back
+        if keep is not None:
+            carried *= keep[t]
+    flat = dgx.reshape(-1, 3 * HIDDEN)
+    g["wh"] = before.reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
+    g["b"], g["wx"] = flat.sum(axis=0), x.reshape(-1, EMBED).T @ flat
+    dx, words = flat @ p["wx"].T, inputs.ravel()
+    order = np.argsort(words, kind="stable")
+    own, starts = np.unique(words[order], return_index=True)
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][own] = np.add.reduceat(dx[order], starts, axis=0)
+    return g, h, loss
+
+
+def train(p: Params, docs: list[np.ndarray], end: int, batch: int = 512, window: int = 20, rate: float = 0.01) -> Params:
+    """One pass over the documents by truncated backpropagation, in windows of `batch` streams.
+
+    The documents stand one after another, in an order drawn anew, cut into streams of one length, so that no place is
+    padded but in the last window. A document's state goes on over its windows; it begins anew only at the head of a stream."""
     p = {k: v.copy() for k, v in p.items()}
     m, v, turn = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
-    groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-    for k in np.random.default_rng(len(docs)).permutation(len(groups)).tolist():
-        own = [docs[i] for i in groups[k]]
-        longest = max(map(len, own))
-        targets, mask = np.zeros((longest, len(own)), np.int64), np.zeros((longest, len(own)), bool)
-        for j, d in enumerate(own):
-            targets[: len(d), j], mask[: len(d), j] = d, True
-        inputs = np.concatenate([np.full((1, len(own)), end), targets[:-1]])
-        h = np.zeros((len(own), HIDDEN), np.float32)
-        for t in range(0, longest, window):
-            at = slice(t, t + window)
-            g, h, _ = gradients(p, h, inputs[at], targets[at], mask[at])
-            turn += 1
-            # only what the window touches moves: of a large vocabulary that is a small part
-            words, classes = np.unique(inputs[at]), np.unique(targets[at][mask[at]] // p["ww"].shape[2])
-            touched = {"embed": words, "ww": classes, "bw": classes}
-            g = {name: x[touched[name]] if name in touched else x for name, x in g.items()}
-            size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            scale = min(1.0, 1.0 / max(size, 1e-9))
-            for name, x in g.items():
-                x, rows = x * np.float32(scale), touched.get(name, slice(None))
-                m[name][rows] = first = 0.9 * m[name][rows] + 0.1 * x
-                v[name][rows] = second = 0.99 * v[name][rows] + 0.01 * x * x
-                p[name][rows] -= (rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
+    docs = [docs[i] for i in np.random.default_rng(len(docs)).permutation(len(docs)).tolist() if len(docs[i])]
+    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    batch = max(1, min(batch, len(flat) // window))
+    long = -(-len(flat) // batch)
+    begins = np.zeros(long * batch, bool)
+    begins[np.cumsum([0, *map(len, docs[:-1])])[: len(docs)]] = True
+    begins = begins.reshape(batch, long)
+    targets = np.concatenate([flat, np.zeros(long * batch - len(flat), flat.dtype)]).reshape(batch, long)
+    h, last = np.zeros((batch, HIDDEN), p["wh"].dtype), np.full((batch, 1), end)
+    for t in range(0, long, window):
+        at = slice(t, t + window)
+        fresh, aim = begins[:, at].T, targets[:, at].T
+        inputs = np.concatenate([last, targets[:, at][:, :-1]], axis=1).T
+        inputs = np.where(fresh, end, inputs)
+        last = targets[:, at][:, -1:]
+        mask = (np.arange(batch)[None, :] * long + np.arange(t, min(t + window, long))[:, None]) < len(flat)
+        g, h, _ = gradients(p, h, inputs, aim, mask, fresh)
+        turn += 1
+        # only what the window touches moves: of a large vocabulary that is a small part
+        words, classes = np.unique(inputs), np.unique(aim[mask] // p["ww"].shape[2])
+        touched = {"embed": words} | ({"ww": classes, "bw": classes} if 2 * len(classes) < len(p["bc"]) else {})
+        g = {name: x[touched[name]] if name in touched else x for name, x in g.items()}
+        size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
+        one, two = np.float32(rate / (1 - 0.9**turn)), np.float32(1 / (1 - 0.99**turn))
+        for name, x in g.items():
+            rows = touched.get(name, slice(None))
+            x *= scale
+            first, second = m[name][rows], v[name][rows]  # copies where rows are listed
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * x
+            x *= x
+            second *= np.float32(0.99)
+            second += np.float32(0.01) * x
+            np.multiply(second, two, out=x)
+            np.sqrt(x, out=x)
+            x += np.float32(1e-6)
+            np.divide(first, x, out=x)
+            x *= one
+            if name in touched:
+                m[name][rows], v[name][rows] = first, second
+            p[name][rows] -= x
     return p
 
 

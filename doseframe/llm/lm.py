@@ -1,13 +1,14 @@
 """Scores of whole documents under a gated recurrent language model learned from the corpus.
 
 Token counts cover all training documents. The most frequent tokens are the model's own; any other is the model's
-unknown token, times its share of all unknown ones, so the probabilities of all words sum to one. The model is trained
-in rounds: shards of all training documents train copies, which are averaged.
+unknown token, times its share of all unknown ones, so the probabilities of all words sum to one. Every training document
+is trained on once, in rounds: in each, every partition trains a copy on its part of them, and the copies are averaged.
 """
 
 from __future__ import annotations
 
 import io
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.llm import gru
-from doseframe.llm.base import WordHashes, in_small_batches, texts_as_bytes, written
+from doseframe.llm.base import in_small_batches, texts_as_bytes, tidy, written
 
 #: The end's place among the words; no word holds white space.
 END_WORD = b"\n"
 VOCABULARY, OFTEN = 1024, 50  # tokens of the model, the unknown one and the end among them, at least; all that occur so often are
 TABLE = 1 << 19  # most frequent tokens whose counts are broadcast; the others' counts are joined
-SHARDS, SHARD_TOKENS, ROUNDS = 4, 2_000_000, 3  # shards at least, and tokens of one, about
+SHARDS, SHARD_TOKENS, ROUNDS = 4, 2_000_000, 3  # copies at least, tokens that one trains on at once, rounds in one pass
+CODED_TOKENS = 400_000  # tokens that are looked up together
 HELD_TOKENS, HELD_DOCS = 1_500_000, 6000
 
 
@@ -41,42 +43,41 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """(token, n): 64-bit hashes of all tokens and their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held: Counter[bytes] = Counter()
 
         def sent() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+            h = np.fromiter(map(xxhash.xxh64_intdigest, held), np.uint64, len(held))
+            n = np.fromiter(held.values(), np.int64, len(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["token", "n"])
 
         for batch in batches:
             for t in texts_as_bytes(batch.column(0)):
-                held.append(hashes.of(tokens(t)))
-                size += len(held[-1])
-                if size >= 3_000_000:
+                held.update(tokens(t))
+                if len(held) >= 300_000:
                     yield sent()
-                    held, size = [], 0
         if held:
             yield sent()
 
-    return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-class Table(dict):
-    """Place of a word among the broadcast tokens, -1 for others; remembered up to a bounded number of words."""
+class Table:
+    """Places of words among the broadcast tokens, -1 for others; remembered up to a bounded number of words."""
 
     def __init__(self, hashes: np.ndarray, most: int = 400_000):
-        super().__init__()
-        self.hashes, self.most = hashes, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = np.uint64(xxhash.xxh64_intdigest(word))
-        at = int(np.searchsorted(self.hashes, h))
-        self[word] = at = at if at < len(self.hashes) and self.hashes[at] == h else -1
-        return at
+        self.hashes, self.most, self.known = hashes, most, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.known) >= self.most:
+            self.known.clear()
+        new = list(set(words).difference(self.known))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        at = np.where(self.hashes[at] == h, at, -1) if len(self.hashes) else np.full(len(new), -1)
+        self.known.update(zip(new, at.tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 class Model:
@@ -110,38 +111,70 @@ def packed_params(p: gru.Params) -> bytes:
     return out.getvalue()
 
 
-def coded(texts: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, ids): the model's tokens of each text."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def coded(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row of docs (doc_id, text, held_out) as numbers: row, doc_id, held_out, round (of training), n_tokens, known (of the
+    broadcast tokens), base (what they add to base_score), more (to score, beside the model's), ids (the model's tokens), rare
+    (hashes of tokens that aren't broadcast)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        table = Table(model.hashes)
+        table, row = Table(model.hashes), TaskContext.get().partitionId() << 40
+        logs = np.append(np.log10(model.counts + 1.0), 0.0)
+        common, rest = float(np.log10(model.total + model.distinct + 1.0)), float(np.log10(model.rest))
+
+        def sent(own: pa.RecordBatch, held: list[list[bytes]]) -> pa.RecordBatch:
+            nonlocal row
+            words = [w for d in held for w in d]
+            at, sizes = table.of(words), np.fromiter(map(len, held), np.int64, len(held))
+            starts = np.cumsum(sizes) - sizes  # every document has its end at least
+            per = lambda x: np.add.reduceat(x, starts)
+            ids, gone = model.ids[at], np.flatnonzero(at < 0)
+            unknown = ids == model.unknown
+            rare = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in gone.tolist()), np.uint64, len(gone)).view(np.int64)
+            more = per(np.where(unknown, logs[at] - rest, 0.0)) if model.total else np.zeros(len(held))
+            rows = np.arange(row, row + len(held))
+            row += len(held)
+            lists = lambda ends, flat: pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
+            columns = [rows, rows % 27_720, sizes, per((at >= 0).astype(np.int64)), per(logs[at]) - sizes * common, more]
+            return pa.RecordBatch.from_arrays(
+                [own.column(0), own.column(2), *map(pa.array, columns), lists(starts + sizes, ids.astype(np.int32)), lists(np.cumsum(per((at < 0).astype(np.int64))), rare)],
+                names=["doc_id", "held_out", "row", "round", "n_tokens", "known", "base", "more", "ids", "rare"],
+            )
+
         for batch in batches:
-            docs = [model.ids[table.of(tokens(t))] for t in texts_as_bytes(batch.column(1))]
-            if docs:
-                ends = np.cumsum([0, *map(len, docs)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(docs).astype(np.int32)))], names=["doc_id", "ids"])
+            first, size, held = 0, 0, []
+            for i, t in enumerate(texts_as_bytes(batch.column(1))):
+                held.append(tokens(t))
+                size += len(held[-1])
+                if size >= CODED_TOKENS:
+                    yield sent(batch.slice(first, len(held)), held)
+                    first, size, held = i + 1, 0, []
+            if held:
+                yield sent(batch.slice(first), held)
+
+    fields = "doc_id long, held_out boolean, row long, round long, n_tokens long, known long, base double, more double, ids array<int>, rare array<long>"
+    return docs.select("doc_id", "text", "held_out").mapInArrow(tidy(run), fields)
+
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+def documents_of(ids: pa.Array) -> list[np.ndarray]:
+    ends = np.cumsum(ids.value_lengths().to_numpy())
+    return np.split(ids.flatten().to_numpy(), ends[:-1]) if len(ends) else []
 
 
 def trained(model: Model, docs: DataFrame, rounds: int) -> tuple[gru.Params, int]:
-    """The model's parameters after rounds of training on all docs (ids), and the tokens that a round was trained on.
+    """The model's parameters after rounds of training on docs (round, ids), each document in its round, and the tokens seen.
 
     Each partition trains a copy, buffer by buffer; the copies are averaged pairwise on the executors after each round."""
     spark, params, seen = docs.sparkSession, model.params, 0
-
-    for _ in range(rounds):
+    for turn in range(rounds):
         shared = spark.sparkContext.broadcast((params, model.end))
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             (params, end), held, size, total = shared.value, [], 0, 0
             for batch in batches:
-                ids = batch.column(0)
-                flat, ends = ids.flatten().to_numpy().astype(np.int64), np.cumsum(ids.value_lengths().to_numpy())
-                held += np.split(flat, ends[:-1]) if len(ends) else []
-                size += len(flat)
+                held += documents_of(batch.column(0))
+                size += len(batch.column(0).flatten())
                 if size >= SHARD_TOKENS:
                     params, total = gru.train(params, held, end), total + size
                     held, size = [], 0
@@ -150,15 +183,16 @@ def trained(model: Model, docs: DataFrame, rounds: int) -> tuple[gru.Params, int
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([packed_params(params)], pa.binary())], names=["n", "params"])
 
-        got = written(docs.select("ids").mapInArrow(run, "n long, params binary"), "lm-params")
-        if got.isEmpty():
-            break
-        seen, params = got.rdd.map(lambda r: (r.n, unpacked_params(r.params))).treeReduce(lambda a, b: (a[0] + b[0], gru.mean([a[1], b[1]], [a[0], b[0]])))
+        own = docs.where(F.col("round") % rounds == turn).select("ids")
+        got = written(own.mapInArrow(tidy(run), "n long, params binary"), "lm-params")
+        if not got.isEmpty():
+            more, params = got.rdd.map(lambda r: (r.n, unpacked_params(r.params))).treeReduce(lambda a, b: (a[0] + b[0], gru.mean([a[1], b[1]], [a[0], b[0]])))
+            seen += more
     return params, seen
 
 
-def fit(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model of training texts (doc_id, text) and their counts; counts and recurrent weights come from all texts."""
+def counted(counts: DataFrame) -> Model:
+    """The model of the counts, before training."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     level = F.floor(F.log2("n") * 16).cast("int")  # so many a doubling: a thousand at most
     above, least = 0, 0
@@ -168,61 +202,52 @@ def fit(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
             break
         above += n
     top = counts.where(level >= least).toArrow()
-    model = Model(top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy(), total, distinct)
-    shards = max(SHARDS, -(-total // SHARD_TOKENS))
-    docs = written(coded(texts, model).repartition(shards, F.xxhash64("doc_id", "ids")).select("ids"), "lm-coded")
-    model.params, model.trained_tokens = trained(model, docs, rounds)
-    return model
+    return Model(top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy(), total, distinct)
 
 
-def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text, held_out)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def fit(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model learned from the rows of docs (doc_id, text, held_out) that aren't held out, and their counts; and all docs coded."""
+    model = counted(counts)
+    rows = written(coded(docs, model), "lm-coded")
+    shards = max(SHARDS, -(-model.total // (rounds * SHARD_TOKENS)))
+    model.params, model.trained_tokens = trained(model, rows.where("not held_out").select("round", "ids").coalesce(shards), rounds)
+    return model, rows
+
+
+def scored(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every coded row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kept = ["doc_id", "held_out", "row", "n_tokens", "known", "base", "more", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table, held, size, row = Table(model.hashes), [], 0, TaskContext.get().partitionId() << 40
-        logs = np.append(np.log10(model.counts + 1.0), 0.0)
-        common = float(np.log10(model.total + model.distinct + 1.0)), float(np.log10(model.rest))
+        model, held, docs, size = shared.value, [], [], 0
 
-        def sent() -> pa.RecordBatch:
-            nonlocal row
-            own = [x[2] for x in held]
-            lm = gru.scores(model.params, [model.ids[x] for x in own], model.end) / np.log(10) if model.total else np.zeros(len(own))
-            known = np.array([np.count_nonzero(x >= 0) for x in own])
-            base = np.array([logs[x].sum() - len(x) * common[0] for x in own])
-            unknown = [model.ids[x] == model.unknown for x in own]
-            more = np.array([logs[x][u].sum() - u.sum() * common[1] if model.total else 0.0 for x, u in zip(own, unknown, strict=True)])
-            rare = [x[3] for x in held]
-            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(held))), pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.bool_()), pa.array([len(x) for x in own], pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lm + more), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64)))],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "lm", "rare"],
-            )
-            row += len(held)
+        def sent() -> Iterator[pa.RecordBatch]:
+            found, i = gru.scores(model.params, docs, model.end) / np.log(10) if model.total else np.zeros(len(docs)), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found[i : i + b.num_rows])], names=[*kept, "lm"])
+                i += b.num_rows
             held.clear()
-            return out
+            docs.clear()
 
         for batch in batches:
-            for doc, out, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
-                words = tokens(t)
-                at = table.of(words)
-                rare = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(at < 0).tolist()), np.uint64)
-                held.append((doc, out, at, rare))
-                size += len(at)
-                if size >= HELD_TOKENS or len(held) >= HELD_DOCS:
-                    yield sent()
-                    size = 0
-        if held:
-            yield sent()
-
-    fields = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, lm double, rare array<long>"
-    first = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, fields), "lm-scores")
+            held.append(batch)
+            docs += documents_of(batch.column(len(kept)))
+            size += len(batch.column(len(kept)).flatten())
+            if size >= HELD_TOKENS or len(docs) >= HELD_DOCS:
+                yield from sent()
+                size = 0
+        if docs:
+            yield from sent()
+
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", lm double"
+    first = written(rows.select(*kept, "ids").mapInArrow(tidy(run), fields), "lm-scores")
     # what the broadcast counts don't have adds log10(n + 1) to both scores
-    found = first.select("row", F.explode("rare").alias("token")).join(counts, "token").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("log"))
+    found = first.select("row", F.explode("rare").alias("token")).join(counts, "token").groupBy("row").agg(F.count("*").alias("also"), F.sum(F.log10(F.col("n") + 1.0)).alias("log"))
     both = first.drop("rare").join(found, "row", "left")
     log = F.coalesce("log", F.lit(0.0))
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("lm") + log).alias("score"))
+    known = F.col("known") + F.coalesce("also", F.lit(0))
+    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("lm") + F.col("more") + log).alias("score"))
 
 
 def language_model(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -232,6 +257,6 @@ def language_model(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     text is the end alone. A null doc_id isn't held out and stays null; repeated rows count and are scored each. Without
     training rows both scores are 0; an empty table gives an empty one. Other columns are not looked at."""
     docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    train = docs.where("not held_out").select("doc_id", "text")
-    counts = written(token_counts(train.select("text")), "lm-counts")
-    return scored(docs, fit(train, counts, rounds), counts)
+    counts = written(token_counts(docs.where("not held_out").select("text")), "lm-counts")
+    model, rows = fit(docs, counts, rounds)
+    return scored(rows, model, counts)

@@ -124,11 +124,60 @@ def test_gradients_of_the_network():
         assert abs((losses[0] - losses[1]) / 2e-5 - g[name][at]) < 1e-4 * max(1, abs(g[name][at])), name
 
 
+def test_gradients_where_documents_begin_within_a_window():
+    rng = np.random.default_rng(4)
+    p = {k: v.astype(np.float64) + 0.05 * rng.standard_normal(v.shape) for k, v in gru.new(np.arange(70, 0, -1)).items()}
+    inputs, targets, fresh = rng.integers(0, 70, (6, 3)), rng.integers(0, 70, (6, 3)), np.zeros((6, 3), bool)
+    fresh[3, 1] = fresh[0, 2] = True
+    h = rng.standard_normal((3, gru.HIDDEN)) * 0.1
+    g, _, _ = gru.gradients(p, h, inputs, targets, np.ones((6, 3), bool), fresh)
+    for name in ("wh", "wx", "embed"):
+        at = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
+        losses = []
+        for e in (1e-5, -1e-5):
+            q = {k: v.copy() for k, v in p.items()}
+            q[name][at] += e
+            losses.append(gru.gradients(q, h, inputs, targets, np.ones((6, 3), bool), fresh)[2] / 18)
+        assert abs((losses[0] - losses[1]) / 2e-5 - g[name][at]) < 1e-4, name
+
+
+def test_a_document_of_millions_of_words_trains_in_streams():
+    p = gru.new(np.arange(70, 0, -1))
+    out = gru.train(p, [np.random.default_rng(1).integers(0, 4, 2_000_000).astype(np.int32), np.array([5], np.int32), np.zeros(0, np.int32)], 1)
+    assert gru.scores(out, [np.array([1, 2, 3])], 1)[0] > gru.scores(p, [np.array([1, 2, 3])], 1)[0]
+    assert all(np.array_equal(v, p[k]) for k, v in gru.train(p, [], 1).items())
+
+
+def test_scores_equal_a_plain_network(spark):
+    """score of the query against a network written out word by word, with the unknown token's share."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % (7 + i % 5)}" for k in range(60))) for i in range(80)] + [(500, "new words w1"), (501, None)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text", lm.held_out().alias("held_out"))
+    counts = lm.token_counts(docs.where("not held_out").select("text"))
+    model, rows = lm.fit(docs, counts)
+    seen = Counter(w for r in docs.collect() if not r.held_out for w in lm.tokens((r.text or "").encode()))
+    p, table = {k: v.astype(np.float64) for k, v in model.params.items()}, lm.Table(model.hashes)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    got = {r.doc_id: r.score for r in lm.scored(rows, model, counts).collect()}
+    for r in docs.collect():
+        h, last, total, n = np.zeros(gru.HIDDEN), model.end, 0.0, gru.HIDDEN
+        for w in lm.tokens((r.text or "").encode()):
+            x, u = p["embed"][last] @ p["wx"] + p["b"], h @ p["wh"]
+            z, g = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+            c = np.tanh(x[2 * n :] + g * u[2 * n :])
+            h = (1 - z) * c + z * h
+            last = int(model.ids[table.of([w])[0]])
+            k, j = divmod(last, p["ww"].shape[2])
+            a, b = h @ p["wc"] + p["bc"], h @ p["ww"][k] + p["bw"][k]
+            total += a[k] - np.log(np.exp(a).sum()) + b[j] - np.log(np.exp(b).sum())
+            total += np.log((seen[w] + 1) / model.rest) if last == model.unknown else 0
+        assert math.isclose(got[r.doc_id], total / math.log(10), rel_tol=1e-4), r.doc_id
+
+
 def test_scores_go_on_over_windows_and_sum_to_one():
     p = gru.new(np.arange(70, 0, -1))
     p["wh"] += 0.3
     docs = [np.random.default_rng(i).integers(0, 70, n) for i, n in enumerate((1, 40, 7, 90))]
-    assert np.allclose(gru.scores(p, docs, 1, 32), gru.scores(p, docs, 1, 1000), atol=1e-3)
+    assert np.allclose(gru.scores(p, docs, 1, 5), gru.scores(p, docs, 1, 1000), atol=1e-3)
     h = np.random.default_rng(0).standard_normal((1, gru.HIDDEN)).astype(np.float32)
     assert abs(np.exp(gru.log_probs(p, np.repeat(h, 70, 0), np.arange(70))).sum() - 1) < 1e-4
 
@@ -155,7 +204,7 @@ def test_language_model(spark):
 def test_language_model_learns_from_all_documents(spark):
     docs = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id % 1500, ' w', (id + 1) % 1500, ' ', repeat(concat('w', id % 1500, ' '), 20)) AS text")
     counts = lm.token_counts(docs.select("text"))
-    model = lm.fit(docs, counts, rounds=1)
+    model, _ = lm.fit(docs.selectExpr("*", "false AS held_out"), counts, rounds=3)
     assert model.trained_tokens == model.total == 5000 * 23
     assert len(model.params["embed"]) == 1502  # every word occurs over 50 times, and has a token of its own
 
