@@ -23,10 +23,13 @@ from doseframe.llm.base import in_small_batches, texts_as_bytes, tidy, written
 
 #: The end's place among the words; no word holds white space.
 END_WORD = b"\n"
-VOCABULARY, OFTEN = 1024, 50  # tokens of the model, the unknown one and the end among them, at least; all that occur so often are
+#: Tokens of the model, the unknown one and the end among them, at least. More are those that occur OFTEN, as many as
+#: GROWN, or where that is more, twice the square root of the corpus's tokens: a pass's time grows with its square root.
+VOCABULARY, OFTEN, GROWN = 1024, 50, 2048
 TABLE = 1 << 19  # most frequent tokens whose counts are broadcast; the others' counts are joined
 SHARDS, SHARD_TOKENS, ROUNDS = 4, 2_000_000, 3  # copies at least, tokens that one trains on at once, rounds in one pass
-CODED_TOKENS = 400_000  # tokens that are looked up together
+FOLD = 16  # copies that a task averages
+CODED_TOKENS = 200_000  # tokens that are looked up together
 HELD_TOKENS, HELD_DOCS = 1_500_000, 6000
 
 
@@ -87,7 +90,7 @@ class Model:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.distinct = total, distinct
-        best = np.lexsort((self.hashes, -self.counts))[: max(VOCABULARY - 1, int(np.count_nonzero(self.counts >= OFTEN)))]
+        best = np.lexsort((self.hashes, -self.counts))[: max(VOCABULARY - 1, min(int(np.count_nonzero(self.counts >= OFTEN)), max(GROWN, int(2 * total**0.5))))]
         known = int(self.counts[best].sum())
         self.rest = total - known + distinct - len(best) + 1  # of counts and types beyond the model's own, and the unseen one
         n = np.append(self.counts[best], total - known)
@@ -162,10 +165,21 @@ def documents_of(ids: pa.Array) -> list[np.ndarray]:
     return np.split(ids.flatten().to_numpy(), ends[:-1]) if len(ends) else []
 
 
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a partition's (n, params): the tokens of all copies, and the copies' mean by tokens."""
+    total, mean = 0, {}
+    for batch in batches:
+        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own, total = unpacked_params(raw.as_py()), total + n
+            mean = gru.mean([mean, own], [total - n, n]) if mean else own
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([packed_params(mean)], pa.binary())], names=["n", "params"])
+
+
 def trained(model: Model, docs: DataFrame, rounds: int) -> tuple[gru.Params, int]:
     """The model's parameters after rounds of training on docs (round, ids), each document in its round, and the tokens seen.
 
-    Each partition trains a copy, buffer by buffer; the copies are averaged pairwise on the executors after each round."""
+    Each partition trains a copy, buffer by buffer; the copies are averaged FOLD at a time on the executors after each round."""
     spark, params, seen = docs.sparkSession, model.params, 0
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((params, model.end))
@@ -185,9 +199,10 @@ def trained(model: Model, docs: DataFrame, rounds: int) -> tuple[gru.Params, int
 
         own = docs.where(F.col("round") % rounds == turn).select("ids")
         got = written(own.mapInArrow(tidy(run), "n long, params binary"), "lm-params")
-        if not got.isEmpty():
-            more, params = got.rdd.map(lambda r: (r.n, unpacked_params(r.params))).treeReduce(lambda a, b: (a[0] + b[0], gru.mean([a[1], b[1]], [a[0], b[0]])))
-            seen += more
+        while (parts := got.count()) > 1:
+            got = written(got.coalesce(-(-parts // FOLD)).mapInArrow(tidy(averaged), "n long, params binary"), "lm-params")
+        if (last := got.first()) is not None:
+            seen, params = seen + last.n, unpacked_params(last.params)
     return params, seen
 
 
