@@ -112,7 +112,7 @@ def tags(data: bytes) -> tuple[int, int, dict[str, str]]:
         size = sum((b & 127) << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
         start, at = 10 + size + (10 if data[5] & 16 else 0), 10
         while at + 10 <= min(10 + size, end) and data[at]:
-            n = sum((b & 127) << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0), strict=True)) if data[3] == 4 else struct.unpack(">I", data[at + 4 : at + 8])[0]
+            n = sum((b & 127) << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0), strict=True)) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8])
             name, body = data[at : at + 4].decode("latin-1"), data[at + 11 : at + 10 + n].decode("latin-1")
             key, _, value = body.partition("\x00") if name == "TXXX" else (name, "", body)
             found[key] = value
@@ -127,7 +127,7 @@ def read(data: bytes) -> dict:
     """Payload and features of a stream.
 
     Bytes that begin no frame are passed over until a header is found whose successor is a header of the same version,
-    layer and rate, or the stream's end; all frames of a stream agree in these. A Xing or Info frame counts neither as audio nor as payload."""
+    layer and rate, or the stream's end; what a frame says is read within the frame; all frames of a stream agree in these. A Xing or Info frame counts neither as audio nor as payload."""
     start, end, found = tags(data)
     at, offsets, parts, samples, skipped, good, tested, rates, table, first = start, [], [], 0, 0, 0, 0, set(), None, None
     kind = lambda x: x and (x.version, x.layer, x.hertz)
@@ -142,18 +142,18 @@ def read(data: bytes) -> dict:
             continue
         stream, lost = kind(f), False
         body = at + 4 + 2 * f.protected + f.side
-        if f.layer == 3 and not offsets and table is None and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, rest = struct.unpack(">I", data[body + 4 : body + 8])[0], body + 8
+        if f.layer == 3 and not offsets and table is None and data[body : body + 4] in (b"Xing", b"Info") and body + 8 <= at + f.size:
+            flags, rest, close = struct.unpack(">I", data[body + 4 : body + 8])[0], body + 8, at + f.size
             table = {"kind": data[body : body + 4].decode()}
             for bit, key in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
+                if flags & bit and rest + 4 <= close:
                     table[key], rest = struct.unpack(">I", data[rest : rest + 4])[0], rest + 4
-            if flags & 4:
+            if flags & 4 and rest + 100 <= close:
                 table["points"] = list(data[rest : rest + 100])
         else:
             if f.protected and f.layer == 3:
                 tested += 1
-                good += struct.unpack(">H", data[at + 4 : at + 6])[0] == crc16(data[at + 2 : at + 4] + data[at + 6 : body])
+                good += int.from_bytes(data[at + 4 : at + 6]) == crc16(data[at + 2 : at + 4] + data[at + 6 : body])
             offsets.append(at)
             room = at + f.size - body
             parts.append(data[body : body + room // UNIT * UNIT])

@@ -54,7 +54,7 @@ def op9_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mpeg.text_media(table(spark, sf_dir, "documents"))
     feature = F.format_string("mpeg1-layer3;hz=%d;frames=%d;samples=%d;variable=%s;checksums=%d/%d;payload=%s;table=%s;skipped=%d", "sample_rate", "frames", "samples", "variable", "checksums_good", "checksums", "payload_good", "table_good", "skipped")
     tail = F.crc32(F.expr("substring(payload, -16, 16)"))
-    return out.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), "duration")
+    return out.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), "duration", "offsets")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

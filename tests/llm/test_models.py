@@ -242,6 +242,22 @@ def test_damaged_streams():
     assert mpeg.crc16(b"") == 0xFFFF
 
 
+def test_streams_cut_off_and_broken_anywhere_are_read():
+    rng = np.random.default_rng(3)
+    whole = mpeg.stored(bytes(range(192)) * 5)
+    short = bytes([0xFF, 0xF3, 0x14, 0xC4]) + bytes(9) + b"Xing" + bytes(7)  # a small frame whose table would go on beyond it
+    assert mpeg.header(short[:4]) is not None and mpeg.read(short)["frames"] in (0, 1)
+    for cut in range(0, len(whole), 7):
+        mpeg.read(whole[:cut])
+        mpeg.read(short + whole[cut:])
+    for _ in range(200):
+        broken = bytearray(whole)
+        for at in rng.integers(0, len(whole), 20):
+            broken[at] = rng.integers(0, 256)
+        got = mpeg.read(bytes(broken[: rng.integers(0, len(whole))]))
+        assert got["frames"] == len(got["offsets"])
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, name):
     assert queries.queries()[name](spark, SF).limit(1).count() == 1
