@@ -133,6 +133,25 @@ def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: A key is hot if it holds so many rows, and one in HOT_SHARE of all rows at least: so there are HOT_SHARE such keys at most.
+HOT_ROWS, HOT_SHARE = 1000, 1000
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str, label: str) -> DataFrame:
+    """left.join(right, keys, how) for a right side with one row a key; how is inner or left.
+
+    Rows of hot keys meet theirs by broadcast (HOT_SHARE rows at most), so that no task gets all rows of one key; the
+    others are joined by a shuffle. Keys aren't null. left is read three times, and should be a written table."""
+    spark, total = left.sparkSession, left.count()
+    hot = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(HOT_ROWS, -(-total // HOT_SHARE))).select(*keys)
+    hot = spark.createDataFrame(hot.collect(), hot.schema)  # HOT_SHARE rows at most
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    own = written(right.join(F.broadcast(hot), keys, "left_semi"), f"{label}-hot")
+    warm = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(own), keys, how)
+    return warm.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
 def connected_components(links: DataFrame, label: str) -> DataFrame:
     """(node, component) for links (a, b): component is the smallest node reachable.
 
@@ -140,10 +159,10 @@ def connected_components(links: DataFrame, label: str) -> DataFrame:
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{label}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), f"{label}-labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
+        near = joined(both, labels.select(F.col("node").alias("b"), F.col("component").alias("c")), ["b"], "inner", label).groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
+        step = written(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c")), f"{label}-step")
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        new = written(step.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("further", "c")).alias("component")), f"{label}-labels")
+        new = written(joined(step, jump, ["c"], "left", label).select("node", "was", F.least("c", F.coalesce("further", "c")).alias("component")), f"{label}-labels")
         labels = new.select("node", "component")
         if new.where("was <> component").isEmpty():
             return labels

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import WordHashes, connected_components, gram_hashes, in_small_batches, mix, texts_as_bytes, tidy, written
+from doseframe.llm.base import WordHashes, connected_components, gram_hashes, in_small_batches, joined, mix, texts_as_bytes, tidy, written
 
 PLACES = 1 << 22
 BANDS, ROWS = 30, 4
@@ -137,15 +137,30 @@ def links_of(values: list[np.ndarray], owners: np.ndarray, percent: int) -> list
     return [(i, j) for i, j in out if owners[i] != owners[j]]
 
 
-#: Shingles of one block, about; a task holds the documents of two blocks.
-BLOCK = 200_000
+#: Shingles and documents of one block, about; a task holds the documents of two blocks.
+BLOCK, BLOCK_DOCS = 200_000, 500
 
 
 def linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within each group `first` of members (first, node, size, component), over pairs of blocks."""
-    blocks = members.groupBy("first").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    whole = dealt.join(sets.withColumnRenamed("id", "node"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    """Links (a, b) within each group `first` of members (first, node, size, component), over pairs of blocks.
+
+    A component that fills blocks has blocks of its own, and isn't held against itself: its documents are linked already.
+    The smaller components of a group share mixed blocks (component null)."""
+    each = written(members.groupBy("first", "component").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "minhash-shares")
+    large = (F.col("size") >= BLOCK) | (F.col("n") >= BLOCK_DOCS)
+    of = F.ceil(F.greatest(F.sum("size") / BLOCK, F.sum("n") / BLOCK_DOCS)).cast("int")
+    own = each.where(large).groupBy("first", "component").agg(of.alias("blocks"))
+    mixed = each.where(~large).groupBy("first").agg(of.alias("blocks")).select("first", F.lit(None).cast("long").alias("component"), "blocks")
+    # a row for each component that fills a block, and one for the others, of each group
+    plan = written(own.unionByName(mixed), "minhash-plan")
+    plans = plan.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("component", "blocks"))).alias("plan"))
+    dealt = joined(written(members, "minhash-dealt"), written(plans, "minhash-plans"), ["first"], "inner", "minhash-plans")
+    fits = F.filter("plan", lambda p: p["component"] == F.col("component"))
+    dealt = dealt.withColumn("own", F.when(F.size(fits) > 0, fits[0]).otherwise(F.filter("plan", lambda p: p["component"].isNull())[0]))
+    block = F.struct(F.col("own.component").alias("of"), F.pmod(F.xxhash64("node"), F.col("own.blocks")).cast("int").alias("k"))
+    others = F.flatten(F.transform(F.filter("plan", lambda p: p["component"].isNull() | F.col("own.component").isNull() | (p["component"] != F.col("own.component"))), lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: F.struct(p["component"].alias("of"), k.alias("k")))))
+    dealt = dealt.select("first", "node", "component", block.alias("block"), F.explode(others).alias("other"))
+    whole = dealt.join(sets.withColumnRenamed("id", "node"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = links_of([np.frombuffer(v, np.uint64) for v in pdf["shingles"]], pdf["component"].to_numpy(), percent)
@@ -173,11 +188,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     """
     docs = in_small_batches(docs)
     sig = written(signatures(docs, words, bands, rows), "minhash-signatures")
-    copies = written(sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n"), "minhash-copies")
-    known = sig.where("doc_id is not null").join(copies, ["set_a", "set_b", "n_shingles"], "left").withColumn("node", F.coalesce("node", "doc_id"))
-    keys = known.where("node = doc_id").select("node", F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("key"))
+    same = ["set_a", "set_b", "n_shingles"]
+    real = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    copies = sig.where(real).groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = joined(sig.where(real).select("doc_id", *same), written(copies, "minhash-copies"), same, "left", "minhash-copies")
+    named = written(named.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("node")), "minhash-nodes")
+    own = named.where("node = doc_id").select("node").distinct()
+    keys = sig.where(real).select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("size"), "bands").join(own, "node", "left_semi").select("node", "size", F.explode("bands").alias("key"))
+    keys = written(keys, "minhash-keys")
     buckets = written(keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last"), "minhash-buckets")
-    members = written(keys.join(buckets, "key"), "minhash-members")
+    members = written(joined(keys, buckets, ["key"], "inner", "minhash-buckets"), "minhash-members")
     star = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     ids = members.select("node").distinct()
     sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("node"), "left_semi"), words), "minhash-sets")
@@ -190,6 +210,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     more = written(linked_in_blocks(rest, sets, percent), "minhash-more")
     final = comps if more.isEmpty() else connected_components(links.union(more), "minhash-all")
 
-    out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(copies, ["set_a", "set_b", "n_shingles"], "left").withColumn("node", F.coalesce("node", "doc_id"))
-    out = out.join(final, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = joined(named, final, ["node"], "left", "minhash-final").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    alone = sig.where(~real).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from doseframe.llm import decontaminate, minhash, packing, substring
+from doseframe.llm import base, decontaminate, minhash, packing, sketch, substring
 
 SCHEMA = "doc_id long, text string, node string, component long, places string"  # clashing names among the others
 
@@ -70,8 +70,10 @@ def test_components(docs, n, percent):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
 
 
-def test_mixed_groups_in_blocks(spark):
+@pytest.mark.parametrize("block", [500, 7])  # one block of all, and components with blocks of their own beside mixed ones
+def test_mixed_groups_in_blocks(spark, monkeypatch, block):
     """Near copies around the threshold, whose star round leaves several components: blocks find every link."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -97,6 +99,14 @@ def test_mixed_groups_in_blocks(spark):
     assert got == {i: root(i) for i in sets}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_of_hot_keys(spark, how):
+    left = spark.range(6000).selectExpr("if(id < 4000, 7, id) AS k", "id AS x")
+    right = spark.range(5500).selectExpr("id AS k", "id * 2 AS y")
+    got = base.joined(left, right, ["k"], how, "test")
+    assert sorted(got.collect()) == sorted(left.join(right, "k", how).select(got.columns).collect())
+
+
 @pytest.mark.parametrize("bits", [20, 4])  # a sketch with room, and one that lets everything pass
 def test_repeated_passages(docs, bits):
     n, seen, want = 20, {}, {}
