@@ -1,6 +1,6 @@
 """Count-min sketch of 64-bit keys, built in partitions and merged cell by cell.
 
-Its size is fixed by ROWS and BITS (64 MB of bits at the defaults, whatever the input), so it may be broadcast. What it
+Up to BITS for the places of a row it may be broadcast (64 MB at most, with ROWS rows); a larger one stays a table of blocks. What it
 keeps of a cell is whether its merged count reaches `least`; a key's count is at most that of each of its cells, so no
 key with that count is ever missed, and a fuller sketch only lets more keys pass.
 """

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseframe.llm import sketch
-from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, mix, texts_as_bytes, tidy, window_sums
+from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, mix, texts_as_bytes, tidy, window_sums, written
 
 CHUNK = 1 << 20  # bytes of text that are hashed together
 
@@ -51,6 +51,60 @@ def windows(words: list[list[bytes]], n: int, gram: int, hashes: WordHashes) ->
     return doc[valid] if count else valid, valid, place, grams[place] if len(valid) else grams[:0], ids
 
 
+#: Cells of the sketch for each minimiser that the texts' bytes let expect (one in some six words), and bits at least.
+CELLS_EACH, BYTES_EACH, LEAST_BITS = 8, 36, 16
+
+
+def bits_for(size: int) -> int:
+    """Bits of the places of a sketch row for texts of `size` bytes together."""
+    return max(LEAST_BITS, int(np.ceil(np.log2(CELLS_EACH * max(1, size) / BYTES_EACH))))
+
+
+def reached_minimisers(docs: DataFrame, blocks: DataFrame, n: int, gram: int, bits: int) -> DataFrame:
+    """(id, some): for each document with any, its minimisers whose cells in the first row of the sketch are reached.
+
+    The way for a sketch too large to broadcast: the cells meet their block by a join, a row for each task and block, so
+    what moves is a hash and a document for each minimiser."""
+    size = min(sketch.BLOCK, bits)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, amount = WordHashes(), [], 0
+
+        def sent() -> pa.RecordBatch:
+            keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            at = sketch.cells(keys, 0, bits)
+            order = np.argsort(at >> size, kind="stable")
+            block = (at >> size)[order]
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = np.append(starts, len(block)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order].view(np.int64))) for x in (keys, ids)]
+            return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int32)), *lists], names=["block", "keys", "ids"])
+
+        for batch, words in chunks(batches, 1):
+            doc, _, place, least, _ = windows(words, n, gram, hashes)
+            new = np.diff(place, prepend=-1) != 0
+            known = ~batch.column(0).is_null().to_numpy(zero_copy_only=False)[doc] & new
+            held.append((least[known], batch.column(0).fill_null(0).to_numpy()[doc[known]]))
+            amount += int(known.sum())
+            if amount > 1_000_000:
+                yield sent()
+                held, amount = [], 0
+        if amount:
+            yield sent()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, ids, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
+                keys, ids = (x.values.to_numpy() for x in (keys, ids))
+                plane, at = np.frombuffer(packed.as_py(), np.uint8), sketch.cells(keys.view(np.uint64), 0, bits) & ((1 << size) - 1)
+                hit = (plane[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(keys[hit])], names=["id", "key"])
+
+    asked = docs.mapInArrow(tidy(ask), "block int, keys array<long>, ids array<long>")
+    met = asked.join(blocks.where("sketch_row = 0").select("block", "bits"), "block").select("keys", "ids", "bits")
+    return met.mapInArrow(tidy(answer), "id long, key long").groupBy("id").agg(F.collect_set("key").alias("some"))  # of one document
+
+
 def sketched(docs: DataFrame, n: int, gram: int, rows: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
@@ -73,18 +127,29 @@ HELD = 1_500_000
 
 
 def packed_place(check: np.ndarray, start: np.ndarray, n: np.ndarray, sure: bool) -> np.ndarray:
-    """24 bits of the text's hash, 27 of the first window's start, 12 of the number of consecutive windows, 1: surely repeated."""
-    return (check.astype(np.int64) << 40 | start.astype(np.int64) << 13 | n.astype(np.int64) << 1 | int(sure)).astype(np.int64)
+    """24 bits of the text's hash, 31 of the first window's start (more than a text's places), 8 of the number of consecutive
+    windows, 1: surely repeated."""
+    return (check.astype(np.int64) << 40 | start.astype(np.int64) << 9 | n.astype(np.int64) << 1 | int(sure)).astype(np.int64)
 
 
 def unpacked_place(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return places >> 40 & 0xFFFFFF, places >> 13 & 0x7FFFFFF, places >> 1 & 0xFFF
+    return places >> 40 & 0xFFFFFF, places >> 9 & 0x7FFFFFFF, places >> 1 & 0xFF
 
 
 def text_check(text: bytes | None) -> int:
     return xxhash.xxh64_intdigest(text or b"") & 0xFFFFFF
 
 
+def among(batch: pa.RecordBatch, doc: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether each window's minimiser is in its document's list; all are in that of a null doc_id."""
+    some, out = batch.column(2), np.zeros(len(doc), bool)
+    alone, edges = batch.column(0).is_null().to_numpy(zero_copy_only=False), np.searchsorted(doc, np.arange(batch.num_rows + 1))
+    for i in range(batch.num_rows):
+        own = slice(edges[i], edges[i + 1])
+        out[own] = alone[i] or (some[i].is_valid and np.isin(least[own], some[i].values.to_numpy().view(np.uint64)))
+    return out
+
+
 def local_repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether each window also stands earlier among these: in a smaller document, or before it in its own row."""
     order = np.lexsort((start, row, doc, b, a))
@@ -100,8 +165,9 @@ def local_repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, row: np.ndarray
     return out
 
 
-def repeated_candidates(docs: DataFrame, seen: object, n: int, gram: int) -> DataFrame:
-    """Windows estimated repeated. Those that stand earlier among the task's own are sent as runs that are sure, the
+def repeated_candidates(docs: DataFrame, seen: object | None, n: int, gram: int) -> DataFrame:
+    """Windows estimated repeated: by the broadcast sketch, or without one by docs' column some, the minimisers of each
+    document that `reached_minimisers` found (a null doc_id, which is held only against itself, has all). Those that stand earlier among the task's own are sent as runs that are sure, the
     others one by one with their hashes (a, b), so that of a window in many documents each task sends one."""
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +180,7 @@ def repeated_candidates(docs: DataFrame, seen: object, n: int, gram: int) -> Dat
         new[1:] = (row[k][1:] != row[k][:-1]) | (start[k][1:] != start[k][:-1] + 1)
         first = np.flatnonzero(new)
         inside = np.arange(len(k)) - (first[np.cumsum(new) - 1] if len(k) else 0)
-        new |= inside % 4000 == 0
+        new |= inside % 255 == 0
         first = np.flatnonzero(new)
         length = np.diff(np.append(first, len(k)))
         k = k[first]
@@ -128,10 +194,10 @@ def repeated_candidates(docs: DataFrame, seen: object, n: int, gram: int) -> Dat
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found, held, size, rows = WordHashes(), seen.value, [], 0, 0
+        hashes, found, held, size, rows = WordHashes(), seen.value if seen else None, [], 0, 0
         for batch, words in chunks(batches, 1):
             doc, start, _, least, ids = windows(words, n, gram, hashes)
-            hit = found.reached(least)
+            hit = found.reached(least) if found else among(batch, doc, least)
             doc, start = doc[hit], start[hit]
             if len(doc):
                 a, b = (window_sums(ids, n, step)[start] for step in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
@@ -149,10 +215,10 @@ def repeated_candidates(docs: DataFrame, seen: object, n: int, gram: int) -> Dat
         if held:
             yield from sent(held)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "a long, b long, doc_id long, place long")
+    return docs.select("doc_id", "text", *([] if seen else ["some"])).mapInArrow(tidy(run), "a long, b long, doc_id long, place long")
 
 
-def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sketch.ROWS, bits: int = sketch.BITS, carry: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sketch.ROWS, bits: int | None = None, carry: bool = False, most_bits: int = sketch.BITS) -> DataFrame:
     """docs' doc_id, with n_words, n_removed, spans (start, end of the removed runs of words) and kept_text; with
     carry, also all of docs' columns in one struct, carried.
 
@@ -162,13 +228,21 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
     Of rows with one doc_id, each is judged by itself and against smaller ids. A null doc_id is held only against itself,
     and nothing is held against it. An empty table gives an empty table. Other columns of docs are not looked at.
 
-    The sketch has rows * 2**bits bits. When the input outgrows it, more unrepeated windows reach the exact grouping;
-    the result stays the same.
+    The sketch has rows * 2**bits cells; if not given, bits grow with the texts' bytes, so that of the unrepeated windows a
+    few in a hundred reach the exact grouping at any size. Up to most_bits the sketch is broadcast (2**most_bits / 8 bytes a
+    row); a larger one has one row, of four times as many cells, and stays a table that minimisers are joined with.
     """
     whole, docs = docs, in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = sketched(docs, n, gram, rows, bits)
-    seen = docs.sparkSession.sparkContext.broadcast(sketch.Sketch(sketch.merged(parts, 2, bits), rows, bits))
-    found = repeated_candidates(docs, seen, n, gram)
+    if bits is None:
+        bits = bits_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    if bits <= most_bits:
+        blocks = sketch.merged(sketched(docs, n, gram, rows, bits), 2, bits)
+        found = repeated_candidates(docs, docs.sparkSession.sparkContext.broadcast(sketch.Sketch(blocks, rows, bits)), n, gram)
+    else:
+        bits += 2
+        blocks = written(sketch.merged(sketched(docs, n, gram, 1, bits), 2, bits), "substring-sketch")
+        some = reached_minimisers(docs, blocks, n, gram, bits)
+        found = repeated_candidates(docs.join(some, F.col("doc_id") == F.col("id"), "left"), None, n, gram)
     earliest = F.min("doc_id").over(Window.partitionBy("a", "b"))
     marks = found.withColumn("first", earliest).where("place & 1 = 1 or doc_id > first")
     # places of one document: no more than it has words

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from doseframe.llm import base, decontaminate, minhash, packing, sketch, substring
@@ -107,8 +108,9 @@ def test_join_of_hot_keys(spark, how):
     assert sorted(got.collect()) == sorted(left.join(right, "k", how).select(got.columns).collect())
 
 
-@pytest.mark.parametrize("bits", [20, 4])  # a sketch with room, and one that lets everything pass
-def test_repeated_passages(docs, bits):
+# a sketch with room, one that lets everything pass, one sized by the texts, and one that is joined
+@pytest.mark.parametrize("how", [{"bits": 20}, {"bits": 4}, {}, {"most_bits": 3}])
+def test_repeated_passages(docs, how):
     n, seen, want = 20, {}, {}
     for i, t in sorted(((i, t) for i, t in corpus() if i is not None), key=lambda r: r[0]):
         w = (t or "").encode().split()
@@ -121,7 +123,7 @@ def test_repeated_passages(docs, bits):
         for g in own:
             seen.setdefault(g, i)
         want[i] = (len(w), sum(cover), b" ".join(x for x, c in zip(w, cover, strict=True) if not c).decode())
-    rows = substring.without_repeats(docs, bits=bits, carry=True).collect()
+    rows = substring.without_repeats(docs, carry=True, **how).collect()
     assert len(rows) == len(corpus())
     for r in rows:
         if r.doc_id is not None:
@@ -130,6 +132,25 @@ def test_repeated_passages(docs, bits):
     assert all(r.n_removed == 0 for r in rows if r.doc_id is None)
 
 
+def test_few_unrepeated_windows_pass_the_sketch_at_any_size(spark):
+    """Texts of words that are all different, several times as many from one size to the next."""
+    for documents in (200, 2000):
+        docs = spark.range(documents).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 300), x -> concat('w', hash(id * 300 + x)))) AS text")
+        bits = substring.bits_for(docs.selectExpr("sum(octet_length(text))").first()[0])
+        total = documents * 281
+        seen = spark.sparkContext.broadcast(sketch.Sketch(sketch.merged(substring.sketched(docs, 20, 10, 2, bits), 2, bits), 2, bits))
+        assert substring.repeated_candidates(docs, seen, 20, 10).count() < 0.05 * total
+        blocks = sketch.merged(substring.sketched(docs, 20, 10, 1, bits + 2), 2, bits + 2)
+        some = substring.reached_minimisers(docs, blocks, 20, 10, bits + 2)
+        assert substring.repeated_candidates(docs.join(some, F.col("doc_id") == F.col("id"), "left"), None, 20, 10).count() < 0.05 * total
+
+
+def test_places_of_the_longest_texts():
+    at = np.array([0, 1 << 30, (1 << 31) - 1])
+    check, start, n = substring.unpacked_place(substring.packed_place(np.array([5, 6, 0xFFFFFF]), at, np.array([1, 255, 7]), True))
+    assert check.tolist() == [5, 6, 0xFFFFFF] and start.tolist() == at.tolist() and n.tolist() == [1, 255, 7]
+
+
 def test_tiles_find_reordered_parts():
     item = np.arange(40, dtype=np.uint64)
     doc = np.concatenate([np.arange(100, 110), np.arange(25, 40), np.arange(200, 205), np.arange(0, 20), np.arange(300, 310)]).astype(np.uint64)
