@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -106,6 +107,71 @@ def test_html(spark):
     assert html.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_that_are_no_part_of_an_article():
+    for name in ("ad", "cookie-notice", "relatedPosts", "comments", "sidebar_left", "nav-bar", "search-form", "site-footer"):
+        assert html.boilerplate(name), name
+    for name in ("related-work", "search-results-table", "content", "post", "shared-memory", "", "123"):
+        assert not html.boilerplate(name), name
+
+
+def hosts_pages():
+    rng = np.random.default_rng(8)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9999, n))
+    slogan, rows, want = "We are the site that says this on every page of all, at some length and with joy", [], []
+    for i in range(6):  # a slogan longer than the page's own text
+        text = own(6)
+        rows.append(("http://slogan.com/", f"<body><div>{slogan}</div><div><p>{text}</p></div></body>"))
+        want.append(text)
+    for i in range(5):  # words of the site beside the article, equal pages, and parts whose names only look like others'
+        text, more = own(30), own(10)
+        body = f"<body><div><p>Read us</p></div><div><h1>{text}</h1><section id='related-work'>{more}</section><p class=notice>Look</p><div class='search-results-table'>{own(3)} {i}</div></div><div><p>About</p><p>Contact</p></div></body>"
+        rows += [("http://b.com/", body)] * (1 + i % 2)
+        want += ["\n".join([text, more, re.search(r"table'>(.*?)</div", body)[1]])] * (1 + i % 2)
+    return rows, want
+
+
+def test_the_template_of_a_host(spark):
+    rows, want = hosts_pages()
+    df = spark.createDataFrame([(i, u, h, "x", "y", 1) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, slot string, host string, text int")
+    out = {r.page_id: r.text for r in html.main_texts(df).collect()}
+    assert [out[i] for i in range(len(rows))] == want
+
+
+def test_classes_equal_those_of_whole_vectors(spark):
+    """Slots and fixed texts from sums of hashes against occurrence vectors written out."""
+    rows, _ = hosts_pages()
+    rows += [(f"http://c{k}.com/", PAGE.replace("item one", f"item {k * i}")) for k in (1, 2, 5) for i in range(4)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    host = urls.url_parts(df.url)[0]
+    got = {r.host: (r.slot, r.fixed) for r in html.templates(df.selectExpr("page_id", "url", "html", "xxhash64(html) AS page_key").withColumn("host", host)).collect()}
+    want = {}
+    for url in {u for u, _ in rows}:
+        pages = [html.Page(h) for h in sorted({h for u, h in rows if u == url})]
+        vectors, facts = {}, {}
+        for k, p in enumerate(pages):
+            for t, e in p.elements.items():
+                vectors.setdefault(t, [0] * len(pages))[k] = e.n
+                f = facts.setdefault(t, {"token": t, "parent": e.parent, "tag": e.tag, "depth": e.depth, "chars": 0, "own": 0})
+                f["chars"], f["own"] = f["chars"] + e.chars, f["own"] + e.own
+            for t, (home, n, size) in p.texts().items():
+                vectors.setdefault(t, [0] * len(pages))[k] = n
+                f = facts.setdefault(t, {"token": t, "parent": home, "tag": "", "depth": 0, "chars": 0, "own": 0})
+                f["chars"] += n * size
+        if len(pages) >= 3:
+            often = [t for t, v in vectors.items() if 2 * sum(x > 0 for x in v) >= len(pages) and sum(x > 0 for x in v) >= 3]
+            kinds = {v: i for i, v in enumerate(sorted({tuple(vectors[t]) for t in often}))}
+            want[url.split("/")[2]] = html.template([facts[t] | {"pages": sum(x > 0 for x in vectors[t]), "total": sum(vectors[t]), "kind": kinds[tuple(vectors[t])]} for t in often])
+    assert got == want and len(want) == 5 and all(slot is not None for slot, _ in got.values())
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
+    long = "<article>" + "<p>word text</p>" * 30_000 + "</article>"
+    rows = [(1, "http://d.com/", deep), (2, "http://e.com/", long), (None, None, None), (2, "http://e.com/", long)]
+    out = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, len(r.text)) for r in out) == [(0, 0), (1, 9), (2, 299_999), (2, 299_999)]
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(2)
     p = {k: v.astype(np.float64) for k, v in gru.new(np.arange(70, 0, -1)).items()}
