@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import written
+from doseframe.llm.base import joined, written
 
 #: (host, path, verdict) of the rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -119,17 +119,18 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, se
     words = written(segmented(names, counts), "url-segments")
 
     token = each.select("host", "path", "n", F.explode(F.concat(F.transform("host_names", lambda x: F.struct(x.alias("name"), F.lit("h").alias("kind"))), F.transform("path_names", lambda x: F.struct(x.alias("name"), F.lit("p").alias("kind"))))).alias("t"))
-    token = token.select("host", "path", "n", "t.kind", "t.name").join(words, "name").select("host", "path", "n", "kind", F.explode("words").alias("word"))
+    token = joined(written(token.select("host", "path", "n", "t.kind", "t.name"), "url-names"), words, ["name"], "inner", "url-segments").select("host", "path", "n", "kind", F.explode("words").alias("word"))
     token = written(token, "url-tokens")
     bad = token.where("kind = 'h'").where(F.col("word").isin(*seeds)).select("host").distinct().withColumn("bad", F.lit(1))
-    labelled = token.join(bad, "host", "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
+    bad = written(bad, "url-bad")
+    labelled = joined(token, bad, ["host"], "left", "url-bad").withColumn("bad", F.coalesce("bad", F.lit(0)))
     table = written(labelled.groupBy("kind", "word").agg(F.sum(F.col("n") * F.col("bad")).alias("yes"), F.sum(F.col("n") * (1 - F.col("bad"))).alias("no")), "url-table")
     yes, no, kinds = table.agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("no"), F.lit(0)), F.count("*")).first()
-    urls = each.join(bad, "host", "left").agg(F.coalesce(F.sum(F.when(F.col("bad") == 1, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("bad").isNull(), F.col("n"))), F.lit(0))).first()
+    urls = joined(each, bad, ["host"], "left", "url-bad").agg(F.coalesce(F.sum(F.when(F.col("bad") == 1, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("bad").isNull(), F.col("n"))), F.lit(0))).first()
     prior = math.log((urls[0] + smoothing) / (urls[1] + smoothing))
     weight = F.log((F.col("yes") + smoothing) / (yes + smoothing * (kinds + 1))) - F.log((F.col("no") + smoothing) / (no + smoothing * (kinds + 1)))
-    scores = token.join(table.select("kind", "word", weight.alias("weight")), ["kind", "word"]).groupBy("host", "path").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("word")).alias("words"))
+    scores = joined(token, table.select("kind", "word", weight.alias("weight")), ["kind", "word"], "inner", "url-table").groupBy("host", "path").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("word")).alias("words"))
     odds = F.lit(prior) + F.coalesce("weight", F.lit(0.0))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = rows.join(scores, ["host", "path"], "left")
+    out = joined(rows, written(scores, "url-scores"), ["host", "path"], "left", "url-scores")
     return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(odds > 0, "block").otherwise("allow")).alias("verdict"), odds.alias("log_odds"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
