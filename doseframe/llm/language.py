@@ -147,12 +147,12 @@ def fit(labelled: DataFrame, clusters: int = 4, sample: int = SAMPLE, strictness
         x, size = vectors(pdf["text"].tolist(), idf)
         own = pdf["fitted"].to_numpy(bool)
         c = spherical_kmeans(x[own] if own.any() else x, clusters)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [c.ravel().tolist()], "top": [(x @ c.T).max(axis=1).tolist()], "size": [size.tolist()]})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "top": [(x @ c.T).max(axis=1).astype(np.float32).tobytes()], "size": [size.astype(np.int32).tobytes()]})
 
-    rows = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroids array<float>, top array<float>, size array<int>").collect()
+    rows = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroids binary, top binary, size binary").collect()
     rows.sort(key=lambda r: r["lang"])
-    floors = floors_of([(np.array(r["top"]), np.array(r["size"])) for r in rows], strictness) if rows else []
-    return Centroids(idf, [(r["lang"], np.array(r["centroids"], np.float32).reshape(-1, DIM), f) for r, f in zip(rows, floors, strict=True)])
+    floors = floors_of([(np.frombuffer(r["top"], np.float32), np.frombuffer(r["size"], np.int32)) for r in rows], strictness) if rows else []
+    return Centroids(idf, [(r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM), f) for r, f in zip(rows, floors, strict=True)])
 
 
 def identified(docs: DataFrame, model: Centroids) -> DataFrame:
