@@ -90,7 +90,7 @@ def item_seeds(items: DataFrame, least: int) -> DataFrame:
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
                 ids = hashes.of(t.split() if t else [])
-                rows += [(i, len(ids), p, g) for p, g in enumerate(gram_hashes(ids, least).view(np.int64).tolist())]
+                rows += [(i, len(ids), p, g) for p, g in enumerate(gram_hashes(ids, min(least, len(ids)) or least).view(np.int64).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k in (0, 3) else pa.int32()) for k in range(4)], names=["item_id", "tokens", "place", "seed"])
 
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").mapInArrow(tidy(run), "item_id long, tokens int, place int, seed long")
@@ -103,7 +103,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
     tiles), tokens (the item's), coverage (their quotient, at least the given one) and tiles (item_start, doc_start,
     length). Tokens are words without case and without ASCII punctuation at their edges.
 
-    Null and empty texts match nothing; an item of fewer than `least` tokens has no seed and matches nothing. Rows with a
+    Null and empty texts match nothing; an item of fewer than `least` tokens, which any text may hold by chance, is found
+    where it is the whole document. Rows with a
     null doc_id or item_id are left out. Equal rows give one pair; of several texts under one id the best pair counts.
     Empty tables give an empty table. Other columns are not looked at.
 
@@ -126,10 +127,16 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
         hashes, known = TokenHashes(), some.value
         for batch, words in chunks(batches, 1):
             sizes = np.array([len(w) for w in words], np.int64)
-            g = gram_hashes(hashes.of([x for w in words for x in w]), least)
+            ids = hashes.of([x for w in words for x in w])
+            g = gram_hashes(ids, least)
             doc = np.repeat(np.arange(len(words)), sizes)[: len(g)]
             hit = known.reached(g) & (np.arange(len(g)) + least <= np.cumsum(sizes)[doc]) if len(g) else np.zeros(0, bool)
-            pairs = np.unique(np.rec.fromarrays([doc[hit], g[hit].view(np.int64)], names="d,g"))
+            short = [i for i, n in enumerate(sizes.tolist()) if 0 < n < least]  # such a document is one gram
+            ends = np.cumsum(sizes)
+            whole = np.array([gram_hashes(ids[ends[i] - sizes[i] : ends[i]], int(sizes[i]))[0] for i in short], np.uint64)
+            short = np.array(short, np.int64)[known.reached(whole)]
+            whole = whole[known.reached(whole)]
+            pairs = np.unique(np.rec.fromarrays([np.append(doc[hit], short), np.append(g[hit], whole).view(np.int64)], names="d,g"))
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs.d)), pa.array(np.ascontiguousarray(pairs.g))], names=["doc_id", "seed"])
 
@@ -148,7 +155,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
             rows = []
             for k, (item, text) in enumerate(zip(texts_as_bytes(batch.column(2)), texts_as_bytes(batch.column(3)), strict=True)):
                 a, b = (hashes.of(t.split() if t else []) for t in (item, text))
-                found = tiles(a, b, least)
+                found = tiles(a, b, least) if len(a) >= least else [(0, 0, len(a))] if len(a) and np.array_equal(a, b) else []
                 matched = sum(n for _, _, n in found)
                 if found and matched >= coverage * len(a):
                     rows.append((k, matched, len(a), [{"item_start": i, "doc_start": j, "length": n} for i, j, n in found]))

@@ -168,13 +168,53 @@ def test_decontamination(spark):
     for i in range(10):
         own = items[i][1]
         rows[i] = (i, rows[i][1][:50] + (own if i < 4 else own[15:] + text(8) + own[:15] if i < 8 else own[:6]) + rows[i][1][50:])
-    docs = [(i, " ".join(w)) for i, w in rows] + [(50, None), (51, ""), (52, " ".join(items[0][1]).upper() + "!"), (52, " ".join(items[0][1]).upper() + "!"), (None, " ".join(items[0][1]))]
+    docs = [(i, " ".join(w)) for i, w in rows] + [(50, None), (51, ""), (52, " ".join(items[0][1]).upper() + "!"), (52, " ".join(items[0][1]).upper() + "!"), (53, "Too, short"), (54, "this is too short"), (55, "short too"), (None, " ".join(items[0][1]))]
     bench = [(i, " ".join(w)) for i, w in items] + [(98, None), (99, "too short"), (None, "a b c d e f g"), (0, " ".join(items[0][1]))]
     out = decontaminate.contaminated(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id long"), spark.createDataFrame(bench, "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in out) == [(i, i) for i in range(8)] + [(52, 0)]
+    assert sorted((r.doc_id, r.item_id) for r in out) == [(i, i) for i in range(8)] + [(52, 0), (53, 99)]
     assert all(r.coverage == r.matched / r.tokens >= 0.5 for r in out)
 
 
+def plain_tiling(item, doc, least):
+    """Greedy string tiling as it is defined: the longest matches of unmarked tokens first, by trying all places."""
+    free, out = [[True] * len(item), [True] * len(doc)], 0
+    while True:
+        longest, found = least, []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and free[0][i + k] and free[1][j + k]:
+                    k += 1
+                if k > longest:
+                    longest, found = k, [(i, j)]
+                elif k == longest:
+                    found.append((i, j))
+        if not found:
+            return out
+        for i, j in found:
+            if all(free[0][i : i + longest]) and all(free[1][j : j + longest]):
+                free[0][i : i + longest] = free[1][j : j + longest] = [False] * longest
+                out += longest
+
+
+def test_decontamination_equals_plain_tiling_of_all_pairs(spark):
+    rng = random.Random(12)
+    text = lambda n, k: [f"v{rng.randrange(k)}" for _ in range(n)]
+    items = [(i, text(rng.randint(5, 30), 500)) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = text(rng.randint(0, 40), 500)
+        for _ in range(rng.randint(0, 4)):
+            own = rng.choice(items)[1]
+            a = rng.randrange(len(own))
+            at = rng.randint(0, len(w))
+            w = w[:at] + own[a : a + rng.randint(3, 30)] + w[at:]
+        docs.append((i, w))
+    want = {(d, i): n for d, w in docs for i, x in items if (n := plain_tiling(x, w, 5)) >= 0.5 * len(x)}
+    out = decontaminate.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.matched for r in out} == want and len(want) > 10
+
+
 def test_packing(docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = defaultdict(int)
