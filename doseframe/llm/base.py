@@ -114,15 +114,22 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: glibc's option for the size from which a block of memory is its own mapping, and that size.
+M_MMAP_THRESHOLD, OWN_MAPPING = -3, 2 << 20
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, and then the memory that it has freed goes back to the system: Python workers live on between tasks."""
+    """run, so that large arrays go back to the system once they are freed, and after it the rest that it has freed: Python
+    workers live on between tasks."""
 
     @wraps(run)
     def whole(batches: Iterator) -> Iterator:
+        with contextlib.suppress(AttributeError, OSError):  # glibc has it
+            ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, OWN_MAPPING)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # glibc has it
+        with contextlib.suppress(AttributeError, OSError):
             ctypes.CDLL(None).malloc_trim(0)
 
     return whole

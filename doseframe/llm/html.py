@@ -16,8 +16,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from doseframe.llm.base import in_small_batches, joined, tidy, written
 from doseframe.llm.urls import url_parts
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 # Element names of HTML, and words in names of elements that aren't the article's own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -274,6 +277,8 @@ def templates(pages: DataFrame) -> DataFrame:
     grouped = often.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "tag", "depth", "chars", "own", "pages", "total", kind.alias("kind"))).alias("tokens"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # other workers do without its memory
+
         for pdf in batches:
             found = [template(list(x)) for x in pdf["tokens"]]
             yield pd.DataFrame({"host": pdf["host"], "slot": pd.array([s for s, _ in found], "Int64"), "fixed": [f for _, f in found]})

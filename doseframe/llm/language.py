@@ -11,7 +11,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,13 +142,13 @@ def fit(labelled: DataFrame, clusters: int = 4, sample: int = SAMPLE, strictness
     fitted = draw < F.lit(float(sample)) / F.col("of_lang")
     chosen = both.where(fitted | (draw < F.lit(float(OF_A_LENGTH)) / F.col("n"))).select("lang", "text", fitted.alias("fitted"))
 
-    def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, size = vectors(pdf["text"].tolist(), idf)
-        own = pdf["fitted"].to_numpy(bool)
+    def centroids(rows: pa.Table) -> pa.Table:
+        x, size = vectors(rows.column("text").to_pylist(), idf)
+        own = rows.column("fitted").to_numpy()
         c = spherical_kmeans(x[own] if own.any() else x, clusters)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "top": [(x @ c.T).max(axis=1).astype(np.float32).tobytes()], "size": [size.astype(np.int32).tobytes()]})
+        return pa.table({"lang": rows.column("lang").slice(0, 1), "centroids": [c.astype(np.float32).tobytes()], "top": [(x @ c.T).max(axis=1).astype(np.float32).tobytes()], "size": [size.astype(np.int32).tobytes()]})
 
-    rows = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroids binary, top binary, size binary").collect()
+    rows = chosen.groupBy("lang").applyInArrow(centroids, "lang string, centroids binary, top binary, size binary").collect()
     rows.sort(key=lambda r: r["lang"])
     floors = floors_of([(np.frombuffer(r["top"], np.float32), np.frombuffer(r["size"], np.int32)) for r in rows], strictness) if rows else []
     return Centroids(idf, [(r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM), f) for r, f in zip(rows, floors, strict=True)])

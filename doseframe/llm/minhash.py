@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,13 +161,13 @@ def linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     dealt = dealt.select("first", "node", "component", block.alias("block"), F.explode(others).alias("other"))
     whole = dealt.join(sets.withColumnRenamed("id", "node"), "node")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = links_of([np.frombuffer(v, np.uint64) for v in pdf["shingles"]], pdf["component"].to_numpy(), percent)
-        node = pdf["node"].to_numpy()
-        return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype="int64")
+    def run(rows: pa.Table) -> pa.Table:
+        found = links_of([np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("shingles")], rows.column("component").to_numpy(), percent)
+        node = rows.column("node").to_numpy()
+        return pa.table({k: pa.array(node[[x[i] for x in found]] if found else [], pa.int64()) for i, k in enumerate("ab")})
 
     keys = [F.col("first"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
-    return whole.select(*keys, "node", "component", "shingles").groupBy("first", "low", "high").applyInPandas(run, "a long, b long").where("a <> b").distinct()
+    return whole.select(*keys, "node", "component", "shingles").groupBy("first", "low", "high").applyInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -113,7 +113,7 @@ def sketched(docs: DataFrame, n: int, gram: int, rows: int, bits: int) -> DataFr
             new = least[np.diff(place, prepend=-1) != 0]
             held.append(new)
             size += len(new)
-            if size > 2_000_000:
+            if size > 500_000:
                 yield from sketch.partial(np.concatenate(held), rows, bits)
                 held, size = [], 0
         if size:
@@ -123,7 +123,7 @@ def sketched(docs: DataFrame, n: int, gram: int, rows: int, bits: int) -> DataFr
 
 
 #: Windows that a task compares among themselves before it sends on the rest.
-HELD = 1_500_000
+HELD = 750_000
 
 
 def packed_place(check: np.ndarray, start: np.ndarray, n: np.ndarray, sure: bool) -> np.ndarray:
@@ -205,8 +205,8 @@ def repeated_candidates(docs: DataFrame, seen: object | None, n: int, gram: int)
                 keys, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
                 alone = null[doc]
                 b = np.where(alone, b ^ mix((rows + doc).astype(np.uint64)), b)  # meets no other row's
-                check = np.array([text_check(t) for t in texts_as_bytes(batch.column(1))])
-                held.append((a, b, keys[doc], alone, rows + doc, start - begins[doc], check[doc]))
+                check = np.array([text_check(t) for t in texts_as_bytes(batch.column(1))], np.int32)
+                held.append((a, b, keys[doc], alone, (rows + doc).astype(np.int32), (start - begins[doc]).astype(np.int32), check[doc]))
                 size += len(doc)
             rows += len(words)
             if size > HELD:

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.llm.base import joined, written
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: (host, path, verdict) of the rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words that make a host an example to block.
@@ -91,6 +94,8 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # other workers do without its memory
+
         for pdf in batches:
             words = []
             for name, found in zip(pdf["name"], pdf["known"], strict=True):
