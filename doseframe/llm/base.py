@@ -41,7 +41,7 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bounded number of words."""
 
-    def __init__(self, seed: int = 0, most: int = 200_000):
+    def __init__(self, seed: int = 0, most: int = 120_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -101,7 +101,7 @@ def window_sums(words: np.ndarray, n: int, step: int) -> np.ndarray:
 
 
 #: Rows and bytes of text that a task hands to Python at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ TABLE = 1 << 19  # most frequent tokens whose counts are broadcast; the others'
 SHARDS, SHARD_TOKENS, ROUNDS = 4, 2_000_000, 3  # copies at least, tokens that one trains on at once, rounds in one pass
 FOLD = 16  # copies that a task averages
 CODED_TOKENS = 200_000  # tokens that are looked up together
-HELD_TOKENS, HELD_DOCS = 1_500_000, 6000
+HELD_TOKENS, HELD_DOCS = 1_000_000, 6000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -57,7 +57,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for t in texts_as_bytes(batch.column(0)):
                 held.update(tokens(t))
-                if len(held) >= 300_000:
+                if len(held) >= 150_000:
                     yield sent()
         if held:
             yield sent()
@@ -68,7 +68,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 class Table:
     """Places of words among the broadcast tokens, -1 for others; remembered up to a bounded number of words."""
 
-    def __init__(self, hashes: np.ndarray, most: int = 400_000):
+    def __init__(self, hashes: np.ndarray, most: int = 200_000):
         self.hashes, self.most, self.known = hashes, most, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -25,8 +25,7 @@ BANDS, ROWS = 30, 4
 def permutations(coordinates: int, seed: int = 20_240) -> tuple[np.ndarray, np.ndarray]:
     """The scattering permutation, and every run of `coordinates` neighbouring places of the shifted one as a row."""
     rng = np.random.default_rng(seed)
-    scatter = rng.permutation(PLACES).astype(np.uint32)
-    shifted = rng.permutation(PLACES).astype(np.uint32)
+    scatter, shifted = (rng.permutation(np.arange(PLACES, dtype=np.uint32)) for _ in range(2))
     ring = np.concatenate([shifted[-(coordinates - 1) :], shifted])
     return scatter, np.lib.stride_tricks.sliding_window_view(ring, coordinates)
 
@@ -71,6 +70,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
             )
+        permutations.cache_clear()  # 32 MB that later tasks of this worker can use otherwise
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 

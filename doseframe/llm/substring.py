@@ -123,7 +123,7 @@ def sketched(docs: DataFrame, n: int, gram: int, rows: int, bits: int) -> DataFr
 
 
 #: Windows that a task compares among themselves before it sends on the rest.
-HELD = 750_000
+HELD = 300_000
 
 
 def packed_place(check: np.ndarray, start: np.ndarray, n: np.ndarray, sure: bool) -> np.ndarray:
@@ -184,7 +184,7 @@ def repeated_candidates(docs: DataFrame, seen: object | None, n: int, gram: int)
         first = np.flatnonzero(new)
         length = np.diff(np.append(first, len(k)))
         k = k[first]
-        yield pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([a[one], a[k]]).view(np.int64)), pa.array(np.concatenate([b[one], mix(row[k].astype(np.uint64))]).view(np.int64)),
                 pa.array(np.concatenate([doc[one], doc[k]]), mask=np.concatenate([null[one], null[k]])),
@@ -192,6 +192,8 @@ def repeated_candidates(docs: DataFrame, seen: object | None, n: int, gram: int)
             ],
             names=["a", "b", "doc_id", "place"],
         )
+        for i in range(0, out.num_rows, 50_000):  # the JVM holds a whole batch outside its heap
+            yield out.slice(i, 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, found, held, size, rows = WordHashes(), seen.value if seen else None, [], 0, 0
