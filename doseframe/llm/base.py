@@ -38,6 +38,12 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of frames that are gone once the driver has collected them; this asks it to collect now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bounded number of words."""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.base import WordHashes, connected_components, gram_hashes, in_small_batches, joined, mix, texts_as_bytes, tidy, written
+from doseframe.llm.base import WordHashes, connected_components, finished, gram_hashes, in_small_batches, joined, mix, texts_as_bytes, tidy, written
 
 PLACES = 1 << 22
 BANDS, ROWS = 30, 4
@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("node"), "left_semi"), words), "minhash-sets")
     links = written(confirmed(star, sets, percent), "minhash-links")
     comps = connected_components(links, "minhash-star")
+    finished(docs.sparkSession)
 
     placed = written(members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-placed")
     mixed = placed.groupBy("key").agg(F.first("first").alias("first"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("first").distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseframe.llm import sketch
-from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, mix, texts_as_bytes, tidy, window_sums, written
+from doseframe.llm.base import WordHashes, finished, gram_hashes, in_small_batches, mix, texts_as_bytes, tidy, window_sums, written
 
 CHUNK = 1 << 20  # bytes of text that are hashed together
 
@@ -234,6 +234,7 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
     few in a hundred reach the exact grouping at any size. Up to most_bits the sketch is broadcast (2**most_bits / 8 bytes a
     row); a larger one has one row, of four times as many cells, and stays a table that minimisers are joined with.
     """
+    finished(docs.sparkSession)
     whole, docs = docs, in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if bits is None:
         bits = bits_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
