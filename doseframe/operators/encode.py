@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.functions.parsing import as_column, category, filled, hash_bin, number, token
-from doseframe.operators.ranks import distributed_rank
+from doseframe.operators.ranks import distributed_rank, running_total
 
 # Categorical id columns, taxonomy and context fields, columns that are no features, columns taken as categories.
 ID_FIELDS = ("species_id", "taxon_id", "kingdom_id", "phylum_id", "class_id", "order_id", "family_id", "genus_id", "species_context_id", "life_stage_id", "habitat_id", "primary_medium_id", "exposure_route_id")
@@ -159,7 +159,19 @@ def one_hot_of(c: str, categories: Sequence[str]) -> Column:
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.median(number(c)).alias(c) for c in columns])
+    """One row: the exact median of each column's numbers, null where it has none.
+
+    Distinct values are counted and ordered by ranges; running counts find the middle one or two, so no task holds a column."""
+    own = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in columns])).alias("own")
+    counts = df.select(own).select("own.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    upto = running_total(counts.withColumn("_key", F.struct("column", "value")), "_key", "n", "upto")
+    first = F.col("upto") - F.col("n")  # rows before this value
+    ends = upto.groupBy("column").agg(F.min(first).alias("begin"), F.max("upto").alias("end"))  # a row per column
+    at = lambda k: (first < F.col("begin") + k) & (F.col("upto") >= F.col("begin") + k)
+    size = F.col("end") - F.col("begin")
+    found = upto.join(F.broadcast(ends), "column")
+    middle = [F.sum(F.when((F.col("column") == c) & at(F.floor(k)), F.col("value"))) for c in columns for k in ((size + 1) / 2, size / 2 + 1)]
+    return found.agg(*[((low + high) / 2).alias(c) for c, low, high in zip(columns, middle[::2], middle[1::2], strict=True)])
 
 
 class TabularPreprocessor:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseframe.sources.shared import materialised
@@ -11,18 +11,32 @@ from doseframe.sources.shared import materialised
 RANGES = 64
 
 
+def ranged(df: DataFrame, key: str) -> DataFrame:
+    """df written with _range: the number of its range of the key. Equal keys are in one range. The ranges are as many as
+    shuffle partitions, so they grow with the cluster."""
+    ranges = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialised(df.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def offsets(rows: DataFrame, n: Column) -> DataFrame:
+    """(_range, _before, _all): what n adds up to in the ranges before each, and in all; a row per range."""
+    counts = rows.groupBy("_range").agg(n.alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.select("_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+
+
 def distributed_rank(df: DataFrame, key: str, name: str, ties: str | None = None, total: str | None = None) -> DataFrame:
     """df with name: 1, 2, ... in the order of key (and ties); with total, also the number of all rows.
 
-    Rows are dealt out by ranges of the key, written, and ranked within each range behind the rows of the ranges before;
-    equal keys are in one range. The ranges are as many as shuffle partitions, so they grow with the cluster."""
-    spark = df.sparkSession
-    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id())
-    ranged = materialised(ranged, "ranges")  # one cut for both uses below
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per range
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    Rows are dealt out by ranges of the key, written, and ranked within each range behind the rows of the ranges before."""
+    rows = ranged(df, key)  # one cut for both uses below
     order = Window.partitionBy("_range").orderBy(key, *([ties] if ties else []))
-    out = ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.row_number().over(order))
+    out = rows.join(F.broadcast(offsets(rows, F.count("*"))), "_range").withColumn(name, F.col("_before") + F.row_number().over(order))
     return (out.withColumnRenamed("_all", total) if total else out.drop("_all")).drop("_range", "_before")
+
+
+def running_total(df: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """df, whose keys are distinct, with name: the sum of n over all rows up to this one in the order of key, itself included."""
+    rows = ranged(df, key)
+    own = F.sum(n).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(offsets(rows, F.sum(n))), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before", "_all")
