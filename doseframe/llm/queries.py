@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseframe.llm import decontaminate, html, language, lm, minhash, mpeg, packing, quality, substring, urls
+from doseframe.llm import bpe, decontaminate, html, language, lm, minhash, mpeg, packing, quality, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", "matched", "tokens", F.round("coverage", 6).alias("coverage"))
 
 
+def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_quality_classifier, op4_language_id, op5_url_filter, op6_substring_dedup, op7_html_text, op8_gru_scores, op9_mpeg_media, op10_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_quality_classifier, op4_language_id, op5_url_filter, op6_substring_dedup, op7_html_text, op8_gru_scores, op9_mpeg_media, op10_decontamination, op13_bpe_roundtrip)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
