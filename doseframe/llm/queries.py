@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseframe.llm import bpe, decontaminate, html, language, lm, minhash, mpeg, packing, quality, substring, urls
+from doseframe.llm import bpe, decontaminate, html, language, lexical, lm, minhash, mpeg, packing, quality, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", "matched", "tokens", F.round("coverage", 6).alias("coverage"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents")))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -69,7 +73,7 @@ def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_quality_classifier, op4_language_id, op5_url_filter, op6_substring_dedup, op7_html_text, op8_gru_scores, op9_mpeg_media, op10_decontamination, op13_bpe_roundtrip)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_quality_classifier, op4_language_id, op5_url_filter, op6_substring_dedup, op7_html_text, op8_gru_scores, op9_mpeg_media, op10_decontamination, op12_lexical_search, op13_bpe_roundtrip)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -90,7 +94,20 @@ c AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM p GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ps, k)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id"""
 
+TERMS = r"unnest(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+OP12 = f"""WITH i AS (SELECT item_id, {TERMS.format("text")} AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS c FROM i GROUP BY ALL),
+d AS (SELECT doc_id, {TERMS.format("text")} AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY 1),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * n_docs) // n_terms AS m FROM n, s),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY 1),
+r AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY rank <= 20"""
+
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can say; tests hold the other queries against brute force, round trips and held-out rows."""
-    return {"op1_minhash_dedup": OP1, "op6_substring_dedup": OP6}
+    return {"op1_minhash_dedup": OP1, "op6_substring_dedup": OP6, "op12_lexical_search": OP12}
