@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseframe.llm import bpe, decontaminate, html, language, lexical, lm, minhash, mpeg, packing, quality, substring, urls
+from doseframe.llm import bpe, collocations, decontaminate, html, language, lexical, lm, minhash, mpeg, packing, quality, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", "matched", "tokens", F.round("coverage", 6).alias("coverage"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +77,7 @@ def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_quality_classifier, op4_language_id, op5_url_filter, op6_substring_dedup, op7_html_text, op8_gru_scores, op9_mpeg_media, op10_decontamination, op12_lexical_search, op13_bpe_roundtrip)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_quality_classifier, op4_language_id, op5_url_filter, op6_substring_dedup, op7_html_text, op8_gru_scores, op9_mpeg_media, op10_decontamination, op11_collocations, op12_lexical_search, op13_bpe_roundtrip)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -94,6 +98,19 @@ c AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM p GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ps, k)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id"""
 
+OP11 = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM i),
+f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM k GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, phrase, f AS a, k AS words, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+s AS (SELECT lang, phrase, a, words, w, unnest(range(1, words)) AS cut FROM c),
+p AS (SELECT s.lang, s.phrase, a, s.w, cut, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM s JOIN n ON n.lang = s.lang
+JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(s.w[:cut], ' ') JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(s.w[cut + 1:], ' ')),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+g AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.a >= b.a AND c.words > len(b.w) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM g QUALIFY rank <= 2000"""
 TERMS = r"unnest(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
 OP12 = f"""WITH i AS (SELECT item_id, {TERMS.format("text")} AS term FROM benchmark),
 q AS (SELECT item_id, term, count(*) AS c FROM i GROUP BY ALL),
@@ -110,4 +127,4 @@ QUALIFY rank <= 20"""
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can say; tests hold the other queries against brute force, round trips and held-out rows."""
-    return {"op1_minhash_dedup": OP1, "op6_substring_dedup": OP6, "op12_lexical_search": OP12}
+    return {"op1_minhash_dedup": OP1, "op6_substring_dedup": OP6, "op11_collocations": OP11, "op12_lexical_search": OP12}
