@@ -22,7 +22,7 @@ DEEPEST, LEAST = 5, 100
 FILTER_BITS = 27
 #: Words that are worked on together, words that a task remembers, pointers that a sorting task gets (about), bytes of text
 #: that are split at a time, parts in which a language's phrases are ranked first.
-GROUP, KNOWN, POINTERS, PART, SALTS = 1 << 21, 400_000, 4_000_000, 4 << 20, 64
+GROUP, KNOWN, POINTERS, PART, SALTS = 1 << 21, 250_000, 4_000_000, 4 << 20, 64
 #: A lead of more than this share of all pointers is dealt out by its whole suffixes.
 HOT_SHARE = 1000
 #: Blanks part words, a full stop parts pieces (and is no part of words); letters are folded.
@@ -116,9 +116,15 @@ def counted(docs: DataFrame, least: int) -> DataFrame:
     return written(sums.where((F.col("n") >= least) | F.col("key").isNull()), "collocations-counts")
 
 
-def suffixes(docs: DataFrame, pairs: DataFrame, total: int, deepest: int) -> DataFrame:
-    """(route, hot, lang, suffix, n): the suffixes of frequent pairs, to `deepest` words or the first pair that isn't frequent,
-    and how often a task has each. `route` is the hash of the leading pair; for hot leads, that of the whole suffix."""
+BLOCKS = "bucket int, langs array<string>, words array<binary>, lang binary, ids binary, hot binary, n binary"
+
+
+def suffixes(docs: DataFrame, pairs: DataFrame, total: int, deepest: int, buckets: int) -> DataFrame:
+    """The suffixes of frequent pairs, to `deepest` words or the first pair that isn't frequent, and how often a task has each:
+    a block a bucket of leads, with its own words and, for each suffix, their places (int32, -1 beyond its end), its
+    language's place (int32), whether its lead is hot (a byte), and its count (int64).
+
+    The bucket is that of the leading pair's hash; of hot leads, of the whole suffix's hash."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,21 +148,44 @@ def suffixes(docs: DataFrame, pairs: DataFrame, total: int, deepest: int) -> Dat
                 open_ &= good[at + d]
                 depth += open_
             width, padded = len(numbers), np.append(ids, np.zeros(deepest, np.int32)).astype(np.int64)
+            rows = np.stack([np.where(d < depth, padded[at + d], 0) for d in range(deepest)], axis=1)
             code = langs[at]
             for d in range(deepest):  # equal suffixes get equal numbers, one word more at a time
-                code = np.unique(code * width + np.where(d < depth, padded[at + d], 0), return_inverse=True)[1]
+                code = np.unique(code * width + rows[:, d], return_inverse=True)[1]
             _, first, n = np.unique(code, return_index=True, return_counts=True)
-            words, own = [*numbers], pa.array(names, pa.binary()).cast(pa.string())
-            for a in range(0, len(first), 50_000):
-                p, count = first[a : a + 50_000], n[a : a + 50_000].astype(np.int64)
-                start = at[p]
-                text = [b" ".join([words[i] for i in ids[s : s + d].tolist()]) for s, d in zip(start.tolist(), depth[p].tolist(), strict=True)]
-                route = pairs[start]
-                warm = np.isin(route, hot)
-                route[warm] = np.fromiter((xxhash.xxh64_intdigest(t) for t, w in zip(text, warm.tolist(), strict=True) if w), np.uint64, int(warm.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(warm), own.take(pa.array(langs[start])), pa.array(text, pa.binary()), pa.array(count)], names=["route", "hot", "lang", "suffix", "n"])
+            rows, lang, route = rows[first], langs[at[first]], pairs[at[first]]
+            warm = np.isin(route, hot)
+            route = np.where(warm, gram_sums(numbers.hashed()[rows]), route)
+            bucket = (mix(route) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = [*np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
+            words, out = [*numbers], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = order[a:b]
+                used, place = np.unique(rows[own], return_inverse=True)
+                place = np.where(rows[own] > 0, place.reshape(rows[own].shape) - (used[0] == 0), -1).astype(np.int32)
+                out.append((int(bucket[own[0]]), names_of(names), [words[i] for i in used[used > 0].tolist()], lang[own].astype(np.int32).tobytes(), place.tobytes(), warm[own].tobytes(), n[own].astype(np.int64).tobytes()))
+                if len(out) >= 64 or b == len(order):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), KINDS, strict=True)], names=NAMES)
+                    out = []
+
+    return docs.mapInArrow(tidy(run), BLOCKS)
+
+
+KINDS = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.binary()), *[pa.binary()] * 4)
+NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+
+
+def names_of(langs: list[bytes]) -> list[str]:
+    return [x.decode() for x in langs]
+
 
-    return docs.mapInArrow(tidy(run), "route long, hot boolean, lang string, suffix binary, n long")
+def gram_sums(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each row of words' hashes."""
+    out = np.zeros(len(hashes), np.uint64)
+    for column in hashes.T:
+        out = mix(out * np.uint64(STEP) + column)
+    return out
 
 
 def equal_partitions(columns: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -192,7 +221,7 @@ def equal_partitions(columns: np.ndarray, weights: np.ndarray, least: int) -> It
         pointers, sizes = (np.concatenate(x) for x in zip(*deeper, strict=True)) if deeper else (pointers[:0], sizes[:0])
 
 
-def phrases(rows: DataFrame, total: int, least: int, deepest: int) -> DataFrame:
+def phrases(rows: DataFrame, partitions: int, least: int, deepest: int) -> DataFrame:
     """(lang, phrase, words, a): phrases of 2 to `deepest` words with at least `least` occurrences.
 
     Each partition sorts the suffixes of its leads. Leads that are not hot are whole there, and their light partitions are
@@ -203,16 +232,13 @@ def phrases(rows: DataFrame, total: int, least: int, deepest: int) -> DataFrame:
         names: dict[str, int] = {}
         parts, hot, weights = [], [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            split = [t.split(b" ") for t in batch.column(3).to_pylist()]
-            ids = np.full((batch.num_rows, deepest + 1), -1, np.int32)
-            ids[:, 0] = [names.setdefault(lang, len(names)) for lang in batch.column(2).to_pylist()]
-            lengths = np.array([len(s) for s in split])
-            ids[:, 1:][np.arange(deepest) < lengths[:, None]] = [numbers.setdefault(w, len(numbers)) for s in split for w in s]
-            parts.append(ids)
-            hot.append(batch.column(1).to_numpy(zero_copy_only=False))
-            weights.append(batch.column(4).to_numpy())
+            for _, langs, words, lang, place, warm, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lang_at = np.array([names.setdefault(x, len(names)) for x in langs], np.int32)
+                word_at = np.array([*[numbers.setdefault(w, len(numbers)) for w in words], -1], np.int32)  # -1 stays -1
+                ids = word_at[np.frombuffer(place, np.int32).reshape(-1, deepest)]
+                parts.append(np.column_stack([lang_at[np.frombuffer(lang, np.int32)], ids]))
+                hot.append(np.frombuffer(warm, bool))
+                weights.append(np.frombuffer(n, np.int64))
         if not parts:
             return
         ids, hot, weights = np.concatenate(parts), np.concatenate(hot), np.concatenate(weights)
@@ -225,8 +251,7 @@ def phrases(rows: DataFrame, total: int, least: int, deepest: int) -> DataFrame:
                     found = rows[pointers, :depth].tolist()
                     yield pa.RecordBatch.from_arrays([pa.array([langs[f[0]] for f in found], pa.string()), pa.array([b" ".join([words[i] for i in f[1:]]) for f in found], pa.binary()), pa.array(np.full(len(found), depth - 1, np.int32)), pa.array(sizes)], names=["lang", "phrase", "words", "n"])
 
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // POINTERS))
-    found = rows.repartition(n, "route").mapInArrow(tidy(run), "lang string, phrase binary, words int, n long")
+    found = rows.repartition(partitions, "bucket").mapInArrow(tidy(run), "lang string, phrase binary, words int, n long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
@@ -246,7 +271,8 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = 2000, percent:
     counts = counted(docs, least)
     pairs = counts.where(F.col("lang").isNull())
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = written(phrases(suffixes(docs, pairs, total, deepest), total, least, deepest), "collocations-phrases")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // POINTERS))
+    found = written(phrases(suffixes(docs, pairs, total, deepest, 4 * n), n, least, deepest), "collocations-phrases")
     text = F.col("phrase").cast("string")
     candidates = found.select("lang", text.alias("phrase"), F.split(text, " ").alias("w"), "a")
     known = candidates.select("lang", "phrase", F.col("a").alias("c")).union(counts.where(F.col("lang").isNotNull() & F.col("key").isNotNull()).select("lang", F.col("key").cast("string"), "n"))
