@@ -1,4 +1,4 @@
-"""Baseline regressors per task head with Spark ML."""
+"""Baseline regressors per task head: forests with Spark ML, and histogram boosting."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.functions.parsing import number
-from doseframe.operators.encode import TabularPreprocessor, feature_columns
+from doseframe.operators.boosting import boosted
+from doseframe.operators.encode import feature_columns
+from doseframe.operators.headed import parameters, with_features
 from doseframe.sources.shared import materialised
 
 #: Fits at a time, and rows that a task of a fit takes at most.
@@ -34,10 +36,8 @@ def model_name(name: str) -> str:
     raise ValueError(f"unknown model: {name}")
 
 
-def regressor(name: str, seed: int = 42, size: int = 100) -> RandomForestRegressor | GBTRegressor:
-    if model_name(name) == "random_forest":
-        return RandomForestRegressor(featuresCol="_features", labelCol="y_true", predictionCol="y_pred", numTrees=size, minInstancesPerNode=2, seed=seed)
-    return GBTRegressor(featuresCol="_features", labelCol="y_true", predictionCol="y_pred", maxIter=size, seed=seed)
+def forest(seed: int = 42, size: int = 100) -> RandomForestRegressor:
+    return RandomForestRegressor(featuresCol="_features", labelCol="y_true", predictionCol="y_pred", numTrees=size, minInstancesPerNode=2, seed=seed)
 
 
 def trainable_rows(frame: DataFrame, target: str, head: str) -> DataFrame:
@@ -47,31 +47,34 @@ def trainable_rows(frame: DataFrame, target: str, head: str) -> DataFrame:
     return rows.join(good, "task_head", "left_semi")
 
 
-def head_predictions(rows: DataFrame, head: str, columns: Sequence[str], model: str, seed: int, size: int) -> DataFrame:
-    """split_part, task_head, y_true and y_pred of one head's rows, from features and a model of its training rows."""
-    own = rows.where(F.col("task_head") == head)
-    train = own.where("split_part = 'train'")
-    ready = TabularPreprocessor().fit(train, columns).transform(own, "_array").select("split_part", "task_head", "y_true", array_to_vector("_array").alias("_features"))
+def forest_predictions(rows: DataFrame, head: str, seed: int, size: int) -> DataFrame:
+    """split_part, task_head, y_true and y_pred of one head's rows, by a forest of its training rows."""
+    own = rows.where(F.col("task_head") == head).withColumn("_features", array_to_vector("_array"))
     parts = max(1, -(-own.count() // ROWS_OF_A_TASK))
-    ready = materialised(ready.coalesce(parts), "features")
-    fitted = regressor(model, seed, size).fit(ready.where("split_part = 'train'").coalesce(parts))
-    return materialised(fitted.transform(ready).select("split_part", "task_head", "y_true", "y_pred"), "predictions")
+    fitted = forest(seed, size).fit(own.where("split_part = 'train'").coalesce(parts))
+    return materialised(fitted.transform(own.coalesce(parts)).select("split_part", "task_head", "y_true", "y_pred"), "predictions")
 
 
 def baseline_predictions(frame: DataFrame, target: str, head: str, model: str = "random_forest", seed: int = 42, size: int = 100, split_name: str = "split") -> DataFrame:
     """split_name, split_part, task_head, y_true and y_pred of all rows; each head's features and model learn from its
     training rows. Without a head to train it is an error.
 
-    The heads are few (an endpoint family and an effect family each); each fit is distributed, and several run at a time,
-    as a fit of a small head is many short jobs."""
-    columns = [c for c in feature_columns(frame, target, head)]
+    Features of all heads come from one frame of parameters, and boosting grows the trees of all heads together. Forests are
+    fitted head by head: heads are few (an endpoint family and an effect family each), each fit is distributed, and
+    several run at a time, as a fit of a small head is many short jobs."""
+    kind, columns = model_name(model), feature_columns(frame, target, head)
     rows = materialised(trainable_rows(frame, target, head), "trainable")
-    names = [name for (name,) in rows.select("task_head").distinct().orderBy("task_head").collect()]
+    fitted = materialised(parameters(rows.where("split_part = 'train'"), columns), "parameters") if columns else rows.select("task_head").distinct()
+    ready = materialised(with_features(rows, fitted, columns, "_array").select("split_part", "task_head", "y_true", "_array"), "features")
+    names = [name for (name,) in ready.select("task_head").distinct().orderBy("task_head").collect()]
     if not names:
         raise ValueError("no head has training and other rows")
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        out = list(pool.map(inheritable_thread_target(frame.sparkSession)(lambda name: head_predictions(rows, name, columns, model, seed, size)), names))
-    return reduce(DataFrame.unionByName, out).select(F.lit(split_name).alias("split_name"), "split_part", "task_head", "y_true", "y_pred")
+    if kind == "hist_gradient_boosting":
+        out = boosted(ready, size)
+    else:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(frame.sparkSession)(lambda name: forest_predictions(ready, name, seed, size)), names))
+    return out.select(F.lit(split_name).alias("split_name"), "split_part", "task_head", "y_true", "y_pred")
 
 
 def run_summary(predictions: DataFrame, features: int) -> DataFrame:

@@ -141,10 +141,11 @@ def category_gate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return values.groupBy("column").agg(F.count_distinct("value").alias("categories")).withColumn("encoding", F.when(F.col("categories") <= ONE_HOT_MOST, "one_hot").otherwise("hashed"))
 
 
-def hot(position: Column, size: int) -> Column:
+def hot(position: Column, size: Column | int) -> Column:
     """size numbers, 1 at the position (from 0), all 0 where that is null or negative."""
+    size = F.lit(size) if isinstance(size, int) else size
     zeros = F.array_repeat(F.lit(0.0), size)
-    made = F.concat(F.array_repeat(F.lit(0.0), position), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.lit(size - 1) - position))
+    made = F.concat(F.array_repeat(F.lit(0.0), position), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size - 1 - position))
     return F.when(position >= 0, made).otherwise(zeros)
 
 
