@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.operators.ranks import distributed_rank
+from doseframe.operators.ranks import digest_rank, distributed_rank
 
 
 def filled_durations(df: DataFrame, duration: str, rules: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def species_sensitivity(df: DataFrame, chemical: str, species: str, amount: str,
 def permuted(df: DataFrame, column: str, seed: int, key: str) -> DataFrame:
     """df with the column's values dealt anew: the n-th row by key gets that of the n-th row by a hash."""
     ranked = distributed_rank(df, key, "_at")
-    shuffled = distributed_rank(df.select(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(column), F.col(key).cast("string")).cast("binary")).alias("_digest"), F.col(column).alias("_other"), F.col(key).alias("_key")), "_digest", "_at", ties="_key")
+    shuffled = digest_rank(df.select(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(column), F.col(key).cast("string")).cast("binary")).alias("_digest"), F.col(column).alias("_other"), F.col(key).alias("_key")), "_digest", "_at", ties="_key")
     return ranked.join(shuffled.select("_at", "_other"), "_at").withColumn(column, F.col("_other")).drop("_at", "_other")
 
 

@@ -22,7 +22,9 @@ from doseframe.functions.rules import (
     unit_kind,
     value_choice,
 )
-from doseframe.operators.ranks import distributed_rank
+from doseframe.operators.joins import hot_keys, split_join
+from doseframe.operators.ranks import distributed_rank, running_total
+from doseframe.sources.shared import materialised
 
 # The wide record's columns by table (with their names there, if these differ), and types of those a source may lack.
 WIDE = {
@@ -42,6 +44,9 @@ CONDITION = (
     "duration_bin_h", "duration_bin_rule",
 )
 
+#: Rows from which a condition's median is found across tasks.
+HOT_CONDITION = 1_000_000
+
 
 def wide_columns() -> list[tuple[str, str, str, str]]:
     """(name, table, column there, type) of the 55 columns."""
@@ -115,19 +120,76 @@ def with_tasks(targets: DataFrame) -> DataFrame:
     return rows.withColumns(made).select(*targets.columns, *TASK_COLUMNS)
 
 
-def aggregated(tasks: DataFrame) -> DataFrame:
-    """One row per condition of the included tasks: statistics of its targets, its results, and its number in the order of
-    their first result. A condition none of whose values can be read is dropped, but has its number."""
+def _conditions(rows: DataFrame, median: bool) -> DataFrame:
     value = F.col("_value")
-    rows = tasks.where("task_status = 'included' and target_value is not null").withColumn("_value", number("target_value") if dict(tasks.dtypes)["target_value"] == "string" else F.col("target_value"))
-    # the results of one condition are repeated measurements of one experiment
-    groups = rows.groupBy(*CONDITION).agg(
-        F.min("result_id").alias("_first"), F.median(value).alias("target_value_median"), F.avg(value).alias("target_value_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("target_value_std"),
-        F.count(value).alias("target_value_count"), F.min(value).alias("target_value_min"), F.max(value).alias("target_value_max"),
-        F.array_sort(F.collect_list(F.when(value.isNotNull(), F.col("result_id")))).alias("result_ids"),
-    )
-    ranked = distributed_rank(groups, "_first", "aggregate_id")
-    return ranked.where("target_value_count > 0").select("aggregate_id", *CONDITION, *[c for c in groups.columns if c.startswith("target_value_")], "result_ids")
+    found = [
+        F.min("result_id").alias("_first"), F.avg(value).alias("target_value_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("target_value_std"), F.count(value).alias("target_value_count"),
+        F.min(value).alias("target_value_min"), F.max(value).alias("target_value_max"), F.array_sort(F.collect_list(F.when(value.isNotNull(), F.col("result_id")))).alias("result_ids"),
+    ]
+    return rows.groupBy("_hash", *CONDITION).agg(*found, *([F.median(value).alias("target_value_median")] if median else []))
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """(the condition, target_value_median), the exact median from running counts of distinct values by ranges: no task holds a condition."""
+    counts = rows.where("_value is not null").groupBy(*CONDITION, "_value").agg(F.count("*").alias("_n"))
+    upto = running_total(counts.withColumn("_key", F.struct(*CONDITION, "_value")), "_key", "_n", "_upto")
+    first = F.col("_upto") - F.col("_n")
+    ends = upto.groupBy(*[F.col(c).alias(f"_{c}") for c in CONDITION]).agg(F.min(first).alias("_begin"), F.max("_upto").alias("_end"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONDITION]
+    size = F.col("_end") - F.col("_begin")
+    at = lambda k: F.sum(F.when((first < F.col("_begin") + k) & (F.col("_upto") >= F.col("_begin") + k), F.col("_value")))
+    return upto.join(F.broadcast(ends), same).groupBy(*CONDITION).agg(((at(F.floor((size + 1) / 2)) + at(F.floor(size / 2 + 1))) / 2).alias("target_value_median"))
+
+
+def _condition_rows(tasks: DataFrame) -> DataFrame:
+    value = number("target_value") if dict(tasks.dtypes)["target_value"] == "string" else F.col("target_value")
+    rows = tasks.where("task_status = 'included' and target_value is not null")
+    return rows.select("result_id", *CONDITION, value.alias("_value"), F.xxhash64(*CONDITION).alias("_hash"))
+
+
+def aggregated(tasks: DataFrame, hot_rows: int = HOT_CONDITION) -> DataFrame:
+    """One row per condition of the included tasks: statistics of its targets, its results, and its number in the order of
+    their first result. A condition none of whose values can be read is dropped, but has its number.
+
+    Conditions of at least `hot_rows` rows (counted by hashes beforehand; more only where hashes coincide) get their median
+    across tasks; tasks is read twice and should be a written table. Only first results are ranked. A row holds its results, however many they are: `condition_members` has
+    them a row each."""
+    rows = _condition_rows(tasks)
+    hot = [h for (h,) in rows.groupBy("_hash").agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows).select("_hash").collect()]  # a row per hot_rows rows at most
+    mark = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], "_hash long"))
+    if hot:
+        warm = rows.join(mark, "_hash", "left_semi")
+        of, medians = _conditions(warm, False), _medians(warm).select(*[F.col(c).alias(f"_{c}") for c in CONDITION], "target_value_median")
+        made = of.join(F.broadcast(medians), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONDITION], "left").drop(*[f"_{c}" for c in CONDITION])
+        groups = _conditions(rows.join(mark, "_hash", "left_anti"), True).unionByName(made)
+    else:
+        groups = _conditions(rows, True)
+    groups = materialised(groups.drop("_hash").withColumn("_row", F.monotonically_increasing_id()), "condition-groups")
+    numbers = distributed_rank(groups.select("_first", "_row"), "_first", "aggregate_id", ties="_row").select("_row", "aggregate_id")
+    statistics = ["target_value_median", "target_value_mean", "target_value_std", "target_value_count", "target_value_min", "target_value_max"]
+    return groups.join(numbers, "_row").where("target_value_count > 0").select("aggregate_id", *CONDITION, *statistics, "result_ids")
+
+
+def condition_members(tasks: DataFrame) -> DataFrame:
+    """(first_result_id, position, result_id): each condition by the first of its results, and its readable results numbered from
+    1 in their order. Ranks come from ranges of (condition, result), so a condition of any size is spread over tasks. tasks is
+    read twice and should be a written table."""
+    rows = _condition_rows(tasks)
+    firsts = materialised(rows.groupBy(*CONDITION).agg(F.min("result_id").alias("first_result_id"), F.count("*").alias("n")).withColumn("_hash", F.xxhash64(*CONDITION)), "firsts")
+    counts = firsts.groupBy("_hash").agg(F.sum("n").alias("n"))
+    mark = F.broadcast(hot_keys(counts, ["_hash"]))
+    right = firsts.drop("n").select("_hash", "first_result_id", *[F.col(c).alias(f"_{c}") for c in CONDITION])
+    same = F.col("_hash") == F.col("_other")
+    for c in CONDITION:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    other = right.withColumnRenamed("_hash", "_other")
+    hot = rows.join(mark, "_hash", "left_semi").join(F.broadcast(other.join(mark.withColumnRenamed("_hash", "_other"), "_other", "left_semi")), same)
+    named = hot.unionByName(rows.join(mark, "_hash", "left_anti").join(other, same)).where("_value is not null").select("first_result_id", "result_id")
+    ranked = materialised(distributed_rank(named.withColumn("_key", F.struct("first_result_id", "result_id")), "_key", "_at"), "members")
+    begins = ranked.groupBy("first_result_id").agg(F.min("_at").alias("_begin"), F.count("*").alias("n"))
+    begins = materialised(begins, "begins")
+    out = split_join(ranked.select("first_result_id", "result_id", "_at"), begins.drop("n"), ["first_result_id"], begins.select("first_result_id", "n"))
+    return out.select("first_result_id", (F.col("_at") - F.col("_begin") + 1).alias("position"), "result_id")
 
 
 def summary(records: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.functions.parsing import filled, group_key
-from doseframe.operators.ranks import distributed_rank
+from doseframe.operators.joins import split_join
+from doseframe.operators.ranks import digest_rank
+from doseframe.sources.shared import materialised
 
 # Defaults, group columns by policy, columns that tell the medium.
 SEED, FRACTIONS = 42, (0.8, 0.1, 0.1)
@@ -31,16 +33,20 @@ def random_parts(df: DataFrame, key: str, seed: int = SEED, fractions: tuple[flo
     if min(fractions) < 0 or abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions are non-negative and sum to 1")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    ranked = distributed_rank(df.withColumn("_digest", digest), "_digest", "_rank", ties=key, total="_all")
+    ranked = digest_rank(df.withColumn("_digest", digest), "_digest", "_rank", ties=key, total="_all")
     train, valid = F.floor(F.col("_all") * fractions[0]), F.floor(F.col("_all") * fractions[1])
     part = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + valid, "valid").otherwise("test")
     return ranked.withColumn("split_part", part).drop("_digest", "_rank", "_all")
 
 
 def group_parts(df: DataFrame, columns: tuple[str, ...], seed: int = SEED) -> DataFrame:
-    """df with group_key and split_part: random_parts of the distinct groups, one part for all rows of a group."""
-    keyed = df.withColumn("group_key", group_key(*columns))
-    return keyed.join(random_parts(keyed.select("group_key").distinct(), "group_key", seed), "group_key")
+    """df with group_key and split_part: random_parts of the distinct groups, one part for all rows of a group.
+
+    Groups are counted once: the counts are the distinct groups, and tell which of them are too large for one task."""
+    keyed = materialised(df.withColumn("group_key", group_key(*columns)), "keyed")
+    counts = materialised(keyed.groupBy("group_key").agg(F.count("*").alias("n")), "groups")
+    parts = materialised(random_parts(counts.select("group_key"), "group_key", seed), "parts")
+    return split_join(keyed, parts, ["group_key"], counts)
 
 
 def medium_text(df: DataFrame) -> Column:

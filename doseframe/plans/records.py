@@ -82,10 +82,14 @@ def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATS = ("target_value_median", "target_value_mean", "target_value_std", "target_value_min", "target_value_max")
 
 
-def aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def condition_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What conditions are made of, written once: rules of tasks stay out of the plans that group by their results."""
     own = [c for c in records.CONDITION if c not in records.TASK_COLUMNS]
-    rows = materialised(tasks(spark, sf_dir, *own, "target_value").select("result_id", "target_value", "task_status", *records.CONDITION), "tasks")
-    return records.aggregated(rows)
+    return materialised(tasks(spark, sf_dir, *own, "target_value").select("result_id", "target_value", "task_status", *records.CONDITION), "tasks")
+
+
+def aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.aggregated(condition_tasks(spark, sf_dir))
 
 
 def condition_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +97,10 @@ def condition_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("result_ids", F.concat_ws(",", F.transform("result_ids", lambda x: x.cast("string"))))
 
 
+def condition_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.condition_members(condition_tasks(spark, sf_dir))
+
+
 def task_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.task_stats(tasks(spark, sf_dir))
 
@@ -189,7 +197,7 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    wide_records, wide_prefix, target_records, target_summary, task_records, task_summary, condition_aggregate, task_stats, aggregate_stats, build_stats, build_manifest, parse_concentration, value_choice, fallback_columns, normalize_codes, effect_level,
+    wide_records, wide_prefix, target_records, target_summary, task_records, task_summary, condition_aggregate, condition_members, task_stats, aggregate_stats, build_stats, build_manifest, parse_concentration, value_choice, fallback_columns, normalize_codes, effect_level,
     endpoint_class, effect_family, duration_bins, duration_hours, duration_pairs, duration_members, mapped_projection, value_profile, table_counts, catalog_scan,
 ]
 
@@ -205,6 +213,7 @@ SQL = {
     "task_records": sql.over("task", f"SELECT result_id, {', '.join(records.TASK_COLUMNS)} FROM task"),
     "task_summary": sql.over("task", "SELECT task_status, task_head, task_excluded_reason, count(*) AS n FROM task GROUP BY ALL"),
     "condition_aggregate": sql.over("aggregate", f"SELECT * REPLACE ({R6(*STATS)}) FROM aggregate"),
+    "condition_members": sql.over("task", f"SELECT min(result_id) OVER (PARTITION BY {', '.join(records.CONDITION)}) AS first_result_id, row_number() OVER (PARTITION BY {', '.join(records.CONDITION)} ORDER BY result_id) AS position, result_id FROM task WHERE task_status = 'included' AND target_value IS NOT NULL"),
     "build_stats": sql.over("target", "SELECT count(*) AS target_records, count(*) FILTER (target_status = 'included') AS included_targets, count(*) FILTER (target_status = 'excluded') AS excluded_targets FROM target"),
     "parse_concentration": sql.over("", f"SELECT test_id, {sql.measured('num_doses_mean')} AS value, CAST(trunc({sql.measured('num_doses_mean')}) AS BIGINT) AS whole, {sql.number('media_type')} AS \"none\" FROM tests"),
     "value_choice": sql.over("target0", "SELECT result_id, round(tox_value, 6) AS value, tox_value_source AS source, tox_value_imputed AS imputed, CASE WHEN tox_value IS NULL THEN 'missing_mean_and_invalid_min_max_midpoint' END AS reason FROM target0"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from typing import Any
 
@@ -78,11 +79,34 @@ def catalog(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def overwrite(df: DataFrame, table: str) -> None:
-    df.write.mode("overwrite").saveAsTable(table)
+    """df as the table, in place of what was there.
+
+    The rows are written to a table of their own, which then takes the name: a run that fails leaves the old rows, and no
+    reader sees a part of the new ones. df may read the table itself."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex[:12]
+    new, old = f"{table}__new_{mark}", f"{table}__old_{mark}"
+    try:
+        df.write.saveAsTable(new)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    there = spark.catalog.tableExists(table)
+    if there:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+    except BaseException:
+        if there:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
 def replace_split(assignments: DataFrame, path: str) -> None:
-    """Writes assignments over those of the same split names, and leaves other splits. An empty frame is an error."""
+    """Writes assignments over those of the same split names, and leaves other splits. An empty frame is an error.
+
+    Spark stages the new rows and moves them once all are written: a run that fails leaves the old ones."""
     if assignments.isEmpty():
         raise ValueError("at least one assignment is needed")
     stamped = assignments.withColumn("created_at", F.current_timestamp())
