@@ -48,7 +48,16 @@ def encoder(tokenizer: str, ranks: str | None) -> Callable[[list[str]], list[np.
         known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     added = {str(token): i for i, token in own.get_added_tokens_decoder().items()}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
-    return lambda texts: [fast.encode_to_numpy(t, allowed_special="all") for t in texts]
+    own.no_padding()
+    own.no_truncation()
+
+    def ids(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its regex gives up on runs of about a million blanks, the library's doesn't
+            return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return lambda texts: [ids(t) for t in texts]
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = 0, ids: bool = True) -> DataFrame:

@@ -48,6 +48,19 @@ def test_ids_equal_the_library():
     assert [own.decode(np.array(x)) for x in some] == [library.decode(x, skip_special_tokens=False) for x in some]
 
 
+def test_ranks_take_runs_of_any_length():
+    """op2's encoder, which works from ranks: millions of one character of each class, blanks among them."""
+    from tokenizers import Tokenizer
+
+    from doseframe.llm import packing
+
+    library = Tokenizer.from_file(PATH)
+    ranks = packing.encoder(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for run, n in ((" ", 5_000_000), ("\n", 1_000_000), ("\u3000", 1_000_000), ("\t ", 500_000), ("a", 1_000_000), ("1", 1_000_000), (".", 1_000_000), ("<|endoftext|> ", 100_000)):
+        text = "x" + run * n + "y"
+        assert ranks([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_what_is_remembered_does_not_matter(monkeypatch):
     texts = [f"{i} and{i % 7} th{i}ing" for i in range(500)]
     want = bpe.byte_bpe(PATH).encode(texts)
