@@ -112,15 +112,15 @@ def links_of(values: list[np.ndarray], owners: np.ndarray, percent: int) -> list
     seen, at, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     shared = n[at] > 1
     rows, at = rows[shared], at[shared]
-    same = np.zeros((len(values), len(values)), np.float32)
+    same = np.zeros((len(values), len(values)), np.int64)
     place = np.cumsum(n > 1) - 1
     at = place[at]
     for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
         part = (at >= low) & (at < low + 4096)
         x = np.zeros((len(values), 4096), np.float32)
         x[rows[part], at[part] - low] = 1
-        same += x @ x.T
-    sizes = np.array([len(v) for v in values], np.float32)
+        same += (x @ x.T).astype(np.int64)  # 4,096 at most: exact
+    sizes = np.array([len(v) for v in values], np.int64)
     linked = (same > 0) & (100 * same >= percent * (sizes[:, None] + sizes[None, :] - same))
     out, todo = [], np.ones(len(values), bool)
     for root in range(len(values)):

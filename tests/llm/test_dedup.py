@@ -285,3 +285,12 @@ def test_empty_tables(spark):
     assert substring.without_repeats(none).count() == 0
     assert packing.packed_documents(none).count() == 0
     assert decontaminate.contaminated(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_links_of_very_large_sets_are_exact():
+    """Both sides of the threshold, where a comparison in 32-bit floats can't tell them apart."""
+    for size, shared, linked in ((900_000, 827_027, False), (900_000, 827_028, True)):
+        assert (100 * shared >= 85 * (2 * size - shared)) == linked
+        a = np.arange(size, dtype=np.uint64)
+        b = np.arange(size - shared, 2 * size - shared, dtype=np.uint64)
+        assert bool(minhash.links_of([a, b], np.array([1, 2]), 85)) == linked
