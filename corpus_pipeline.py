@@ -10,17 +10,23 @@ from doseframe.llm.base import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those that are rejected, and null and letterless texts, go."""
+    """Documents whose language is recognised; those that are rejected, and null and letterless texts, go. Rows are judged by
+    their texts alone, so rows that share a doc_id, or have none, are documents each."""
     return language.accepted(docs, language.fit(docs.where(~language.held_out()).select("doc_id", "text", "lang")))
 
 
+def keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """docs written with a number for each row, in their order, and its name: rows are told apart whatever their doc_id."""
+    name = next(n for i in range(len(docs.columns) + 1) if (n := f"row_{i}") not in docs.columns)
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8); of its rows, one for
-    each text. A row without a doc_id is a document of its own, after all others."""
-    keyed = written(docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id())), "pipeline-keys")
-    kept = minhash.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row_key")).distinct()
-    rows = keyed.join(kept, "row_key", "left_semi").withColumn("text_key", F.sha2("text", 256))
-    return rows.dropDuplicates(["row_key", "text_key"]).select(docs.columns)
+    """The first row of each group of near-duplicates (five-word shingles, similarity 0.8). A row is a document, whatever its
+    doc_id: rows that share one, or have none, stay unless their texts are near-duplicates. Null and empty texts stay."""
+    rows, key = keyed(docs, "pipeline-keys")
+    kept = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +38,15 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item. Each row is judged by its own text, whatever its doc_id; null and empty texts
+    hold none and stay."""
+    rows, key = keyed(docs, "pipeline-keys")
+    found = decontaminate.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences; null and empty texts are the end id, equal rows are packed each."""
     return packing.packed_documents(docs)
 
 
