@@ -202,11 +202,15 @@ def article_slot(slots: list[tuple[int, str, int, float]]) -> int | None:
 
 def main_text(page: Page, slot: int | None, fixed: frozenset[int] = frozenset()) -> str:
     """The page's text in the slot, where it has that with text, else in the slot of its own template; without the site's
-    own words, the text tokens `fixed`."""
+    own words, the text tokens `fixed`. In an article or main element that a text stands on all pages isn't enough: the
+    heading `Summary` does too. There it goes only if the page has it outside as well."""
     own = page.elements.get(slot) if slot is not None else None
     if own is None or not own.chars:
         slot = article_slot([(t, e.tag, e.depth, e.chars) for t, e in page.elements.items() if e.tag in SLOTS and e.n == 1])
     kept = [(slots, text) for slots, gone, text in page.blocks if not gone and (slot is None or slot in slots)]
+    if fixed and slot in page.elements and page.elements[slot].tag in ("article", "main"):
+        outside_too = {text for slots, _, text in page.blocks if slot not in slots}
+        return "\n".join(text for slots, text in kept if text not in outside_too or token_of(slots[-1] if slots else ROOT, "", text) not in fixed)
     return "\n".join(text for slots, text in kept if not fixed or token_of(slots[-1] if slots else ROOT, "", text) not in fixed)
 
 

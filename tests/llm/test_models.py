@@ -349,3 +349,64 @@ def test_pipeline_keeps_documents_without_id_and_one_row_of_repeated_ones(spark)
     rows = [(1, texts["a"]), (1, texts["a"]), (1, texts["a"]), (None, texts["b"]), (None, texts["b"]), (None, texts["c"]), (None, texts["a"]), (2, texts["d"])]
     got = c.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted((r.text[0], r.doc_id) for r in got) == [("a", 1), ("b", None), ("c", None), ("d", 2)]
+
+
+def test_html_keeps_what_stands_in_every_article(spark):
+    """Headings, bylines and statements that all articles of a host share; the site's own words around them go, also where an
+    article repeats them."""
+    page = "<body><div class='top'><p>The Daily</p></div><article><h1>Title {0}</h1><div><h2>Summary</h2></div><p>Body {0} of the story.</p><div class='by'>Jane Doe</div><section><p>This study was funded by the town.</p></section><div><p>The Daily</p></div></article><div><p>All rights reserved</p></div></body>"
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(f"n{i}")) for i in range(6)], "page_id long, url string, html string")
+    for r in html.main_texts(pages).collect():
+        assert r.text.split("\n") == [f"Title n{r.page_id}", "Summary", f"Body n{r.page_id} of the story.", "Jane Doe", "This study was funded by the town."]
+
+
+def brute_pipeline(rows, items):
+    """near_duplicates and benchmark_decontamination on rows (key, text) by all pairs: which keys stay after each."""
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").translate(LOWER).split()] for i in range(max(1, len(w) - 4)) if w}
+    sets = {k: shingles(t) for k, t in rows}
+    parent = {k: k for k in sets}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    first = [k for k in sets if root(k) == k]
+    holds = lambda t: any(i and f" {i.lower()} " in f" {(t or '').lower()} " for i in items)
+    return first, [k for k, t in rows if not holds(t)]
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_pipeline_stages_judge_rows_not_ids(spark, tmp_path):
+    """Repeated ids of different texts, null ids, repeated rows, null, empty and long texts, other columns; every stage on an
+    empty table."""
+    import corpus_pipeline as c
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    item = " ".join(f"q{i}" for i in range(12))
+    near = text["a"].split()
+    near[-1] = "other"
+    texts = [(3, text["a"]), (5, text["a"]), (5, text["b"]), (7, text["c"]), (7, f"{text['d']} {item}"), (None, f"{item} {text['e']}"), (None, text["f"]), (None, text["f"]), (8, None), (8, ""), (9, ""), (6, " ".join(near)), (10, " ".join(f"long{i}" for i in range(60_000))), (11, item.upper())]
+    rows = [(i, t, "en", "s", len(t or ""), k) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_0 int"
+    docs = spark.createDataFrame(rows, schema).coalesce(1)
+    spark.createDataFrame([(1, item), (2, "")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    first, clean = brute_pipeline([(k, t) for k, (_, t) in enumerate(texts)], [item])
+    folder = f"file://{tmp_path}"
+    got = c.near_duplicates(spark, docs, folder)
+    assert got.columns == docs.columns and sorted(r["row_0"] for r in got.collect()) == first
+    got = c.benchmark_decontamination(spark, docs, folder)
+    assert got.columns == docs.columns and sorted(r["row_0"] for r in got.collect()) == clean
+    got = {r["row_0"]: r["text"] for r in c.substring_dedup(spark, docs.where("doc_id is not null"), folder).collect()}
+    assert got[0] == text["a"] and got[2] == text["b"] and got[8] is None and got[9] == "" and len(got[12].split()) == 60_000
+    packed = c.best_fit_packing(spark, docs, folder)
+    assert packed.where("piece = 0").count() == len(texts)
+    for name, stage in c.STAGES:
+        assert stage(spark, docs.limit(0), folder).collect() == [], name
