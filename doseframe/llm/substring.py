@@ -60,25 +60,31 @@ def bits_for(size: int) -> int:
     return max(LEAST_BITS, int(np.ceil(np.log2(CELLS_EACH * max(1, size) / BYTES_EACH))))
 
 
-def reached_minimisers(docs: DataFrame, blocks: DataFrame, n: int, gram: int, bits: int) -> DataFrame:
-    """(id, some): for each document with any, its minimisers whose cells in the first row of the sketch are reached.
+#: Rows of the table of `asked`, in the order in which a block's rows come.
+PLANE, QUESTION, KNOWN = 0, 1, 2
+
 
-    The way for a sketch too large to broadcast: the cells meet their block by a join, a row for each task and block, so
-    what moves is a hash and a document for each minimiser."""
+def asked(docs: DataFrame, n: int, gram: int, bits: int) -> DataFrame:
+    """(block, kind, keys, ids, bits): each document's minimisers by the block of their cell, a row for each task, block and
+    about a million minimisers. Those that a task has twice are surely repeated: it tells so, and no block is asked for them."""
     size = min(sketch.BLOCK, bits)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, amount = WordHashes(), [], 0
 
-        def sent() -> pa.RecordBatch:
+        def sent() -> Iterator[pa.RecordBatch]:
             keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            at = sketch.cells(keys, 0, bits)
-            order = np.argsort(at >> size, kind="stable")
-            block = (at >> size)[order]
-            starts = np.flatnonzero(np.diff(block, prepend=-1))
-            ends = np.append(starts, len(block)).astype(np.int32)
+            _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+            at, sure = sketch.cells(keys, 0, bits) >> size, count[which] > 1
+            # what is known is spread by document, as one minimiser may be in most of them
+            at = np.where(sure, (mix(ids.view(np.uint64)) >> np.uint64(64 - bits + size)).astype(np.int64) if bits > size else 0, at)
+            order = np.lexsort((at, sure))
+            where = (at << 1 | sure)[order]
+            starts = np.flatnonzero(np.diff(where, prepend=-1))
+            ends = np.append(starts, len(where)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order].view(np.int64))) for x in (keys, ids)]
-            return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int32)), *lists], names=["block", "keys", "ids"])
+            kind = np.where(sure[order][starts], KNOWN, QUESTION).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at[order][starts].astype(np.int32)), pa.array(kind), *lists, pa.nulls(len(starts), pa.binary())], names=["block", "kind", "keys", "ids", "bits"])
 
         for batch, words in chunks(batches, 1):
             doc, _, place, least, _ = windows(words, n, gram, hashes)
@@ -87,21 +93,41 @@ def reached_minimisers(docs: DataFrame, blocks: DataFrame, n: int, gram: int, bi
             held.append((least[known], batch.column(0).fill_null(0).to_numpy()[doc[known]]))
             amount += int(known.sum())
             if amount > 1_000_000:
-                yield sent()
+                yield from sent()
                 held, amount = [], 0
         if amount:
-            yield sent()
+            yield from sent()
+
+    return docs.mapInArrow(tidy(run), "block int, kind int, keys array<long>, ids array<long>, bits binary")
+
+
+def reached_minimisers(docs: DataFrame, blocks: DataFrame, n: int, gram: int, bits: int) -> DataFrame:
+    """(id, some): for each document with any, its minimisers whose cells in the first row of the sketch are reached.
+
+    The way for a sketch too large to broadcast: what is asked is dealt out by block, behind the block's own row, and
+    streamed past it. A task holds one block at a time, every block travels once, and every minimiser as a hash and a
+    document, whatever the number of blocks."""
+    size = min(sketch.BLOCK, bits)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, plane = -1, np.zeros(0, np.uint8)
         for batch in batches:
-            for keys, ids, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for at, kind, keys, ids, packed in zip(*(batch.column(i) for i in range(5)), strict=True):
+                if kind.as_py() == PLANE:
+                    block, plane = at.as_py(), np.frombuffer(packed.as_py(), np.uint8)
+                    continue
                 keys, ids = (x.values.to_numpy() for x in (keys, ids))
-                plane, at = np.frombuffer(packed.as_py(), np.uint8), sketch.cells(keys.view(np.uint64), 0, bits) & ((1 << size) - 1)
-                hit = (plane[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(keys[hit])], names=["id", "key"])
-
-    asked = docs.mapInArrow(tidy(ask), "block int, keys array<long>, ids array<long>")
-    met = asked.join(blocks.where("sketch_row = 0").select("block", "bits"), "block").select("keys", "ids", "bits")
+                if kind.as_py() == KNOWN:
+                    found.append((ids, keys))
+                elif at.as_py() == block:  # else the block has no cell that is reached
+                    cell = sketch.cells(keys.view(np.uint64), 0, bits) & ((1 << size) - 1)
+                    hit = (plane[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+                    found.append((ids[hit], keys[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["id", "key"])
+
+    planes = blocks.where(F.col("sketch_row") == 0).select("block", F.lit(PLANE).alias("kind"), F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("array<long>").alias("ids"), "bits")
+    met = planes.unionByName(asked(docs, n, gram, bits)).repartition("block").sortWithinPartitions("block", "kind")
     return met.mapInArrow(tidy(answer), "id long, key long").groupBy("id").agg(F.collect_set("key").alias("some"))  # of one document
 
 
@@ -243,7 +269,7 @@ def without_repeats(docs: DataFrame, n: int = 20, gram: int = 10, rows: int = sk
         found = repeated_candidates(docs, docs.sparkSession.sparkContext.broadcast(sketch.Sketch(blocks, rows, bits)), n, gram)
     else:
         bits += 2
-        blocks = written(sketch.merged(sketched(docs, n, gram, 1, bits), 2, bits), "substring-sketch")
+        blocks = written(sketch.merged(sketched(docs, n, gram, 1, bits), 2, bits).where("bits <> unhex(repeat('00', octet_length(bits)))"), "substring-sketch")
         some = reached_minimisers(docs, blocks, n, gram, bits)
         found = repeated_candidates(docs.join(some, F.col("doc_id") == F.col("id"), "left"), None, n, gram)
     earliest = F.min("doc_id").over(Window.partitionBy("a", "b"))

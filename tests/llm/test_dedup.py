@@ -294,3 +294,26 @@ def test_links_of_very_large_sets_are_exact():
         a = np.arange(size, dtype=np.uint64)
         b = np.arange(size - shared, 2 * size - shared, dtype=np.uint64)
         assert bool(minhash.links_of([a, b], np.array([1, 2]), 85)) == linked
+
+
+def test_large_sketches_are_asked_once_a_minimiser(spark):
+    """At 2**31 cells: every minimiser is sent as two numbers, once, and a repeated one isn't asked for; each block with a
+    reached cell is one row, and what comes back is what a dictionary says."""
+    r = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(40))
+    docs = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(60)) + (f" {common}" if i % 2 else "")) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    want, times = defaultdict(set), defaultdict(int)
+    for i, t in docs:
+        _, _, place, least, _ = substring.windows([t.encode().split()], 20, 10, base.WordHashes())
+        for k in least[np.diff(place, prepend=-1) != 0].tolist():
+            want[i].add(k)
+            times[k] += 1
+    want = {i: own for i, ks in want.items() if (own := {k for k in ks if times[k] > 1})}
+    rows = substring.asked(df, 20, 10, 31).collect()
+    sent = sum(len(x.keys) for x in rows)
+    assert sent == sum(times.values()) == sum(len(x.ids) for x in rows)
+    assert {k for x in rows if x.kind == substring.QUESTION for k in x["keys"]}.isdisjoint(np.array([k for k, c in times.items() if c > 2], np.uint64).view(np.int64).tolist())
+    blocks = sketch.merged(substring.sketched(df, 20, 10, 1, 31), 2, 31).where("bits <> unhex(repeat('00', octet_length(bits)))")
+    got = {x.id: {k % 2**64 for k in x.some} for x in substring.reached_minimisers(df, blocks, 20, 10, 31).collect()}
+    assert got == want
