@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from functools import wraps
 
 import numpy as np
@@ -30,10 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: The tables written in the scope of `scratch`, if there is one.
+SCRATCH: ContextVar[list[str] | None] = ContextVar("SCRATCH", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write within are deleted at its end: what is read later must have been written elsewhere."""
+    made: list[str] = []
+    token = SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        SCRATCH.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/doseframe/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/doseframe/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
+    if (made := SCRATCH.get()) is not None:
+        made.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
