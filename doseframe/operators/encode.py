@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.functions.parsing import as_column, category, filled, hash_bin, number, token
+from doseframe.operators.joins import split_join
 from doseframe.operators.ranks import distributed_rank, running_total
+from doseframe.sources.shared import materialised
 
 # Categorical id columns, taxonomy and context fields, columns that are no features, columns taken as categories.
 ID_FIELDS = ("species_id", "taxon_id", "kingdom_id", "phylum_id", "class_id", "order_id", "family_id", "genus_id", "species_context_id", "life_stage_id", "habitat_id", "primary_medium_id", "exposure_route_id")
@@ -24,6 +27,8 @@ CATEGORICAL_HINTS = (
     "taxon_group_l3 primary_medium habitat_labels organism_habitat organism_lifestage media_type endpoint effect measurement trend"
 ).split()
 ONE_HOT_MOST, HASH_BINS = 30, 16
+#: Tokens of all vocabularies together that are broadcast at most.
+BROADCAST_TOKENS = 500_000
 
 
 def vocabulary(df: DataFrame, field: str, least: int = 1) -> DataFrame:
@@ -32,13 +37,28 @@ def vocabulary(df: DataFrame, field: str, least: int = 1) -> DataFrame:
     return distributed_rank(counts.withColumn("_key", F.struct(-F.col("n"), "token")), "_key", "id").select("token", "n", F.col("id").cast("int").alias("id"))
 
 
-def encoded(df: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
-    """df with categorical_ids: field to its token's id, 0 for unknown ones."""
-    names = []
-    for i, (field, vocab) in enumerate(vocabularies.items()):
-        df = df.withColumn(f"_t{i}", token(field)).join(vocab.select(F.col("token").alias(f"_t{i}"), F.col("id").alias(f"_id{i}")), f"_t{i}", "left")
-        names += [F.lit(field), F.coalesce(f"_id{i}", F.lit(0))]
-    return df.withColumn("categorical_ids", F.create_map(*names)).drop(*[f"{k}{i}" for i in range(len(vocabularies)) for k in ("_t", "_id")])
+def encoded(df: DataFrame, vocabularies: dict[str, DataFrame], most: int = BROADCAST_TOKENS) -> DataFrame:
+    """df with categorical_ids: field to its token's id, 0 for unknown ones.
+
+    Vocabularies of up to `most` tokens together meet the rows by broadcast, so no row moves. Beyond that the fields of all
+    rows are melted to (row, field, token) and meet all tokens in one join, whose hot tokens are split, and the maps are
+    put together by row: the number of shuffles doesn't grow with the fields."""
+    all_ = reduce(DataFrame.unionByName, [v.select(F.lit(f).alias("field"), "token", "id") for f, v in vocabularies.items()])
+    all_ = materialised(all_, "tokens")
+    if all_.count() <= most:
+        names = []
+        for i, field in enumerate(vocabularies):
+            own = all_.where(F.col("field") == field).select(F.col("token").alias(f"_t{i}"), F.col("id").alias(f"_id{i}"))
+            df = df.withColumn(f"_t{i}", token(field)).join(F.broadcast(own), f"_t{i}", "left")
+            names += [F.lit(field), F.coalesce(f"_id{i}", F.lit(0))]
+        return df.withColumn("categorical_ids", F.create_map(*names)).drop(*[f"{k}{i}" for i in range(len(vocabularies)) for k in ("_t", "_id")])
+    rows = materialised(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), token(f).alias("token")) for f in vocabularies]))
+    melted = materialised(rows.select("_row", cells.alias("own")).select("_row", "own.*"), "cells")
+    counts = melted.groupBy("field", "token").agg(F.count("*").alias("n"))
+    met = split_join(melted, all_, ["field", "token"], counts, "left")
+    maps = met.groupBy("_row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.coalesce("id", F.lit(0)).alias("id"))))).alias("categorical_ids"))  # an entry a field
+    return rows.join(maps, "_row").drop("_row")
 
 
 def vector(c: Column | str, strict: bool = True) -> Column:
@@ -79,6 +99,14 @@ def filled_ids(ids: Column | str, fields: Sequence[str]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.try_element_at(as_column(ids), F.lit(f)), F.lit(0)) for f in fields]))
 
 
+def dataset_profile(df: DataFrame, vectors: Sequence[str] = (), ids: str | None = None, head: str = "task_head") -> DataFrame:
+    """One row: heads (the distinct ones that aren't blank, in order), the width of each vector column (0 without rows), and
+    fields, the distinct keys of the map column `ids`. Keys are counted as rows first: no map is gathered."""
+    out = df.agg(F.array_sort(F.collect_set(filled(head))).alias("heads"), *[F.coalesce(F.max(F.size(v)), F.lit(0)).cast("long").alias(f"{v}_width") for v in vectors])
+    keys = df.select(F.explode(F.map_keys(ids)).alias("key")).distinct().agg(F.array_sort(F.collect_list("key")).alias("fields")) if ids else df.sparkSession.range(1).select(F.array().cast("array<string>").alias("fields"))
+    return out.crossJoin(F.broadcast(keys))  # one row each
+
+
 def valid_samples(df: DataFrame, head: str, target: str, strict: bool = False) -> DataFrame:
     """Rows with a head that isn't blank and a target that is a number; strict: any other row is an error."""
     good = filled(head).isNotNull() & number(target).isNotNull()

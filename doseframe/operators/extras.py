@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import PredictionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doseframe.operators.ranks import digest_rank, distributed_rank
+from doseframe.operators.ranks import DIGITS, distributed_rank
+from doseframe.sources.shared import materialised
 
 
 def filled_durations(df: DataFrame, duration: str, rules: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
@@ -57,23 +58,31 @@ def species_sensitivity(df: DataFrame, chemical: str, species: str, amount: str,
     return means.groupBy(chemical).agg(F.count("*").alias("species"), *found)
 
 
-def permuted(df: DataFrame, column: str, seed: int, key: str) -> DataFrame:
-    """df with the column's values dealt anew: the n-th row by key gets that of the n-th row by a hash."""
-    ranked = distributed_rank(df, key, "_at")
-    shuffled = digest_rank(df.select(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(column), F.col(key).cast("string")).cast("binary")).alias("_digest"), F.col(column).alias("_other"), F.col(key).alias("_key")), "_digest", "_at", ties="_key")
-    return ranked.join(shuffled.select("_at", "_other"), "_at").withColumn(column, F.col("_other")).drop("_at", "_other")
+def dealt_anew(rows: DataFrame, columns: Sequence[str], seed: int, key: str) -> DataFrame:
+    """(_column, _at, _other): for each column its values by place, dealt anew: place n has that of the n-th row by a hash of
+    seed, column and key. All columns are ranked together, by ranges of (column, first digits of the hash)."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_other")) for c in columns]))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_column"), F.col("_key").cast("string")).cast("binary"))
+    melted = rows.select(F.col(key).alias("_key"), cells.alias("own")).select("_key", "own.*").withColumn("_digest", digest)
+    melted = materialised(melted.withColumn("_range", F.conv(F.substring("_digest", 1, DIGITS), 16, 10).cast("int")), "importance-cells")
+    counts = melted.groupBy("_column", "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_column", "_range", before.alias("_before"))  # 4,096 rows a column
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_column", "_range").orderBy("_digest", "_key"))
+    return melted.join(F.broadcast(offsets), ["_column", "_range"]).select("_column", place.alias("_at"), "_other")
 
 
 def permutation_importance(model: PredictionModel, df: DataFrame, columns: Sequence[str], truth: str, features: Column, key: str, seed: int = 42) -> DataFrame:
-    """(column, increase): how much the mean squared error of the fitted model grows when a column's values are permuted."""
-
-    def error(rows: DataFrame) -> DataFrame:
-        scored = model.transform(rows.select(truth, array_to_vector(features).alias(model.getFeaturesCol())))
-        return scored.agg(F.avg(F.pow(F.col(model.getPredictionCol()) - F.col(truth), F.lit(2.0))).alias("mse"))
-
-    base = error(df).withColumnRenamed("mse", "base")
-    parts = [error(permuted(df, c, seed, key)).select(F.lit(c).alias("column"), "mse") for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.crossJoin(F.broadcast(base)).select("column", (F.col("mse") - F.col("base")).alias("increase"))  # base: one row
+    """(column, increase): how much the mean squared error of the fitted model grows when a column's values are permuted.
+
+    The columns are numbers; features is made of them. Rows are ranked once, all columns' values are dealt anew together,
+    and one pass scores every row for every column, and as it is."""
+    rows = materialised(distributed_rank(df.select(key, truth, *columns), key, "_at"), "importance")
+    dealt = dealt_anew(rows, columns, seed, key).join(rows, "_at")
+    own = {c: F.when(F.col("_column") == c, F.col("_other")).otherwise(F.col(c)) for c in columns}
+    tried = dealt.select("_column", truth, *[v.alias(c) for c, v in own.items()]).unionByName(rows.select(F.lit("").alias("_column"), truth, *[F.col(c).cast("double").alias(c) for c in columns]))
+    scored = model.transform(tried.select("_column", truth, array_to_vector(features).alias(model.getFeaturesCol())))
+    errors = scored.groupBy("_column").agg(F.avg(F.pow(F.col(model.getPredictionCol()) - F.col(truth), F.lit(2.0))).alias("mse"))
+    errors = materialised(errors, "importance-errors")  # a row per column
+    base = errors.where("_column = ''").select(F.col("mse").alias("base"))
+    return errors.where("_column <> ''").crossJoin(F.broadcast(base)).select(F.col("_column").alias("column"), (F.col("mse") - F.col("base")).alias("increase"))  # base: one row

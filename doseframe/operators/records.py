@@ -205,14 +205,20 @@ def task_summary(tasks: DataFrame) -> DataFrame:
     return summary(tasks, "task_status", "task_head", "task_excluded_reason")
 
 
-def build_stats(targets: DataFrame, least_doses: int = 3) -> DataFrame:
+def counters(kind: str) -> dict[str, Column]:
+    """Counts of target or task records, included and excluded ones: for an aggregate, or while they are written."""
+    status = F.col(f"{kind}_status")
+    return {f"{kind}_records": F.count("*"), f"included_{kind}s": F.count_if(status == "included"), f"excluded_{kind}s": F.count_if(status == "excluded")}
+
+
+def build_stats(targets: DataFrame) -> DataFrame:
     """One row: records, included and excluded ones."""
-    return targets.agg(F.count("*").alias("target_records"), F.count_if(F.col("target_status") == "included").alias("included_targets"), F.count_if(F.col("target_status") == "excluded").alias("excluded_targets"))
+    return targets.agg(*[c.alias(name) for name, c in counters("target").items()])
 
 
 def task_stats(tasks: DataFrame) -> DataFrame:
     """One row: task records, included and excluded ones."""
-    return tasks.agg(F.count("*").alias("task_records"), F.count_if(F.col("task_status") == "included").alias("included_tasks"), F.count_if(F.col("task_status") == "excluded").alias("excluded_tasks"))
+    return tasks.agg(*[c.alias(name) for name, c in counters("task").items()])
 
 
 def aggregate_stats(aggregates: DataFrame) -> DataFrame:

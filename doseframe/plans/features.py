@@ -103,8 +103,7 @@ def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads, widths and categorical fields of the samples."""
     df = sample_rows(spark, sf_dir)
     df = df.withColumns({"ids": encode.categorical_map(df), "v": encode.numeric_vector(["price", "habitat_id"])})
-    fields = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("ids")))))
-    return df.agg(F.concat_ws(",", F.array_sort(F.collect_set(parsing.filled("task_head")))).alias("heads"), F.max(F.size("v")).cast("long").alias("width"), F.concat_ws(",", fields).alias("fields"))
+    return encode.dataset_profile(df, ["v"], "ids").select(F.concat_ws(",", "heads").alias("heads"), F.col("v_width").alias("width"), F.concat_ws(",", "fields").alias("fields"))
 
 
 def onehot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +232,7 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = model_frame(spark, sf_dir).where("molecular_weight_g_mol is not null").select("result_id", "target_value", "molecular_weight_g_mol", F.coalesce("exposure_duration_mean_h", F.lit(0.0)).alias("hours"), F.coalesce("effect_level_x", F.lit(0.0)).alias("level"))
     names = ["molecular_weight_g_mol", "hours", "level"]
     features = F.array(*[F.col(c).cast("double") for c in names])
-    model = RandomForestRegressor(featuresCol="_features", labelCol="target_value", numTrees=10, seed=42).fit(df.select("target_value", array_to_vector(features).alias("_features")))
+    model = RandomForestRegressor(featuresCol="_features", labelCol="target_value", numTrees=100, seed=42).fit(df.select("target_value", array_to_vector(features).alias("_features")))
     return extras.permutation_importance(model, df, names, "target_value", features, "result_id")
 
 

@@ -9,7 +9,7 @@ from doseframe.functions import parsing, rules
 from doseframe.operators import profiles, records
 from doseframe.plans import sql
 from doseframe.sources import fixtures, tables
-from doseframe.sources.shared import materialised
+from doseframe.sources.shared import materialised, shared_folder
 
 SIX = ("results", "tests", "chemicals", "chemical_category_curated", "species", "species_category_curated")
 MAPPING = {
@@ -114,7 +114,9 @@ def build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.manifest(records.build_stats(targets(spark, sf_dir)), min_dose_groups_for_midpoint=3, limit=None)
+    """The counts are made as the targets are written."""
+    stats = tables.write_counted(targets(spark, sf_dir), shared_folder(spark, "targets"), **records.counters("target"))
+    return tables.manifest(spark.createDataFrame([stats]), min_dose_groups_for_midpoint=3, limit=None)
 
 
 def parse_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +113,13 @@ def replace_split(assignments: DataFrame, path: str) -> None:
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split_name").parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, **counters: Column) -> dict[str, Any]:
+    """Writes df as Parquet and returns aggregates of it, counted as its rows pass by: there is no second scan."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(name) for name, c in counters.items()]).write.parquet(path)
+    return seen.get
+
+
 def manifest(stats: DataFrame, **parameters: object) -> DataFrame:
     """(key, value): the parameters and the one row of stats as JSON."""
     fixed = stats.sparkSession.createDataFrame([(k, str(v)) for k, v in sorted(parameters.items())], "key string, value string")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from doseframe.operators import joins, ranks, records, splits
+from doseframe.operators import encode, extras, joins, ranks, records, splits
 from doseframe.sources import tables
 from doseframe.sources.shared import materialised
 
@@ -139,3 +139,57 @@ def test_limit_goes_before_the_status(spark):
     own = spark.range(9).select(F.lit("s").alias("split_name"), F.col("id").cast("string").alias("record_id"), F.lit(None).cast("string").alias("aggregate_id"), F.lit("train").alias("split_part"), F.lit("t").alias("source_table"))
     out = splits.split_frame(rows, own, "s", "t", "result_id", limit=5)
     assert sorted(r["result_id"] for r in out.collect()) == [0, 1, 3, 4]
+
+
+def test_counts_while_writing(spark, tmp_path):
+    """The same counts as a scan of what was written, and the rows run once."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    df = spark.range(300, numPartitions=3).mapInArrow(count, "id long").select("id", F.when(F.col("id") % 4 > 0, "included").otherwise("excluded").alias("target_status"))
+    path = f"file://{tmp_path}/counted"
+    stats = tables.write_counted(df, path, **records.counters("target"))
+    assert runs.value == 300
+    assert stats == records.build_stats(spark.read.parquet(path)).first().asDict() == {"target_records": 300, "included_targets": 225, "excluded_targets": 75}
+
+
+def test_fields_are_looked_up_together(spark):
+    """By broadcast and by one join of all fields: the same maps; the join's shuffles don't grow with the fields."""
+    df = spark.range(4000).select("id", *[F.when(F.col("id") % 11 > 0, F.concat(F.lit(f"{k}"), (F.col("id") % (3 + k)).cast("string"))).alias(f"f{k}") for k in range(6)], F.lit("same").alias("f6"))
+    fields = [f"f{k}" for k in range(7)]
+    vocabularies = {f: encode.vocabulary(df, f, 2) for f in fields}
+    got = [{r["id"]: r["categorical_ids"] for r in encode.encoded(df, vocabularies, most).collect()} for most in (10**6, 0)]
+    ids = {f: {r["token"]: r["id"] for r in v.collect()} for f, v in vocabularies.items()}
+    assert got[0] == got[1] == {r["id"]: {f: ids[f].get(r[f], 0) for f in fields} for r in df.collect()}
+    exchanges = lambda own: encode.encoded(df, {f: vocabularies[f] for f in own}, 0)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(fields) == exchanges(fields[:2])
+
+
+def test_dataset_profile(spark):
+    df = spark.createDataFrame([("b", [1.0, 2.0], {"x": 1}), (" a ", [1.0, 2.0], {"y": 1, "x": 2}), (None, None, None)], "task_head string, v array<double>, ids map<string,int>")
+    assert encode.dataset_profile(df, ["v"], "ids").first().asDict() == {"heads": ["a", "b"], "v_width": 2, "fields": ["x", "y"]}
+    assert encode.dataset_profile(df.limit(0), ["v"], "ids").first().asDict() == {"heads": [], "v_width": 0, "fields": []}
+
+
+def test_importance_of_a_column_of_known_effect(spark):
+    """A column that makes the target, one that doesn't: as much as the same permutations give one by one."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    r = random.Random(9)
+    data = [(i, a := r.gauss(0, 1), b := r.gauss(0, 1), 3 * a + 0.0 * b + r.gauss(0, 0.1)) for i in range(500)]
+    df = spark.createDataFrame(data, "key long, a double, b double, y double").repartition(4)
+    features = F.array("a", "b")
+    model = LinearRegression(featuresCol="_features", labelCol="y").fit(df.select("y", array_to_vector(features).alias("_features")))
+    got = {x["column"]: x["increase"] for x in extras.permutation_importance(model, df, ["a", "b"], "y", features, "key", 42).collect()}
+    (wa, wb), c = model.coefficients, model.intercept
+    error = lambda rows: sum((wa * a + wb * b + c - y) ** 2 for a, b, y in rows) / len(rows)
+    for k, column in ((1, "a"), (2, "b")):
+        order = sorted(range(500), key=lambda i: hashlib.md5(f"42|{column}|{i}".encode()).hexdigest())
+        tried = [(data[j][1] if k == 1 else a, data[j][2] if k == 2 else b, y) for (_, a, b, y), j in zip(data, order, strict=True)]
+        assert abs(got[column] - (error(tried) - error([x[1:] for x in data]))) < 1e-9
+    assert got["a"] > 5 and abs(got["b"]) < 0.1
