@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doseframe.plans import features, records, splits
+from doseframe.plans import features, records, sources, splits
 
-PLANS = (records, splits, features)
+PLANS = (records, splits, features, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
