@@ -27,6 +27,8 @@ CATEGORICAL_HINTS = (
     "taxon_group_l3 primary_medium habitat_labels organism_habitat organism_lifestage media_type endpoint effect measurement trend"
 ).split()
 ONE_HOT_MOST, HASH_BINS = 30, 16
+#: Bits of the map that a column's categories mark: what Spark's bitmaps hold.
+BITS = 32_768
 #: Tokens of all vocabularies together that are broadcast at most.
 BROADCAST_TOKENS = 500_000
 
@@ -169,6 +171,19 @@ def category_gate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return values.groupBy("column").agg(F.count_distinct("value").alias("categories")).withColumn("encoding", F.when(F.col("categories") <= ONE_HOT_MOST, "one_hot").otherwise("hashed"))
 
 
+def category_encodings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, encoding) as in category_gate, without counting the categories of columns that have many.
+
+    Each column's categories mark bits of a 4 KB map by their hash: more bits than ONE_HOT_MOST prove that there are more
+    categories. Only columns without that proof are counted, so no task or shuffle has the distinct values of a large one."""
+    bits = [F.bitmap_count(F.bitmap_construct_agg(F.pmod(F.xxhash64(category(c)), F.lit(BITS)))).alias(c) for c in columns]
+    marked = df.agg(*bits).first().asDict()  # one row
+    many = [(c, "hashed") for c in columns if (marked[c] or 0) > ONE_HOT_MOST]
+    known = df.sparkSession.createDataFrame(many, "column string, encoding string")
+    rest = [c for c in columns if (marked[c] or 0) <= ONE_HOT_MOST]
+    return known.unionByName(category_gate(df, rest).select("column", "encoding")) if rest else known
+
+
 def hot(position: Column, size: Column | int) -> Column:
     """size numbers, 1 at the position (from 0), all 0 where that is null or negative."""
     size = F.lit(size) if isinstance(size, int) else size
@@ -211,7 +226,7 @@ class TabularPreprocessor:
         self.numeric = [c for c in columns if kinds[c] == "numeric"]
         self.fill = medians(df, self.numeric).first().asDict() if self.numeric else {}
         names = [c for c in columns if kinds[c] == "categorical"]
-        gates = {r["column"]: r["encoding"] for r in category_gate(df, names).collect()} if names else {}
+        gates = {r["column"]: r["encoding"] for r in category_encodings(df, names).collect()} if names else {}
         self.hashed = [c for c in names if gates.get(c) == "hashed"]
         few = [c for c in names if gates.get(c) == "one_hot"]
         found = df.agg(*[F.array_sort(F.collect_set(category(c))).alias(c) for c in few]).first() if few else {}  # 30 of each at most

@@ -145,12 +145,19 @@ def imputed_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 KINDS = ["cas_number", "media_type", "num_doses_mean", "exposure_duration_mean_h", "conc1_standard_unit", "dtxsid", "molecular_weight_g_mol"]
 
 
+GATED = ["cas_number", "media_type", "organism_lifestage", "dtxsid"]
+
+
 def column_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.column_kinds(wide(spark, sf_dir), KINDS)
 
 
 def category_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.category_gate(wide(spark, sf_dir), ["cas_number", "media_type", "organism_lifestage", "dtxsid"])
+    return encode.category_gate(wide(spark, sf_dir), GATED)
+
+
+def category_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.category_encodings(wide(spark, sf_dir), GATED)
 
 
 def tabular_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +245,7 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     category_vocab, encoded_categories, standardizer_params, standardized_vectors, vector_width_audit, coerce_vectors, fixed_width_vectors, json_int_map, valid_samples, numeric_vector, categorical_map, categorical_fill,
-    dataset_profile, onehot_ids, species_context, hash_bins, hashed_features, onehot_features, numeric_medians, imputed_numeric, column_kinds, category_gate, tabular_features, baseline_predictions, baseline_rf, baseline_gbt,
+    dataset_profile, onehot_ids, species_context, hash_bins, hashed_features, onehot_features, numeric_medians, imputed_numeric, column_kinds, category_gate, category_encodings, tabular_features, baseline_predictions, baseline_rf, baseline_gbt,
     duration_fill, duration_clusters, target_export, descriptor_weights, body_weight_dose, species_sensitivity, permutation_importance,
 ]
 
@@ -271,6 +278,7 @@ LATERAL (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) GROUP BY event_i
     "imputed_numeric": sql.over("wide", f"SELECT result_id, round(coalesce(molecular_weight_g_mol, median(molecular_weight_g_mol) OVER ()), 6) AS molecular_weight_g_mol, round(coalesce(exposure_duration_mean_h, median(exposure_duration_mean_h) OVER ()), 6) AS exposure_duration_mean_h, round(coalesce(n, median(n) OVER ()), 6) AS num_doses_mean FROM (SELECT *, {sql.number('num_doses_mean')} AS n FROM wide)"),
     "column_kinds": sql.over("wide", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN {c in encode.CATEGORICAL_HINTS} OR count({sql.number(f'CAST({c} AS VARCHAR)')}) = 0 THEN 'categorical' ELSE 'numeric' END AS kind FROM wide" for c in KINDS)),
     "category_gate": sql.over("wide", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {x}) AS categories, CASE WHEN count(DISTINCT {x}) <= 30 THEN 'one_hot' ELSE 'hashed' END AS encoding FROM wide" for c in ("cas_number", "media_type", "organism_lifestage", "dtxsid") for x in [sql.category(f"CAST({c} AS VARCHAR)")])),
+    "category_encodings": sql.over("wide", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {x}) <= 30 THEN 'one_hot' ELSE 'hashed' END AS encoding FROM wide" for c in GATED for x in [sql.category(f"CAST({c} AS VARCHAR)")])),
     "tabular_features": sql.over(
         "task", "SELECT result_id, concat_ws(',', CAST(CAST(round(coalesce(molecular_weight_g_mol, md) * 1e6) AS BIGINT) AS VARCHAR), list_aggregate(list_transform(cats, lambda c: CASE WHEN c = mt THEN '1000000' ELSE '0' END), 'string_agg', ','), " + HOT.format(HASHED, "") + ") AS v FROM fit, s",
         **ASSIGNED, fit=FIT, s="SELECT median(molecular_weight_g_mol) AS md, list(DISTINCT mt ORDER BY mt) AS cats FROM fit WHERE split_part = 'train'",

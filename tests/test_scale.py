@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from doseframe.operators import encode, extras, joins, ranks, records, splits
+from doseframe.operators import encode, extras, joins, profiles, ranks, records, splits
 from doseframe.sources import tables
 from doseframe.sources.shared import materialised
 
@@ -193,3 +193,24 @@ def test_importance_of_a_column_of_known_effect(spark):
         tried = [(data[j][1] if k == 1 else a, data[j][2] if k == 2 else b, y) for (_, a, b, y), j in zip(data, order, strict=True)]
         assert abs(got[column] - (error(tried) - error([x[1:] for x in data]))) < 1e-9
     assert got["a"] > 5 and abs(got["b"]) < 0.1
+
+
+def test_frequent_values_with_and_without_a_proof(spark):
+    """A skewed column's top values are proven by buckets alone; one of equal frequencies is counted whole. Both are exact."""
+    r = random.Random(4)
+    rows = [(f"v{min(int(r.paretovariate(0.6)), 5000)}" if r.random() < 0.9 else None, i % 3000) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "a string, b long")
+    found, again = profiles.frequent_values(df, [("t.a", "a"), ("t.b", "b")], 5, buckets=1024, fullest=16)
+    assert again == ["t.b"]
+    got = {(x["section"], x["rank"]): (x["value"], x["n"]) for x in found.collect()}
+    for section, values in (("t.a", [a or "<NULL>" for a, _ in rows]), ("t.b", [str(b) for _, b in rows])):
+        top = sorted(Counter(values).items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [got[section, k + 1] for k in range(5)] == top
+    assert profiles.frequent_values(df.limit(0), [("t.a", "a")])[0].collect() == []
+
+
+def test_encodings_without_counting_large_columns(spark):
+    df = spark.range(2000).select((F.col("id") % 30).alias("c30"), (F.col("id") % 31).alias("c31"), F.col("id").alias("all"), F.lit(None).cast("string").alias("none"))
+    columns = ["c30", "c31", "all", "none"]
+    assert {r["column"]: r["encoding"] for r in encode.category_encodings(df, columns).collect()} == {r["column"]: r["encoding"] for r in encode.category_gate(df, columns).collect()} == {"c30": "one_hot", "c31": "hashed", "all": "hashed", "none": "one_hot"}
+    assert encode.category_encodings(df.limit(0), ["c30"]).count() == encode.category_gate(df.limit(0), ["c30"]).count()
