@@ -23,7 +23,8 @@ SECTIONS = (
 BUCKETS, FULLEST = 65_536, 256
 
 
-def _values(table: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
+def section_values(table: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
+    """(section, value) of a table's columns, (section, column) each; null is <NULL>."""
     cells = F.explode(F.array(*[F.struct(F.lit(section).alias("section"), F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")).alias("value")) for section, c in names]))
     return table.select(cells.alias("v")).select("v.*")
 
@@ -33,24 +34,24 @@ def _ranked(values: DataFrame, most: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= most)
 
 
-def frequent_values(table: DataFrame, names: Sequence[tuple[str, str]], most: int = 20, buckets: int = BUCKETS, fullest: int = FULLEST) -> tuple[DataFrame, list[str]]:
-    """(section, value, n, rank) of a table's columns, (section, column) each, and the sections that had to be counted whole.
+def frequent_values(values: DataFrame, most: int = 20, buckets: int = BUCKETS, fullest: int = FULLEST) -> tuple[DataFrame, list[str]]:
+    """(section, value, n, rank) of values (section, value), and the sections that had to be counted whole.
 
     Values are counted by hash buckets first, then one by one in the fullest buckets only. A value occurs no more often
     than its bucket, so the `most` found are the true ones if the last of them is more frequent than any other bucket is
     full. Sections without that proof are counted whole."""
-    values = _values(table, names).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)))
-    full = values.groupBy("section", "bucket").agg(F.count("*").alias("n"))
+    dealt = values.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)))
+    full = dealt.groupBy("section", "bucket").agg(F.count("*").alias("n"))
     full = materialised(full.withColumn("at", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "bucket"))), "buckets")  # `buckets` rows a section at most
     heavy = full.where(F.col("at") <= fullest).select("section", "bucket")  # `fullest` rows a section
-    found = materialised(_ranked(values.join(F.broadcast(heavy), ["section", "bucket"], "left_semi"), most), "frequent")
+    found = materialised(_ranked(dealt.join(F.broadcast(heavy), ["section", "bucket"], "left_semi"), most), "frequent")
     left = full.where(F.col("at") > fullest).groupBy("section").agg(F.max("n").alias("other"))
     least = found.groupBy("section").agg(F.min("n").alias("least"), F.count("*").alias("values"))
     unsure = left.join(least, "section", "left").where((F.coalesce("values", F.lit(0)) < most) | (F.col("least") <= F.col("other")))
     again = sorted(s for (s,) in unsure.select("section").collect())  # a row per section at most
     if not again:
         return found, again
-    whole = _ranked(_values(table, [x for x in names if x[0] in again]), most)
+    whole = _ranked(values.where(F.col("section").isin(again)), most)
     return found.where(~F.col("section").isin(again)).unionByName(whole), again
 
 
@@ -60,8 +61,8 @@ def value_profile(tables: dict[str, DataFrame], sections: tuple[tuple[str, str],
     for table in dict.fromkeys(t for t, _ in sections):
         own = [(f"{table}.{c}", c) for t, c in sections if t == table and c in tables[table].columns]
         if own:
-            parts.append(frequent_values(tables[table], own, most)[0])
-    return reduce(DataFrame.union, parts)
+            parts.append(section_values(tables[table], own))
+    return frequent_values(reduce(DataFrame.union, parts), most)[0]
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -200,13 +200,13 @@ def test_frequent_values_with_and_without_a_proof(spark):
     r = random.Random(4)
     rows = [(f"v{min(int(r.paretovariate(0.6)), 5000)}" if r.random() < 0.9 else None, i % 3000) for i in range(20_000)]
     df = spark.createDataFrame(rows, "a string, b long")
-    found, again = profiles.frequent_values(df, [("t.a", "a"), ("t.b", "b")], 5, buckets=1024, fullest=16)
+    found, again = profiles.frequent_values(profiles.section_values(df, [("t.a", "a"), ("t.b", "b")]), 5, buckets=1024, fullest=16)
     assert again == ["t.b"]
     got = {(x["section"], x["rank"]): (x["value"], x["n"]) for x in found.collect()}
     for section, values in (("t.a", [a or "<NULL>" for a, _ in rows]), ("t.b", [str(b) for _, b in rows])):
         top = sorted(Counter(values).items(), key=lambda x: (-x[1], x[0]))[:5]
         assert [got[section, k + 1] for k in range(5)] == top
-    assert profiles.frequent_values(df.limit(0), [("t.a", "a")])[0].collect() == []
+    assert profiles.frequent_values(profiles.section_values(df.limit(0), [("t.a", "a")]))[0].collect() == []
 
 
 def test_encodings_without_counting_large_columns(spark):
