@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     """docs written with a number for each row, in their order, and its name: rows are told apart whatever their doc_id."""
     name = next(n for i in range(len(docs.columns) + 1) if (n := f"row_{i}") not in docs.columns)
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), label, compression="zstd"), name
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
