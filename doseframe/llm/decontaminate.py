@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseframe.llm import sketch
-from doseframe.llm.base import WordHashes, gram_hashes, in_small_batches, texts_as_bytes, tidy, window_sums, written
+from doseframe.llm.base import HOT_ROWS, HOT_SHARE, WordHashes, gram_hashes, in_small_batches, texts_as_bytes, tidy, window_sums, written
 from doseframe.llm.substring import chunks
 
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
@@ -96,6 +96,39 @@ def item_seeds(items: DataFrame, least: int) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").mapInArrow(tidy(run), "item_id long, tokens int, place int, seed long")
 
 
+def hot_seeds(hits: DataFrame) -> DataFrame:
+    """(seed, n, shares) of the seeds that hold HOT_ROWS hits and one in HOT_SHARE of all: their hits, in shares of that size."""
+    share = max(HOT_ROWS, -(-hits.count() // HOT_SHARE))
+    counts = hits.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= share)
+    counts = counts.select("seed", "n", F.ceil(F.col("n") / share).cast("int").alias("shares"))
+    return hits.sparkSession.createDataFrame(counts.collect(), counts.schema)  # HOT_SHARE rows at most
+
+
+def places_to_join(seeds: DataFrame, hot: DataFrame, least: int, coverage: float) -> DataFrame:
+    """The rows of seeds less those that an item can spare, with the shares of their seed, and in spare the tokens that the
+    item's spared places cover at most.
+
+    A tile of n >= least tokens has n - least + 1 places, n / least of them at least. So a document that holds `coverage` of
+    an item's tokens in tiles has ceil(coverage * tokens / least) of its places, and one fewer, the hottest, can be spared:
+    the document is found by another place. Items that have a token count in common under one id are told apart by the tiling."""
+    need = F.ceil(F.col("tokens") * coverage / least - 1e-9)
+    heat = Window.partitionBy("item_id", "tokens").orderBy(F.desc("n"), "seed", "place")
+    marked = seeds.join(F.broadcast(hot), "seed").withColumn("spared", F.row_number().over(heat) < need)
+    spare = marked.where("spared").groupBy("item_id", "tokens").agg((F.count("*") * least).cast("int").alias("spare"))
+    cold = seeds.join(F.broadcast(hot), "seed", "left_anti").withColumn("shares", F.lit(1))
+    left = cold.unionByName(marked.where("not spared").select(cold.columns))
+    return left.join(spare, ["item_id", "tokens"], "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
+
+
+def in_shares(hits: DataFrame, places: DataFrame, hot: DataFrame) -> DataFrame:
+    """hits joined with places on their seed; each share of a hot seed's hits meets a copy of its places of its own."""
+    if hot.isEmpty():
+        return hits.join(places, "seed")
+    hits = hits.join(F.broadcast(hot.select("seed", "shares")), "seed", "left")
+    hits = hits.select("doc_id", "seed", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
+    return hits.join(places.withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))), ["seed", "share"])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: float = 0.5) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, in whole or in reordered parts.
 
@@ -109,7 +142,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
     Empty tables give an empty table. Other columns are not looked at.
 
     A filter of 2**27 bits, whatever the number of items, is broadcast to pass over grams that no item has; the join
-    on the grams themselves then finds the pairs.
+    on the grams themselves then finds the pairs. Of grams that very many documents hold, an item spares those without
+    which its rarer ones find the same pairs; the others are joined in shares of their documents.
     """
     docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct()
@@ -140,10 +174,13 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, coverage: fl
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs.d)), pa.array(np.ascontiguousarray(pairs.g))], names=["doc_id", "seed"])
 
-    hits = docs.mapInArrow(tidy(grams), "doc_id long, seed long").join(seeds, "seed")
-    # an item's places are at most its tokens
-    reach = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + least - 1)))))
-    pairs = hits.groupBy("doc_id", "item_id", "tokens").agg(F.collect_set("place").alias("places")).where(reach >= F.col("tokens") * coverage).select("doc_id", "item_id")
+    hits = written(docs.mapInArrow(tidy(grams), "doc_id long, seed long"), "decontaminate-hits")
+    hot = hot_seeds(hits)
+    places = seeds.withColumns({"shares": F.lit(1), "spare": F.lit(0)}) if hot.isEmpty() else written(places_to_join(seeds, hot, least, coverage), "decontaminate-places")
+    met = in_shares(hits, places, hot)
+    # an item's places are at most its tokens; spared ones may be held too
+    reach = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + least - 1))))) + F.col("spare")
+    pairs = met.groupBy("doc_id", "item_id", "tokens", "spare").agg(F.collect_set("place").alias("places")).where(reach >= F.col("tokens") * coverage).select("doc_id", "item_id").distinct()
     pairs = written(pairs, "decontaminate-pairs")
     ids = pairs.select(F.col("doc_id").alias("id")).distinct()
     held = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi")

@@ -215,6 +215,41 @@ def test_decontamination_equals_plain_tiling_of_all_pairs(spark):
     assert {(r.doc_id, r.item_id): r.matched for r in out} == want and len(want) > 10
 
 
+@pytest.mark.parametrize("rows", [1000, 20])
+def test_grams_of_all_documents_and_items_are_spared_or_split(spark, monkeypatch, rows):
+    """A passage that all items and documents hold makes hot seeds (from 20 hits here); pairs are those of plain tiling."""
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", rows)
+    rng = random.Random(5)
+    text = lambda n: [f"v{rng.randrange(400)}" for _ in range(n)]
+    common = [f"c{k}" for k in range(9)]
+    items = [(i, text(rng.randint(0, 40)) + common[: rng.choice([5, 6, 9])] + text(rng.randint(0, 40))) for i in range(20)]
+    items += [(20, common), (21, common[:5] + common[:5]), (22, common[:4]), (3, text(30) + common)]
+    docs = [(i, text(rng.randint(0, 30)) + common + rng.choice(items)[1][: rng.randint(0, 60)]) for i in range(80)]
+    docs += [(80, []), (81, common[:4]), (82, common[2:])]
+    want = {}
+    for d, w in docs:
+        for i, x in items:
+            if (n := plain_tiling(x, w, 5) if len(x) >= 5 else len(x) if x == w else 0) >= 0.5 * len(x):
+                want[d, i] = max(want.get((d, i), (0, 0)), (n / len(x), n))
+    df, bench = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    out = decontaminate.contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.coverage, r.matched) for r in out} == want and len(want) > 100
+
+
+def test_hot_seeds_are_dealt_in_shares_and_spared_by_items_that_can(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 100)
+    hits = spark.createDataFrame([(d, s) for d in range(1000) for s in (1, 2)] + [(d, 3) for d in range(9)], "doc_id long, seed long")
+    hot = decontaminate.hot_seeds(hits)
+    assert sorted(map(tuple, hot.collect())) == [(1, 1000, 10), (2, 1000, 10)]
+    seeds = spark.createDataFrame([(7, 20, 0, 1), (7, 20, 1, 2), (7, 20, 2, 3), (8, 10, 0, 1), (8, 10, 1, 3)], "item_id long, tokens int, place int, seed long")
+    places = decontaminate.places_to_join(seeds, hot, 5, 0.5)
+    assert sorted((r.item_id, r.place, r.shares, r.spare) for r in places.collect()) == [(7, 1, 10, 5), (7, 2, 1, 5), (8, 0, 10, 0), (8, 1, 1, 0)]
+    met = decontaminate.in_shares(hits, places, hot)
+    assert met.count() == 1000 + 9 + 1000 + 9
+    most = met.where("seed < 3").groupBy("seed", "share").count().agg({"count": "max"}).first()[0]
+    assert most < 200
+
+
 def test_packing(docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = defaultdict(int)
