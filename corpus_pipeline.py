@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.llm import decontaminate, language, minhash, packing, substring
-from doseframe.llm.base import delete, scratch, shared_path, written
+from doseframe.llm.base import delete, scratch, settled, shared_path, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The first row of each group of near-duplicates (five-word shingles, similarity 0.8). A row is a document, whatever its
     doc_id: rows that share one, or have none, stay unless their texts are near-duplicates. Null and empty texts stay."""
     rows, key = keyed(docs, "pipeline-keys")
-    kept = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key))
+    kept = settled(spark, lambda: minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key)), "pipeline-kept")
     return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
@@ -41,8 +41,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents that hold no benchmark item. Each row is judged by its own text, whatever its doc_id; null and empty texts
     hold none and stay."""
     rows, key = keyed(docs, "pipeline-keys")
-    found = decontaminate.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = settled(spark, lambda: decontaminate.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(key)).distinct(), "pipeline-contaminated")
+    return rows.join(found, key, "left_anti").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make() as a table in the shared folder; the tables that operators write on the way are deleted once it is there."""
+    path, outer = shared_path(spark, label), SCRATCH.get()
+    if outer is not None:
+        outer.append(path)
+    with scratch(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -410,3 +410,23 @@ def test_pipeline_stages_judge_rows_not_ids(spark, tmp_path):
     assert packed.where("piece = 0").count() == len(texts)
     for name, stage in c.STAGES:
         assert stage(spark, docs.limit(0), folder).collect() == [], name
+
+
+def test_stages_leave_no_tables_but_what_their_result_reads(spark):
+    import os
+
+    import corpus_pipeline as c
+    from doseframe.llm import base
+
+    folder = base.shared_dir(spark).removeprefix("file://") + "/doseframe"
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame([(k, " ".join(f"{k % 3}w{i}" for i in range(30))) for k in range(9)], "doc_id long, text string")
+    got = c.near_duplicates(spark, docs, "")
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"pipeline-keys", "pipeline-kept"}
+    assert got.count() == 3
+    with base.scratch(spark):
+        inner = base.settled(spark, lambda: base.written(docs, "a").select("doc_id"), "b")
+        assert inner.count() == 9
+        assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if x[0] in "ab"] == ["b"]
+    assert not [x for x in set(os.listdir(folder)) - before if x[0] in "ab"]
