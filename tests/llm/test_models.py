@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from doseframe.llm import gru, html, language, lm, mpeg, quality, queries, urls
 
@@ -430,3 +431,18 @@ def test_stages_leave_no_tables_but_what_their_result_reads(spark):
         assert inner.count() == 9
         assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if x[0] in "ab"] == ["b"]
     assert not [x for x in set(os.listdir(folder)) - before if x[0] in "ab"]
+
+
+def test_quality_on_labels_it_did_not_learn_from(spark):
+    """A quarter of the labels is held out, less those whose text is also learned from: how many verdicts agree, and how often
+    a document with the label outranks one without it."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    learned = docs.join(labels.where("not held"), "doc_id").select("text").distinct()
+    rows = quality.scored(docs, labels.where("not held").drop("held")).join(labels.where("held"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(learned, "text", "left_anti").collect()
+    for p, label, bar in (("p_quality", "quality", quality.GOOD), ("p_toxic", "toxic", quality.TOXIC)):
+        yes, no = ([r[p] for r in rows if r[label] == k] for k in (1, 0))
+        ranked = sum((x > y) + 0.5 * (x == y) for x in yes for y in no) / (len(yes) * len(no))
+        right = sum((r[p] >= bar) == bool(r[label]) for r in rows) / len(rows)
+        assert len(yes) > 100 and len(no) > 100 and ranked > 0.9 and right > 0.95
