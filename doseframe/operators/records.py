@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ from doseframe.functions.rules import (
     unit_kind,
     value_choice,
 )
-from doseframe.operators.joins import hot_keys, split_join
+from doseframe.operators.joins import hot_keys, keys_of, lookup, lookup_join, split_join
 from doseframe.operators.ranks import distributed_rank, running_total
 from doseframe.sources.shared import materialised
 
@@ -59,19 +62,30 @@ def wide_columns() -> list[tuple[str, str, str, str]]:
     return out
 
 
+#: The dimensions of a test: the test's key, and theirs.
+DIMENSIONS = {"chemicals": ("test_cas", "cas_number"), "chemical_category_curated": ("test_cas", "cas_number"), "species": ("species_number", "species_number"), "species_category_curated": ("species_number", "species_number")}
+
+
 def wide_records(tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
     """One row per result: inner join of its test, left joins of chemical, species and their curated classes.
 
-    The dimensions are small tables; Spark broadcasts them as far as their size allows, else it sorts and merges."""
-    t = tables
-    joined = (
-        t["results"].alias("results").join(t["tests"].alias("tests"), F.col("results.test_id") == F.col("tests.test_id"))
-        .join(t["chemicals"].alias("chemicals"), F.col("tests.test_cas") == F.col("chemicals.cas_number"), "left")
-        .join(t["chemical_category_curated"].alias("chemical_category_curated"), F.col("tests.test_cas").cast("string") == F.col("chemical_category_curated.cas_number"), "left")
-        .join(t["species"].alias("species"), F.col("tests.species_number") == F.col("species.species_number"), "left")
-        .join(t["species_category_curated"].alias("species_category_curated"), F.col("tests.species_number") == F.col("species_category_curated.species_number"), "left")
-    )
-    out = joined.select([(F.col(f"{table}.{own}") if own in t[table].columns else F.lit(None).cast(kind)).alias(name) for name, table, own, kind in wide_columns()])
+    Few chemicals and species are tested again and again, so rows are not dealt out by these keys: a test, of which there are
+    fewer than results, looks up those that tests have, by broadcast where they are few, and results meet tests by test."""
+    made = {table: [(F.col(own) if own in tables[table].columns else F.lit(None).cast(kind)).alias(name) for name, of, own, kind in wide_columns() if of == table] for table in WIDE}
+    tests = tables["tests"].select(F.col("test_id").alias("_test"), *[F.col(key).alias(f"_at_{table}") for table, (key, _) in DIMENSIONS.items()], *made["tests"])
+
+    def own(table: str) -> DataFrame:
+        key = F.col(DIMENSIONS[table][1])
+        return tables[table].select((key.cast("string") if table == "chemical_category_curated" else key).alias(f"_of_{table}"), *made[table])
+
+    tests = tests.withColumn("_at_chemical_category_curated", F.col("_at_chemical_category_curated").cast("string"))
+    keys = keys_of(tests, [f"_at_{table}" for table in DIMENSIONS])
+    looked_up = tests
+    with ThreadPoolExecutor(len(DIMENSIONS)) as pool:
+        ready = pool.map(inheritable_thread_target(tests.sparkSession)(lambda table: lookup(own(table), f"_of_{table}", keys[f"_at_{table}"])), DIMENSIONS)
+    for table, found in zip(DIMENSIONS, ready, strict=True):
+        looked_up = lookup_join(looked_up, f"_at_{table}", found)
+    out = tables["results"].select(F.col("test_id").alias("_own_test"), *made["results"]).join(looked_up, F.col("_own_test") == F.col("_test")).select([name for name, *_ in wide_columns()])
     return out if limit is None else out.orderBy("result_id").limit(limit)
 
 

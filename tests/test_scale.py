@@ -64,6 +64,41 @@ def test_split_join(spark, how):
     assert [r["k"] for r in joins.hot_keys(counts, ["k"]).collect()] == [1]
 
 
+@pytest.mark.parametrize("most", [100_000, 1500, 1])
+def test_lookup_join(spark, most):
+    """Few keys by broadcast, few keys that meet many rows, and many keys, some of them hot; keys that are null or met twice."""
+    key = F.when(F.col("id") % 10 < 6, 1).when(F.col("id") % 10 == 6, None).otherwise(F.col("id") % 1000)
+    left = materialised(spark.range(20_000, numPartitions=8).select("id", key.alias("k")), "left")
+    right = spark.range(0, 5000, 2).union(spark.range(1, 2)).union(spark.range(0, 5000, 4)).select(F.col("id").alias("c"), (F.col("id") * 2).alias("v"))
+    found = joins.lookup(right, "c", joins.keys_of(left, ["k"], most)["k"], most if most != 1500 else 10)
+    assert found.near == (most == 100_000) and found.keys.few == (most > 1)
+    got = joins.lookup_join(left, "k", found)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, left.join(right, F.col("k") == F.col("c"), "left").collect()))
+    assert shares(got, got.count()) < 0.4  # all rows of key 1 in one task before
+
+
+def test_wide_records_are_not_dealt_out_by_chemical(spark):
+    """All tests are of one chemical and one species, whose tables are too large to be broadcast as they are."""
+    n = 20_000
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        many = lambda c, *names: spark.range(5000).select(F.col("id").alias(c), *[F.concat(F.lit(x), F.col("id").cast("string")).alias(x) for x in names])
+        own = {
+            "results": spark.range(n).select(F.col("id").alias("result_id"), (F.col("id") % 5000).alias("test_id")), "tests": spark.range(5000).select(F.col("id").alias("test_id"), F.lit(7).alias("test_cas"), F.lit(9).alias("species_number")),
+            "chemicals": many("cas_number", "chemical_name"), "chemical_category_curated": many("cas_number", "chemical_class_l1").withColumn("cas_number", F.col("cas_number").cast("string")),
+            "species": many("species_number", "latin_name"), "species_category_curated": many("species_number", "taxon_group_l1"),
+        }
+        out = records.wide_records({name: materialised(df, name) for name, df in own.items()})
+        assert shares(out, n) < 0.6
+        assert [tuple(r) for r in out.select("chemical_name", "chemical_class_l1", "latin_name", "taxon_group_l1").distinct().collect()] == [("chemical_name7", "chemical_class_l17", "latin_name9", "taxon_group_l19")]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def some_tasks(spark, n=6000):
     r = random.Random(5)
     rows = []
