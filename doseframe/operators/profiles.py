@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doseframe.operators.joins import keys_of, lookup, lookup_join
 from doseframe.sources.shared import materialised
 
 # Profiled columns by table.
@@ -87,13 +88,24 @@ class Mapping:
         return cls(config.get("root", joins[0][0].split(".")[0]), joins, flat)
 
     def select(self, tables: dict[str, DataFrame]) -> DataFrame:
-        """The fields that the tables have, over left joins from the root table. A key is compared as text where the types differ."""
-        out = tables[self.root].alias(self.root)
+        """The fields that the tables have, over left joins from the root table. A key is compared as text where the types differ.
+
+        Each table's keys are looked up in the next, of which only the rows that can be met are kept, to be broadcast
+        where they are few: no row is dealt out by a key that many share."""
+        kinds = {table: dict(df.dtypes) for table, df in tables.items()}
+        fields = {name: source.split(".") for name, source in self.fields.items() if source.split(".")[1] in kinds[source.split(".")[0]]}
+        wanted = {(table, column) for table, column in fields.values()} | {tuple(end.split(".")) for join in self.joins for end in join}
+        own = {table: tables[table].select([F.col(c).alias(f"{table}__{c}") for of, c in sorted(wanted) if of == table]) for table, _ in wanted}
+        out = own[self.root]
         for left, right in self.joins:
-            table, column = right.split(".")
-            other = tables[table].alias(table)
-            a, b = F.col(left), F.col(right)
-            if dict(tables[left.split(".")[0]].dtypes)[left.split(".")[1]] != dict(other.dtypes)[column]:
-                a, b = a.cast("string"), b.cast("string")
-            out = out.join(other, a == b, "left")
-        return out.select([F.col(source).alias(name) for name, source in self.fields.items() if source.split(".")[1] in tables[source.split(".")[0]].columns])
+            (a, i), (b, j) = left.split("."), right.split(".")
+            text = kinds[a][i] != kinds[b][j]
+            key, column = (f"{a}__{i}", f"{b}__{j}") if not text else ("_key_a", "_key_b")
+            if text:
+                out, own[a] = (df.withColumn(key, F.col(f"{a}__{i}").cast("string")) for df in (out, own[a]))
+                own[b] = own[b].withColumn(column, F.col(f"{b}__{j}").cast("string"))
+            found = lookup(own[b], column, keys_of(own[a], [key])[key])
+            out, own[b] = lookup_join(out, key, found), found.table
+            if text:
+                out, own[a], own[b] = out.drop(key, column), own[a].drop(key), own[b].drop(column)
+        return out.select([F.col(f"{table}__{column}").alias(name) for name, (table, column) in fields.items()])
