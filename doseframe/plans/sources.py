@@ -69,7 +69,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bias_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features of rows without feature columns."""
-    rows = targets(spark, sf_dir).where("target_name is not null").select("result_id", "target_name")
+    rows = target_table(spark, sf_dir, "result_id", "target_name").where("target_name is not null")
     out = headed.with_features(rows, rows.select("target_name").distinct(), [], "v", "target_name")
     return out.select("result_id", F.size("v").cast("long").alias("width"), F.round(F.col("v")[0], 6).alias("value"))
 
