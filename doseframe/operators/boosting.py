@@ -1,8 +1,10 @@
 """Histogram gradient boosting of all task heads together.
 
-Values are binned once. A tree grows best leaf first; a round looks for the splits of all leaves of all heads that may be
-next, from sums of gradients over (head, node, feature, bin). Heads of bounded size grow in a task each, larger ones by one
-grouped aggregation a round. The sums are whole numbers, so both ways, and any partitioning, give the same trees.
+Values are binned once. Rows with the same bins are a pattern: they are in the same leaf of every tree, so a tree needs sums of
+gradients by pattern only. A tree grows best leaf first; a round looks for the splits of all leaves that may be next, from
+sums of gradients over (node, feature, bin). Heads of bounded size grow in a task each. Of larger ones those with few patterns take one
+grouped sum over the rows an iteration, from which a task a head grows the tree; the others one grouped sum over (head,
+node, feature, bin) a round. The sums are whole numbers, so all ways, and any partitioning, give the same trees.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +27,9 @@ from doseframe.sources.shared import materialised
 ITERATIONS, LEAVES, LEAST, RATE, BINS = 100, 31, 20, 0.1, 255
 #: A head of so many rows and cells of its matrix at most is grown in one task; cells that are counted at a time; iterations
 #: after which predictions are written.
-SMALL_ROWS, SMALL_CELLS, CELLS, KEEP = 100_000, 50_000_000, 2_000_000, 10
+SMALL_ROWS, SMALL_CELLS, CELLS, KEEP = 1_000_000, 50_000_000, 2_000_000, 10
+#: Patterns of all larger heads together that are broadcast at most; heads with more of them are grown round by round.
+PATTERNS = 300_000
 #: A gradient counts in parts of the head's largest first residual.
 UNITS = 1 << 24
 Split = tuple[float, int, int, int, int]  # gain, feature, last bin on the left, sum of gradients and rows there
@@ -99,15 +105,16 @@ class Tree:
         return -rate * np.array(self.sums, float) / np.maximum(self.rows, 1) * (head.unit / UNITS)
 
 
-def histograms(head: Head, bins: np.ndarray, gradients: np.ndarray, slots: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of gradients and rows by (slot, cell); rows of slot -1 are left out. Sums of whole numbers are exact below 2**53."""
+def histograms(head: Head, bins: np.ndarray, gradients: np.ndarray, slots: np.ndarray, count: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of gradients and rows by (slot, cell); rows of slot -1 are left out. With weights, each row of bins stands for so
+    many and for the sum of their gradients. Sums of whole numbers are exact below 2**53."""
     sums, rows = np.zeros(count * head.cells), np.zeros(count * head.cells, np.int64)
     own = np.flatnonzero(slots >= 0)
     step = max(1, CELLS // max(bins.shape[1], 1))
     for part in (own[i : i + step] for i in range(0, len(own), step)):
         key = (slots[part, None] * head.cells + head.offsets + bins[part]).ravel()
         sums += np.bincount(key, np.repeat(gradients[part], bins.shape[1]), len(sums))
-        rows += np.bincount(key, minlength=len(rows))
+        rows += np.bincount(key, None if weights is None else np.repeat(weights[part], bins.shape[1]), len(rows)).astype(np.int64)
     return sums.reshape(count, head.cells), rows.reshape(count, head.cells)
 
 
@@ -123,22 +130,29 @@ def best_split(head: Head, sums: np.ndarray, rows: np.ndarray, least: int) -> Sp
     return (float(gain[at]), int(i[at]), int(at - head.offsets[i[at]]), int(g[at]), int(n[at])) if gain[at] > 0 else None
 
 
+def grown_tree(head: Head, patterns: np.ndarray, rows: np.ndarray, gradients: np.ndarray, leaves: int, least: int) -> tuple[Tree, np.ndarray]:
+    """The next tree, and the leaf of each pattern, from the number of training rows of each and the sum of their gradients."""
+    tree = Tree()
+    tree.add(int(rows.sum()), int(gradients.sum()), least)
+    while (asked := tree.grow(leaves, least))[0]:
+        slot = np.full(len(tree.rows), -1)
+        slot[asked[0]] = np.arange(len(asked[0]))
+        sums, counts = histograms(head, patterns, gradients, slot[tree.places(patterns, asked[1])], len(asked[0]), rows)
+        for k, node in enumerate(asked[0]):
+            tree.splits[node], tree.known[node] = best_split(head, sums[k], counts[k], least), True
+    return tree, tree.places(patterns, asked[1])
+
+
 def grown_here(head: Head, bins: np.ndarray, y: np.ndarray, train: np.ndarray, iterations: int, leaves: int, least: int, rate: float) -> np.ndarray:
     """Predictions of a head's rows, its trees grown on the training rows."""
-    predicted = np.full(len(y), head.base)
+    _, first, of = np.unique(np.ascontiguousarray(bins).view(np.dtype((np.void, bins.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    patterns, own, target = bins[first], of[train], y[train]
+    rows, predicted = np.bincount(own, minlength=len(patterns)), np.full(len(patterns), head.base)
     for _ in range(iterations):
-        gradients = np.where(train, head.gradients(predicted, y), 0.0)
-        tree = Tree()
-        tree.add(int(train.sum()), int(gradients.sum()), least)
-        while (asked := tree.grow(leaves, least))[0]:
-            slot = np.full(len(tree.rows), -1)
-            slot[asked[0]] = np.arange(len(asked[0]))
-            slots = np.where(train, slot[tree.places(bins, asked[1])], -1)
-            sums, rows = histograms(head, bins, gradients, slots, len(asked[0]))
-            for k, node in enumerate(asked[0]):
-                tree.splits[node], tree.known[node] = best_split(head, sums[k], rows[k], least), True
-        predicted = predicted + tree.values(head, rate)[tree.places(bins, asked[1])]
-    return predicted
+        gradients = np.bincount(own, head.gradients(predicted[own], target), len(patterns))
+        tree, places = grown_tree(head, patterns, rows, gradients, leaves, least)
+        predicted = predicted + tree.values(head, rate)[places]
+    return predicted[of]
 
 
 def edges_of(train: DataFrame, bins: int) -> DataFrame:
@@ -170,15 +184,62 @@ def heads_of(train: DataFrame, bins: int) -> tuple[dict[str, Head], dict[str, tu
 RESULT = "split_part string, task_head string, y_true double, y_pred double"
 
 
+def binned(rows: DataFrame, heads: dict[str, Head]) -> DataFrame:
+    """split_part, task_head, y_true and bins, a byte a feature, of the rows of these heads, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, bins = np.array(batch.column(1).to_pylist()), np.empty(batch.num_rows, object)
+            for name in np.unique(names):
+                at = np.flatnonzero(names == name)
+                values = batch.column(3).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
+                bins[at] = [row.tobytes() for row in heads[str(name)].binned(values)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bins, pa.binary())], names=["split_part", "task_head", "y_true", "bins"])
+
+    own = rows.where(F.col("task_head").isin([*heads])).select("split_part", "task_head", "y_true", "_array")
+    return materialised(own.mapInArrow(run, "split_part string, task_head string, y_true double, bins binary"), "boosting-bins")
+
+
+def unpacked(bins: pa.ChunkedArray) -> np.ndarray:
+    """A row of bins per value."""
+    return np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(len(bins), -1)
+
+
 def _small(rows: DataFrame, heads: dict[str, Head], options: tuple[int, int, int, float]) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         name = table.column("task_head")[0].as_py()
-        y, train = table.column("y_true").to_numpy(), np.array([p == "train" for p in table.column("split_part").to_pylist()])
-        values = table.column("_array").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
-        predicted = grown_here(heads[name], heads[name].binned(values), y, train, *options)
+        y, train = table.column("y_true").to_numpy(), pc.equal(table.column("split_part"), "train").to_numpy()
+        predicted = grown_here(heads[name], unpacked(table.column("bins")), y, train, *options)
         return pa.table([table.column("split_part"), table.column("task_head"), table.column("y_true"), pa.array(predicted)], names=["split_part", "task_head", "y_true", "y_pred"])
 
-    return rows.select("split_part", "task_head", "y_true", "_array").groupBy("task_head").applyInArrow(run, RESULT)
+    return rows.where(F.col("task_head").isin([*heads])).repartition(2 * len(heads), "task_head").groupBy("task_head").applyInArrow(run, RESULT)
+
+
+def _repeated(rows: DataFrame, patterns: DataFrame, heads: dict[str, Head], options: tuple[int, int, int, float]) -> DataFrame:
+    """Of heads with few patterns (task_head, bins, rows): an iteration sums the gradients of all rows by pattern, and a task a
+    head grows its tree from these sums. Rows are numbered by pattern once, and stay where they are."""
+    iterations, leaves, least, rate = options
+    spark = rows.sparkSession
+    scales = F.broadcast(spark.createDataFrame([(name, h.base, UNITS / h.unit) for name, h in heads.items()], "task_head string, _base double, _scale double"))  # a row per head
+    now = patterns.join(scales, "task_head").select("task_head", "bins", "rows", F.monotonically_increasing_id().alias("_p"), F.col("_base").alias("y_pred"), "_scale")
+    now = materialised(now, "boosting-patterns")
+    own = materialised(rows.join(F.broadcast(now.select("task_head", "bins", "_p")), ["task_head", "bins"]).select("split_part", "task_head", "y_true", "_p"), "boosting-rows")
+    train = own.where("split_part = 'train'")
+    state = "task_head string, bins binary, rows long, _p long, y_pred double, _scale double"
+    names = ["task_head", "bins", "rows", "_p", "y_pred", "_scale"]
+
+    def run(table: pa.Table) -> pa.Table:
+        head, bins = heads[table.column("task_head")[0].as_py()], unpacked(table.column("bins"))
+        tree, places = grown_tree(head, bins, table.column("rows").to_numpy(), table.column("g").to_numpy().astype(float), leaves, least)
+        predicted = table.column("y_pred").to_numpy() + tree.values(head, rate)[places]
+        return table.select(names).set_column(4, "y_pred", pa.array(predicted))
+
+    for _ in range(iterations):
+        gradient = F.rint((F.col("y_pred") - F.col("y_true")) * F.col("_scale")).cast("long")
+        sums = train.join(F.broadcast(now.select("_p", "y_pred", "_scale")), "_p").groupBy("_p").agg(F.sum(gradient).alias("g"))
+        grown = now.join(F.broadcast(sums), "_p", "left").withColumn("g", F.coalesce("g", F.lit(0))).repartition(2 * len(heads), "task_head").groupBy("task_head")
+        now = materialised(grown.applyInArrow(run, state), "boosting-patterns")
+    return own.join(F.broadcast(now.select("_p", "y_pred")), "_p").select("split_part", "task_head", "y_true", "y_pred")
 
 
 def _matrix(batch: pa.RecordBatch, heads: dict[str, Head]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,25 +248,15 @@ def _matrix(batch: pa.RecordBatch, heads: dict[str, Head]) -> Iterator[tuple[str
     for name in np.unique(names):
         at = np.flatnonzero(names == name)
         own = batch.take(pa.array(at))
-        yield str(name), at, np.frombuffer(b"".join(own.column("bins").to_pylist()), np.uint8).reshape(len(at), -1), own.column("y_pred").to_numpy()
+        yield str(name), at, unpacked(own.column("bins")), own.column("y_pred").to_numpy()
 
 
 def _large(rows: DataFrame, heads: dict[str, Head], options: tuple[int, int, int, float]) -> DataFrame:
     iterations, leaves, least, rate = options
     state = "split_part string, task_head string, y_true double, y_pred double, bins binary"
     names = ["split_part", "task_head", "y_true", "y_pred", "bins"]
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, bins = batch.column(1).to_pylist(), [b""] * batch.num_rows
-            for name in set(of):
-                at = [i for i, x in enumerate(of) if x == name]
-                values = np.array([batch.column(3)[i].as_py() for i in at]).reshape(len(at), -1)
-                for i, row in zip(at, heads[name].binned(values), strict=True):
-                    bins[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([heads[x].base for x in of]), pa.array(bins, pa.binary())], names=names)
-
-    now = materialised(rows.select("split_part", "task_head", "y_true", "_array").mapInArrow(start, state), "boosting")
+    bases = F.broadcast(rows.sparkSession.createDataFrame([(name, head.base) for name, head in heads.items()], "task_head string, y_pred double"))  # a row per head
+    now = materialised(rows.join(bases, "task_head").select(*names), "boosting")
     done: list[dict[str, tuple[Tree, set[int]]]] = []  # trees that the written predictions lack
 
     def forward(name: str, bins: np.ndarray, predicted: np.ndarray, trees: list) -> np.ndarray:
@@ -295,7 +346,19 @@ def boosted(rows: DataFrame, iterations: int = ITERATIONS, leaves: int = LEAVES,
     small = [name for name in small if all_rows[name] <= 2 * small_rows]
     large = {name: head for name, head in heads.items() if name not in set(small)}
     options = (iterations, leaves, least, rate)
-    parts = [_small(rows.where(F.col("task_head").isin(small)), {name: heads[name] for name in small}, options)] if small else []
+    placed = binned(rows, heads)
+    parts = [_small(placed, {name: heads[name] for name in small}, options)] if small else []
+    few: dict[str, Head] = {}
+    if large:
+        patterns = placed.where(F.col("task_head").isin([*large])).groupBy("task_head", "bins").agg(F.count_if(F.col("split_part") == "train").alias("rows"))
+        patterns, total = materialised(patterns, "boosting-patterns"), 0
+        for name, n in sorted(patterns.groupBy("task_head").count().collect(), key=lambda r: (r[1], r[0])):  # a row per head
+            total += n
+            if total <= PATTERNS:
+                few[name] = large.pop(name)
+    if few:
+        own = F.col("task_head").isin([*few])
+        parts.append(_repeated(placed.where(own), patterns.where(own), few, options))
     if large:
-        parts.append(_large(rows.where(F.col("task_head").isin([*large])), large, options))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts.append(_large(placed.where(F.col("task_head").isin([*large])), large, options))
+    return reduce(DataFrame.unionByName, parts)

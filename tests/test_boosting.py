@@ -87,6 +87,30 @@ def test_large_heads_write_their_state(spark, monkeypatch):
     assert got(boosting.boosted(df, 2, 5, 8, 0.3, 20, small_rows=0)) == got(boosting.boosted(df, 2, 5, 8, 0.3, 20)) == plain(rows, 2, 5, 8, 0.3, 20)
 
 
+@pytest.mark.parametrize("patterns", [0, 60, 300_000])
+def test_large_heads_by_patterns_and_by_rounds(spark, monkeypatch, patterns):
+    """Heads beyond a task: neither, one or both of them have few patterns of bins."""
+    rows, df = made(spark)
+    monkeypatch.setattr(boosting, "PATTERNS", patterns)
+    assert got(boosting.boosted(df, 3, 6, 5, 0.3, 12, small_rows=0)) == plain(rows, 3, 6, 5, 0.3, 12)
+
+
+def test_an_iteration_of_large_heads_is_few_jobs(spark):
+    """However many rounds a tree takes to grow: one sum over the rows an iteration, where patterns are few."""
+    _, df = made(spark)
+    df = boosting.materialised(df, "rows")
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(iterations, leaves):
+        group = f"{iterations} {leaves}"
+        spark.sparkContext.setJobGroup(group, group)
+        boosting.boosted(df, iterations, leaves, 5, 0.3, 12, small_rows=0).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(2, 31) <= jobs(2, 3) + 2
+
+
 COLUMNS = ["endpoint", "grams", "media", "only_text", "empty", "many"]
 
 
