@@ -25,7 +25,7 @@ from doseframe.functions.rules import (
     unit_kind,
     value_choice,
 )
-from doseframe.operators.joins import hot_keys, keys_of, lookup, lookup_join, split_join
+from doseframe.operators.joins import LOOKUP_ROWS, hot_keys, keys_of, lookup, lookup_join, split_join
 from doseframe.operators.ranks import distributed_rank, running_total
 from doseframe.sources.shared import materialised
 
@@ -184,21 +184,24 @@ def aggregated(tasks: DataFrame, hot_rows: int = HOT_CONDITION) -> DataFrame:
     return groups.join(numbers, "_row").where("target_value_count > 0").select("aggregate_id", *CONDITION, *statistics, "result_ids")
 
 
-def condition_members(tasks: DataFrame) -> DataFrame:
+def condition_members(tasks: DataFrame, most: int = LOOKUP_ROWS) -> DataFrame:
     """(first_result_id, position, result_id): each condition by the first of its results, and its readable results numbered from
-    1 in their order. Ranks come from ranges of (condition, result), so a condition of any size is spread over tasks. tasks is
-    read twice and should be a written table."""
+    1 in their order. Ranks come from ranges of (condition, result), so a condition of any size is spread over tasks. Up to `most`
+    conditions meet their rows by broadcast, beyond that those of many rows do. tasks is read twice and should be a written table."""
     rows = _condition_rows(tasks)
     firsts = materialised(rows.groupBy(*CONDITION).agg(F.min("result_id").alias("first_result_id"), F.count("*").alias("n")).withColumn("_hash", F.xxhash64(*CONDITION)), "firsts")
-    counts = firsts.groupBy("_hash").agg(F.sum("n").alias("n"))
-    mark = F.broadcast(hot_keys(counts, ["_hash"]))
     right = firsts.drop("n").select("_hash", "first_result_id", *[F.col(c).alias(f"_{c}") for c in CONDITION])
     same = F.col("_hash") == F.col("_other")
     for c in CONDITION:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
     other = right.withColumnRenamed("_hash", "_other")
-    hot = rows.join(mark, "_hash", "left_semi").join(F.broadcast(other.join(mark.withColumnRenamed("_hash", "_other"), "_other", "left_semi")), same)
-    named = hot.unionByName(rows.join(mark, "_hash", "left_anti").join(other, same)).where("_value is not null").select("first_result_id", "result_id")
+    if firsts.count() <= most:
+        named = rows.join(F.broadcast(other), same)
+    else:
+        mark = F.broadcast(hot_keys(firsts.groupBy("_hash").agg(F.sum("n").alias("n")), ["_hash"]))
+        hot = rows.join(mark, "_hash", "left_semi").join(F.broadcast(other.join(mark.withColumnRenamed("_hash", "_other"), "_other", "left_semi")), same)
+        named = hot.unionByName(rows.join(mark, "_hash", "left_anti").join(other, same))
+    named = materialised(named.where("_value is not null").select("first_result_id", "result_id"), "named")  # ranges read it twice
     ranked = materialised(distributed_rank(named.withColumn("_key", F.struct("first_result_id", "result_id")), "_key", "_at"), "members")
     begins = ranked.groupBy("first_result_id").agg(F.min("_at").alias("_begin"), F.count("*").alias("n"))
     begins = materialised(begins, "begins")

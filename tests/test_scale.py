@@ -249,3 +249,18 @@ def test_encodings_without_counting_large_columns(spark):
     columns = ["c30", "c31", "all", "none"]
     assert {r["column"]: r["encoding"] for r in encode.category_encodings(df, columns).collect()} == {r["column"]: r["encoding"] for r in encode.category_gate(df, columns).collect()} == {"c30": "one_hot", "c31": "hashed", "all": "hashed", "none": "one_hot"}
     assert encode.category_encodings(df.limit(0), ["c30"]).count() == encode.category_gate(df.limit(0), ["c30"]).count()
+
+
+def test_members_read_their_tasks_twice(spark):
+    """Once for the conditions, once for their rows: ranges are cut from what is written, and few conditions move no row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    _, df = some_tasks(spark)
+    want = Counter(map(tuple, records.condition_members(df, 0).collect()))
+    assert Counter(map(tuple, records.condition_members(df.mapInArrow(count, df.schema)).collect())) == want
+    assert seen.value == 2 * df.count()
