@@ -134,15 +134,6 @@ def with_tasks(targets: DataFrame) -> DataFrame:
     return rows.withColumns(made).select(*targets.columns, *TASK_COLUMNS)
 
 
-def _conditions(rows: DataFrame, median: bool) -> DataFrame:
-    value = F.col("_value")
-    found = [
-        F.min("result_id").alias("_first"), F.avg(value).alias("target_value_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("target_value_std"), F.count(value).alias("target_value_count"),
-        F.min(value).alias("target_value_min"), F.max(value).alias("target_value_max"), F.array_sort(F.collect_list(F.when(value.isNotNull(), F.col("result_id")))).alias("result_ids"),
-    ]
-    return rows.groupBy("_hash", *CONDITION).agg(*found, *([F.median(value).alias("target_value_median")] if median else []))
-
-
 def _medians(rows: DataFrame) -> DataFrame:
     """(the condition, target_value_median), the exact median from running counts of distinct values by ranges: no task holds a condition."""
     counts = rows.where("_value is not null").groupBy(*CONDITION, "_value").agg(F.count("*").alias("_n"))
@@ -161,27 +152,43 @@ def _condition_rows(tasks: DataFrame) -> DataFrame:
     return rows.select("result_id", *CONDITION, value.alias("_value"), F.xxhash64(*CONDITION).alias("_hash"))
 
 
-def aggregated(tasks: DataFrame, hot_rows: int = HOT_CONDITION) -> DataFrame:
+def condition_statistics(tasks: DataFrame) -> DataFrame:
+    """A row per condition of the included tasks: its hash, first result, rows, and statistics of its targets but the median."""
+    value = F.col("_value")
+    found = [
+        F.min("result_id").alias("_first"), F.count("*").alias("_n"), F.avg(value).alias("target_value_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("target_value_std"),
+        F.count(value).alias("target_value_count"), F.min(value).alias("target_value_min"), F.max(value).alias("target_value_max"),
+    ]
+    return _condition_rows(tasks).groupBy("_hash", *CONDITION).agg(*found)
+
+
+def aggregated(tasks: DataFrame, hot_rows: int = HOT_CONDITION, most: int = LOOKUP_ROWS) -> DataFrame:
     """One row per condition of the included tasks: statistics of its targets, its results, and its number in the order of
     their first result. A condition none of whose values can be read is dropped, but has its number.
 
-    Conditions of at least `hot_rows` rows (counted by hashes beforehand; more only where hashes coincide) get their median
-    across tasks; tasks is read twice and should be a written table. Only first results are ranked. A row holds its results, however many they are: `condition_members` has
-    them a row each."""
+    Statistics come from partial sums. Results and values are then put together by the condition's hash alone (by all its
+    columns, if hashes coincide), so that what is dealt out and sorted is three numbers a row; up to `most` conditions meet theirs by broadcast.
+    Conditions of at least `hot_rows` rows get their median across tasks; tasks is read twice and should be a written table.
+    Only first results are ranked. A row holds its results, however many they are: `condition_members` has them a row each."""
     rows = _condition_rows(tasks)
-    hot = [h for (h,) in rows.groupBy("_hash").agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows).select("_hash").collect()]  # a row per hot_rows rows at most
-    mark = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], "_hash long"))
-    if hot:
-        warm = rows.join(mark, "_hash", "left_semi")
-        of, medians = _conditions(warm, False), _medians(warm).select(*[F.col(c).alias(f"_{c}") for c in CONDITION], "target_value_median")
-        made = of.join(F.broadcast(medians), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONDITION], "left").drop(*[f"_{c}" for c in CONDITION])
-        groups = _conditions(rows.join(mark, "_hash", "left_anti"), True).unionByName(made)
-    else:
-        groups = _conditions(rows, True)
-    groups = materialised(groups.drop("_hash").withColumn("_row", F.monotonically_increasing_id()), "condition-groups")
+    groups = materialised(condition_statistics(tasks).withColumn("_row", F.monotonically_increasing_id()), "conditions")
+    hot = [h for (h,) in groups.where(F.col("_n") >= hot_rows).select("_hash").distinct().collect()]  # a row per hot_rows rows at most
+    number, distinct = groups.agg(F.count("*"), F.count_distinct("_hash")).first()
+    keys = ["_hash"] if number == distinct else ["_hash", *CONDITION]
+    value, warm = F.col("_value"), F.col("_hash").isin(hot)
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(value.isNotNull(), F.col("result_id")))).alias("result_ids"), F.sort_array(F.collect_list(F.when(~warm, value))).alias("_values"))
+    size = F.size("_values")
+    middle = (F.element_at("_values", F.floor((size + 1) / 2).cast("int")) + F.element_at("_values", F.floor(size / 2 + 1).cast("int"))) / 2
+    lists = lists.select(*[F.col(k).alias(f"_{k}") for k in keys], "result_ids", F.when(size > 0, middle).alias("_median"))
     numbers = distributed_rank(groups.select("_first", "_row"), "_first", "aggregate_id", ties="_row").select("_row", "aggregate_id")
-    statistics = ["target_value_median", "target_value_mean", "target_value_std", "target_value_count", "target_value_min", "target_value_max"]
-    return groups.join(numbers, "_row").where("target_value_count > 0").select("aggregate_id", *CONDITION, *statistics, "result_ids")
+    made = groups.join(numbers, "_row").withColumn("_warm", F.lit(None).cast("double"))
+    if hot:
+        medians = _medians(rows.where(warm)).select(*[F.col(c).alias(f"_{c}") for c in CONDITION], F.col("target_value_median").alias("_found"))
+        made = made.drop("_warm").join(F.broadcast(medians), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONDITION], "left").withColumnRenamed("_found", "_warm").drop(*[f"_{c}" for c in CONDITION])
+    made = made.where("target_value_count > 0")
+    out = lists.join(F.broadcast(made) if number <= most else made, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    statistics = ["target_value_mean", "target_value_std", "target_value_count", "target_value_min", "target_value_max"]
+    return out.select("aggregate_id", *CONDITION, F.coalesce("_warm", "_median").alias("target_value_median"), *statistics, "result_ids")
 
 
 def condition_members(tasks: DataFrame, most: int = LOOKUP_ROWS) -> DataFrame:

@@ -264,3 +264,21 @@ def test_members_read_their_tasks_twice(spark):
     want = Counter(map(tuple, records.condition_members(df, 0).collect()))
     assert Counter(map(tuple, records.condition_members(df.mapInArrow(count, df.schema)).collect())) == want
     assert seen.value == 2 * df.count()
+
+
+def test_conditions_whose_hashes_coincide(spark, monkeypatch):
+    """Results are put together by hash, or by all columns if hashes coincide."""
+    _, df = some_tasks(spark, 800)
+    plain = lambda out: sorted((r["aggregate_id"], r["chemical_name"] or "", r["target_value_median"], tuple(r["result_ids"])) for r in out.collect())
+    want = plain(records.aggregated(df))
+    own = records._condition_rows
+    monkeypatch.setattr(records, "_condition_rows", lambda tasks: own(tasks).withColumn("_hash", F.lit(1).cast("long")))
+    for hot_rows, most in ((10**9, 10**5), (1, 0)):
+        assert plain(records.aggregated(df, hot_rows, most)) == want
+
+
+def test_conditions_are_dealt_out_by_hash(spark):
+    """The rows of conditions carried all their columns through a sort before."""
+    _, df = some_tasks(spark, 500)
+    plan = records.aggregated(materialised(df, "tasks"))._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.split("\n") if "ObjectHashAggregate" in line or "SortAggregate" in line] and not any("chemical_name" in line for line in plan.split("\n") if "ObjectHashAggregate" in line)
