@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,22 @@ def digest_rank(df: DataFrame, digest: str, name: str, ties: str, total: str | N
     return (out.withColumnRenamed("_all", total) if total else out.drop("_all")).drop("_range", "_before")
 
 
+def digest_parts(df: DataFrame, digest: Column, ties: str, part: Callable[[Column], Column]) -> DataFrame:
+    """df with split_part: part of the rank by a digest in hexadecimal digits, whose values follow each other by rank (part may use
+    _all, the number of all rows).
+
+    df runs once, and is written. Ranges of digests are counted; one whose first and last rank have the same part needs no ranks, so that only
+    the rows of the few ranges where a part ends are dealt out and sorted."""
+    rows = materialised(df.withColumn("_range", F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("int")), "digests")
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    ends = counts.join(F.broadcast(offsets(rows, F.count("*"))), "_range")
+    ends = materialised(ends.select("_range", "_before", "_all", part(F.col("_before") + 1).alias("_part"), part(F.col("_before") + F.col("_n")).alias("_last")), "ranges")  # 4,096 rows at most
+    met, own = rows.join(F.broadcast(ends), "_range"), [*df.columns]
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(digest, ties))
+    whole = met.where("_part = _last").select(*own, F.col("_part").alias("split_part"))
+    return whole.unionByName(met.where("_part <> _last").withColumn("_rank", rank).select(*own, part(F.col("_rank")).alias("split_part")))
+
+
 def running_total(df: DataFrame, key: str, n: str, name: str) -> DataFrame:
     """df, whose keys are distinct, with name: the sum of n over all rows up to this one in the order of key, itself included."""
     rows = ranged(df, key)

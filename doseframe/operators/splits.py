@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doseframe.functions.parsing import filled, group_key
 from doseframe.operators.joins import split_join
-from doseframe.operators.ranks import digest_rank
+from doseframe.operators.ranks import digest_parts
 from doseframe.sources.shared import materialised
 
 # Defaults, group columns by policy, columns that tell the medium.
@@ -33,10 +33,12 @@ def random_parts(df: DataFrame, key: str, seed: int = SEED, fractions: tuple[flo
     if min(fractions) < 0 or abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions are non-negative and sum to 1")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    ranked = digest_rank(df.withColumn("_digest", digest), "_digest", "_rank", ties=key, total="_all")
-    train, valid = F.floor(F.col("_all") * fractions[0]), F.floor(F.col("_all") * fractions[1])
-    part = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + valid, "valid").otherwise("test")
-    return ranked.withColumn("split_part", part).drop("_digest", "_rank", "_all")
+
+    def part(rank: Column) -> Column:
+        train, valid = F.floor(F.col("_all") * fractions[0]), F.floor(F.col("_all") * fractions[1])
+        return F.when(rank <= train, "train").when(rank <= train + valid, "valid").otherwise("test")
+
+    return digest_parts(df, digest, key, part)
 
 
 def group_parts(df: DataFrame, columns: tuple[str, ...], seed: int = SEED) -> DataFrame:
@@ -76,6 +78,8 @@ def split_assignments(df: DataFrame, split_name: str, split_type: str, source_ta
     kind = split_type.strip().lower()
     if df.isEmpty():
         raise ValueError("at least one record is needed to build a split")
+    used = {id_column, *GROUPS.get(kind, MEDIUM_COLUMNS if kind == "medium_transfer_split" else ())}
+    df = df.select([c for c in df.columns if c in used])
     if kind == "random_split":
         parts = random_parts(df, id_column, seed, fractions).withColumn("group_key", F.lit(None).cast("string"))
     elif kind in GROUPS:

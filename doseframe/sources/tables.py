@@ -106,11 +106,13 @@ def overwrite(df: DataFrame, table: str) -> None:
 def replace_split(assignments: DataFrame, path: str) -> None:
     """Writes assignments over those of the same split names, and leaves other splits. An empty frame is an error.
 
-    Spark stages the new rows and moves them once all are written: a run that fails leaves the old ones."""
-    if assignments.isEmpty():
-        raise ValueError("at least one assignment is needed")
-    stamped = assignments.withColumn("created_at", F.current_timestamp())
+    Spark stages the new rows and moves them once all are written: a run that fails leaves the old ones, and one without rows
+    has nothing to move. They are counted as they pass by, so the assignments run once."""
+    seen = Observation()
+    stamped = assignments.observe(seen, F.count("*").alias("n")).withColumn("created_at", F.current_timestamp())
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split_name").parquet(path)
+    if not seen.get["n"]:
+        raise ValueError("at least one assignment is needed")
 
 
 def write_counted(df: DataFrame, path: str, **counters: Column) -> dict[str, Any]:

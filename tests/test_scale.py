@@ -266,6 +266,46 @@ def test_members_read_their_tasks_twice(spark):
     assert seen.value == 2 * df.count()
 
 
+def test_random_parts_rank_few_rows(spark):
+    """The same parts as by ranks of all rows, whatever the fractions; only ranges in which a part ends are dealt out."""
+    for n, fractions in ((50_000, (0.8, 0.1, 0.1)), (7, (0.5, 0.25, 0.25)), (1, (0.8, 0.1, 0.1)), (1000, (0.0, 1.0, 0.0)), (0, (0.8, 0.1, 0.1))):
+        order = sorted(range(n), key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))
+        train, valid = int(n * fractions[0]), int(n * fractions[1])
+        want = {i: "train" if k < train else "valid" if k < train + valid else "test" for k, i in enumerate(order)}
+        out = splits.random_parts(spark.range(n), "id", 42, fractions)
+        assert {r["id"]: r["split_part"] for r in out.collect()} == want
+        if n == 50_000:  # a shuffle of all rows before
+            tracker, group = spark.sparkContext.statusTracker(), "few ranks"
+            out = splits.random_parts(spark.range(n), "id", 42, fractions)
+            windows = out._jdf.queryExecution().executedPlan().toString().split("Window")[1]
+            assert "_part" in windows and "_last" in windows  # below the window there is the filter
+
+
+def test_replaced_splits_run_once_and_need_rows(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path, df = f"file://{tmp_path}/splits", spark.range(500).repartition(3).mapInArrow(count, "id long").select(F.lit("a").alias("split_name"), "id")
+    tables.replace_split(df, path)
+    assert seen.value == 500  # more before: a look at the first rows, then all
+    for empty in (df.limit(0), df.where("id < 0")):
+        with pytest.raises(ValueError, match="at least one"):
+            tables.replace_split(empty, path)
+    assert spark.read.parquet(path).count() == 500
+
+
+def test_assignments_write_no_more_than_they_need(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(splits, "materialised", lambda df, label: written.append((label, df.columns)) or materialised(df, label))
+    df = spark.range(50).select(F.col("id").alias("result_id"), (F.col("id") % 7).alias("cas_number"), (F.col("id") % 3).alias("species_number"), F.lit("x").alias("endpoint"))
+    assert splits.split_assignments(df, "s", "chemical_group_split", "t", "result_id").count() == 50
+    assert dict(written)["keyed"] == ["result_id", "cas_number", "group_key"]  # all columns before
+
+
 def test_conditions_whose_hashes_coincide(spark, monkeypatch):
     """Results are put together by hash, or by all columns if hashes coincide."""
     _, df = some_tasks(spark, 800)
