@@ -1,4 +1,4 @@
-"""Baseline regressors per task head: forests with Spark ML, and histogram boosting."""
+"""Baseline regressors per task head: forests and histogram boosting."""
 
 from __future__ import annotations
 
@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doseframe.functions.parsing import number
+from doseframe.operators import forests
 from doseframe.operators.boosting import boosted
 from doseframe.operators.encode import feature_columns
 from doseframe.operators.headed import parameters, with_features
 from doseframe.sources.shared import materialised
+from doseframe.sources.tables import ID_CANDIDATES
 
 #: Fits at a time, and rows that a task of a fit takes at most.
 AT_ONCE, ROWS_OF_A_TASK = 8, 100_000
@@ -44,11 +46,11 @@ def trainable_rows(frame: DataFrame, target: str, head: str) -> DataFrame:
     """Rows whose target is a number, as y_true, with a head (`default` where null) that has training and other rows."""
     rows = frame.withColumns({"y_true": number(target), "task_head": F.coalesce(F.col(head).cast("string"), F.lit("default"))}).where("y_true is not null")
     good = rows.groupBy("task_head").agg(F.max(F.col("split_part") == "train").alias("a"), F.max(F.col("split_part") != "train").alias("b")).where("a and b").select("task_head")
-    return rows.join(good, "task_head", "left_semi")
+    return rows.join(F.broadcast(good), "task_head", "left_semi")  # a row per head
 
 
 def forest_predictions(rows: DataFrame, head: str, seed: int, size: int) -> DataFrame:
-    """split_part, task_head, y_true and y_pred of one head's rows, by a forest of its training rows."""
+    """split_part, task_head, y_true and y_pred of one head's rows, by Spark ML's forest of its training rows."""
     own = rows.where(F.col("task_head") == head).withColumn("_features", array_to_vector("_array"))
     parts = max(1, -(-own.count() // ROWS_OF_A_TASK))
     fitted = forest(seed, size).fit(own.where("split_part = 'train'").coalesce(parts))
@@ -59,21 +61,27 @@ def baseline_predictions(frame: DataFrame, target: str, head: str, model: str =
     """split_name, split_part, task_head, y_true and y_pred of all rows; each head's features and model learn from its
     training rows. Without a head to train it is an error.
 
-    Features of all heads come from one frame of parameters, and boosting grows the trees of all heads together. Forests are
-    fitted head by head: heads are few (an endpoint family and an effect family each), each fit is distributed, and
-    several run at a time, as a fit of a small head is many short jobs."""
+    Features of all heads come from one frame of parameters, and boosting and forests grow the trees of all heads together.
+    Heads with too many patterns of bins get Spark ML's forests, head by head: each fit is distributed, and several run at a
+    time, as a fit of a small head is many short jobs."""
     kind, columns = model_name(model), feature_columns(frame, target, head)
-    rows = materialised(trainable_rows(frame, target, head), "trainable")
-    fitted = materialised(parameters(rows.where("split_part = 'train'"), columns), "parameters") if columns else rows.select("task_head").distinct()
-    ready = materialised(with_features(rows, fitted, columns, "_array").select("split_part", "task_head", "y_true", "_array"), "features")
-    names = [name for (name,) in ready.select("task_head").distinct().orderBy("task_head").collect()]
-    if not names:
-        raise ValueError("no head has training and other rows")
-    if kind == "hist_gradient_boosting":
-        out = boosted(ready, size)
+    rows = trainable_rows(frame, target, head)
+    if kind == "random_forest":
+        own = next((F.xxhash64(c) for c in ID_CANDIDATES if c in frame.columns), F.monotonically_increasing_id())
+        rows = materialised(rows.select("split_part", "task_head", "y_true", forests.keyed(rows, columns).alias("_key"), own.alias("_row")), "trainable")
     else:
+        rows = materialised(rows, "trainable")
+    if rows.isEmpty():
+        raise ValueError("no head has training and other rows")
+    if kind == "random_forest":
+        found = forests.fitted(rows, columns, seed, size)
+        rest = materialised(found.rest, "features") if found.others else None
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(frame.sparkSession)(lambda name: forest_predictions(ready, name, seed, size)), names))
+            parts = pool.map(inheritable_thread_target(frame.sparkSession)(lambda name: forest_predictions(rest, name, seed, size)), found.others)
+            out = reduce(DataFrame.unionByName, parts, found.predictions())
+    else:
+        fitted = materialised(parameters(rows.where("split_part = 'train'"), columns), "parameters") if columns else rows.select("task_head").distinct()
+        out = boosted(materialised(with_features(rows, fitted, columns, "_array").select("split_part", "task_head", "y_true", "_array"), "features"), size)
     return out.select(F.lit(split_name).alias("split_name"), "split_part", "task_head", "y_true", "y_pred")
 
 

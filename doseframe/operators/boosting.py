@@ -118,12 +118,12 @@ def histograms(head: Head, bins: np.ndarray, gradients: np.ndarray, slots: np.nd
     return sums.reshape(count, head.cells), rows.reshape(count, head.cells)
 
 
-def best_split(head: Head, sums: np.ndarray, rows: np.ndarray, least: int) -> Split | None:
-    """The split of the highest gain, of equal ones that of the first feature and bin."""
+def best_split(head: Head, sums: np.ndarray, rows: np.ndarray, least: int, features: np.ndarray | None = None) -> Split | None:
+    """The split of the highest gain (of one of these features, or of all), of equal ones that of the first feature and bin."""
     before = lambda x: np.cumsum(x) - np.repeat(np.append(0, np.cumsum(x))[head.offsets], np.diff(np.append(head.offsets, len(x))))
     g, n, i = before(sums), before(rows), head.feature_of
     all_g, all_n = np.add.reduceat(sums, head.offsets)[i], np.add.reduceat(rows, head.offsets)[i]
-    good = (n >= least) & (all_n - n >= least)
+    good = (n >= least) & (all_n - n >= least) & (features is None or np.isin(i, features))
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(good, g * g / n + (all_g - g) ** 2 / (all_n - n) - all_g * all_g / all_n, -np.inf)
     at = int(np.argmax(gain))
@@ -155,11 +155,12 @@ def grown_here(head: Head, bins: np.ndarray, y: np.ndarray, train: np.ndarray, i
     return predicted[of]
 
 
-def edges_of(train: DataFrame, bins: int) -> DataFrame:
+def edges_of(train: DataFrame, bins: int, weight: str | None = None) -> DataFrame:
     """(task_head, feature, edges): the middles between distinct values, or where these are more than `bins`, between quantiles of
-    equal shares. Rows of training rows are counted by value, and ordered by ranges: no task holds a feature."""
+    equal shares. Training rows (each stands for as many as its weight says) are counted by value, and ordered by ranges: no task holds a feature."""
     keys = ["task_head", "feature"]
-    values = train.select("task_head", F.posexplode("_array").alias("feature", "value")).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    own = train.select("task_head", (F.col(weight) if weight else F.lit(1)).alias("_n"), F.posexplode("_array").alias("feature", "value"))
+    values = own.groupBy(*keys, "value").agg(F.sum("_n").alias("n"))
     upto = materialised(running_total(values.withColumn("_key", F.struct(*keys, "value")), "_key", "n", "upto"), "boosting-values")
     first = F.col("upto") - F.col("n")
     ends = upto.groupBy(*keys).agg(F.min(first).alias("begin"), F.max("upto").alias("end"), F.count("*").alias("distinct"))  # a row per feature
@@ -184,8 +185,8 @@ def heads_of(train: DataFrame, bins: int) -> tuple[dict[str, Head], dict[str, tu
 RESULT = "split_part string, task_head string, y_true double, y_pred double"
 
 
-def binned(rows: DataFrame, heads: dict[str, Head]) -> DataFrame:
-    """split_part, task_head, y_true and bins, a byte a feature, of the rows of these heads, written."""
+def binned(rows: DataFrame, heads: dict[str, Head], *more: str) -> DataFrame:
+    """split_part, task_head, y_true, bins, a byte a feature, and these columns of the rows of these heads, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,10 +195,11 @@ def binned(rows: DataFrame, heads: dict[str, Head]) -> DataFrame:
                 at = np.flatnonzero(names == name)
                 values = batch.column(3).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
                 bins[at] = [row.tobytes() for row in heads[str(name)].binned(values)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bins, pa.binary())], names=["split_part", "task_head", "y_true", "bins"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bins, pa.binary()), *batch.columns[4:]], names=["split_part", "task_head", "y_true", "bins", *more])
 
-    own = rows.where(F.col("task_head").isin([*heads])).select("split_part", "task_head", "y_true", "_array")
-    return materialised(own.mapInArrow(run, "split_part string, task_head string, y_true double, bins binary"), "boosting-bins")
+    own = rows.where(F.col("task_head").isin([*heads])).select("split_part", "task_head", "y_true", "_array", *more)
+    kept = "".join(f", {c} {dict(rows.dtypes)[c]}" for c in more)
+    return materialised(own.mapInArrow(run, "split_part string, task_head string, y_true double, bins binary" + kept), "boosting-bins")
 
 
 def unpacked(bins: pa.ChunkedArray) -> np.ndarray:

@@ -13,14 +13,16 @@ from doseframe.operators.ranks import running_total
 from doseframe.sources.shared import materialised
 
 
-def parameters(df: DataFrame, columns: Sequence[str], head: str = "task_head") -> DataFrame:
+def parameters(df: DataFrame, columns: Sequence[str], head: str = "task_head", weight: str | None = None) -> DataFrame:
     """(head, column, kind, fill, categories): numeric columns with their exact median, those with few categories in their
     order, and hashed ones.
 
     Values are counted once by (head, column, value); all else is of these counts, so neither rows nor heads set the number
-    of jobs, and no task holds a column. At most ONE_HOT_MOST categories are gathered for a column of a head."""
+    of jobs, and no task holds a column. At most ONE_HOT_MOST categories are gathered for a column of a head. A row stands for as
+    many as its weight says."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), category(c).alias("category")) for c in columns]))
-    counts = df.select(F.col(head), cells.alias("own")).select(head, "own.*").groupBy(head, "column", "category").agg(F.count("*").alias("n"))
+    each = (F.col(weight) if weight else F.lit(1)).alias("_n")
+    counts = df.select(F.col(head), each, cells.alias("own")).select(head, "_n", "own.*").groupBy(head, "column", "category").agg(F.sum("_n").alias("n"))
     counts = materialised(counts.withColumn("value", number("category")), "head-values")
     hinted = F.col("column").isin(*CATEGORICAL_HINTS)
     kind = F.when(F.max(F.col("value").isNotNull()) & ~F.first(hinted), "numeric").when(F.count("*") <= ONE_HOT_MOST, "one_hot").otherwise("hashed")

@@ -173,7 +173,8 @@ FEATURES = ["cas_number", "molecular_weight_g_mol", "media_type", "organism_life
 def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The included tasks with their part of the split, written once: kinds, categories, medians and fits read it again."""
     own = target_table(spark, sf_dir, *dict.fromkeys([*TASK_INPUTS, *FEATURES, "dtxsid", "species_number", "target_value"]))
-    return materialised(splits.split_frame(records.with_tasks(own).where("task_status = 'included'"), pair_assignments(own), "pairs", "target_records", "result_id"), "frame")
+    tasks = materialised(records.with_tasks(own), "tasks").where("task_status = 'included'")  # by the column: a filter on rules would run them again
+    return materialised(splits.split_frame(tasks, pair_assignments(own), "pairs", "target_records", "result_id"), "frame")
 
 
 def predictions(spark: SparkSession, sf_dir: str, model: str, size: int = 100) -> DataFrame:
