@@ -2,13 +2,18 @@
 
 import hashlib
 import random
+import re
 import statistics
 from collections import Counter, defaultdict
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from doseframe import registry
 from doseframe.operators import encode, extras, joins, profiles, ranks, records, splits
+from doseframe.plans import features
+from doseframe.plans import records as record_plans
 from doseframe.sources import tables
 from doseframe.sources.shared import materialised
 
@@ -99,6 +104,21 @@ def test_wide_records_are_not_dealt_out_by_chemical(spark):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("name", ["target_export", "value_choice", "species_sensitivity", "wide_prefix"])
+def test_records_are_dealt_out_by_test_alone(spark, monkeypatch, name):
+    """A task's memory is that of its share of the tests, whatever chemicals and species they have."""
+    for plans in (record_plans, features):
+        monkeypatch.setattr(plans, "materialised", lambda df, label: df)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = registry.queries()[name](spark, SF)
+        joins_of = re.findall(r"SortMergeJoin \[([^\]]*)\]", out._jdf.queryExecution().sparkPlan().toString())
+        assert [re.sub(r"#\d+L?", "", keys) for keys in joins_of] == ["_own_test"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def some_tasks(spark, n=6000):
     r = random.Random(5)
     rows = []
