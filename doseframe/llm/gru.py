@@ -6,8 +6,9 @@ import numpy as np
 
 Params = dict[str, np.ndarray]
 EMBED, HIDDEN, PER_CLASS = 16, 24, 32  # classes grow with the vocabulary, from PER_CLASS tokens on
-CELLS = 1 << 22  # most probabilities of classes that are held at once
+CELLS = 1 << 17  # probabilities that are held at once, about: what a core's cache holds
 ROWS = 1 << 16  # states that are scored together, about
+SIDE = 1024  # documents that are scored side by side
 SMALL = 1 << 16  # up to so many tokens their input parts are worked out once
 
 
@@ -28,7 +29,12 @@ def new(counts: np.ndarray, seed: int = 7) -> Params:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(p: Params, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -36,8 +42,13 @@ def step(p: Params, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     gh = h @ p["wh"]
     zr = sigmoid(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
     z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], gh[:, 2 * HIDDEN :]
-    n = np.tanh(gx[:, 2 * HIDDEN :] + r * un)
-    return n + z * (h - n), z, r, n, un
+    n = r * un
+    n += gx[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, un
 
 
 def segments(targets: np.ndarray, per: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -50,49 +61,74 @@ def segments(targets: np.ndarray, per: int) -> tuple[np.ndarray, list[tuple[int,
 
 def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """exp(x) of rows, less their largest values where they would overflow; the sums; the logarithms of the sums of exp(x)."""
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         e = np.exp(x)
-        total = e.sum(axis=1)
-    if np.isfinite(total).all() and total.min(initial=1) > 0:
-        return e, total, np.log(total)
+        total = e @ np.ones(x.shape[1], x.dtype)
+        log = np.log(total)
+    if np.isfinite(log).all():
+        return e, total, log
     most = x.max(axis=1)
     e = np.exp(x - most[:, None])
     total = e.sum(axis=1)
     return e, total, np.log(total) + most
 
 
+def with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The weights and, below them, the bias: what rows that end in a one are multiplied by."""
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
+def with_ones(rows: np.ndarray) -> np.ndarray:
+    out = np.ones((len(rows), rows.shape[1] + 1), rows.dtype)
+    out[:, :-1] = rows
+    return out
+
+
+def blocks(begin: int, end: int, width: int) -> list[tuple[int, int]]:
+    """Ranges of rows of this width that hold CELLS together, about."""
+    most = max(64, CELLS // width)
+    return [(i, min(i + most, end)) for i in range(begin, end, most)]
+
+
 def log_probs(p: Params, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms of the targets' probabilities after states h: of the class, and of the token in its class."""
-    out, per, most = np.zeros(len(h), h.dtype), p["ww"].shape[2], max(1, CELLS // len(p["bc"]))
-    for k in range(0, len(h), most):
-        ys = targets[k : k + most]
-        order, parts = segments(ys, per)
-        own, ys = h[k : k + most][order], ys[order]
-        part = np.empty(len(own), h.dtype)
-        x = own @ p["wc"] + p["bc"]
-        at = np.arange(len(own))
-        part = x[at, ys // per] - exponentials(x)[2]
-        for c, i, j in parts:
-            x = own[i:j] @ p["ww"][c] + p["bw"][c]
-            part[i:j] += x[at[: j - i], ys[i:j] - c * per] - exponentials(x)[2]
-        out[k + order] = part
+    per = p["ww"].shape[2]
+    order, parts = segments(targets, per)
+    own, ys, at = with_ones(h[order]), targets[order], np.arange(len(h))
+    part, places, classes, words = np.empty(len(own), h.dtype), ys % per, with_bias(p["wc"], p["bc"]), with_bias(p["ww"], p["bw"])
+    for i, j in blocks(0, len(own), len(p["bc"])):
+        x = own[i:j] @ classes
+        part[i:j] = x[at[: j - i], ys[i:j] // per] - exponentials(x)[2]
+    for c, begin, end in parts:
+        for i, j in blocks(begin, end, per):
+            x = own[i:j] @ words[c]
+            part[i:j] += x[at[: j - i], places[i:j]] - exponentials(x)[2]
+    out = np.empty(len(h), h.dtype)
+    out[order] = part
     return out
 
 
 def scores(p: Params, docs: list[np.ndarray], end: int, rows: int = ROWS) -> np.ndarray:
     """Log-likelihood of each whole document; the state goes on from window to window until the document ends. A window
-    closes once it has `rows` states."""
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    sizes = np.array([len(docs[i]) for i in order], np.int64)
-    flat = np.concatenate([docs[i] for i in order]).astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
+    closes once it has `rows` states; SIDE documents of about one length go side by side."""
+    order, result = np.argsort([-len(d) for d in docs], kind="stable"), np.zeros(len(docs))
     small = len(p["embed"]) <= SMALL
     table = p["embed"] @ p["wx"] + p["b"] if small else None
+    for i in range(0, len(docs), SIDE):
+        own = order[i : i + SIDE]
+        result[own] = sided(p, [docs[k] for k in own], end, rows, table)
+    return result
+
+
+def sided(p: Params, docs: list[np.ndarray], end: int, rows: int, table: np.ndarray | None) -> np.ndarray:
+    """Log-likelihood of each document, the longest first; table: the tokens' input parts, if these are worked out."""
+    sizes, flat = np.array([len(d) for d in docs], np.int64), np.concatenate(docs).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
     out, h, previous = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), end)
     states, targets, owners, held, longest = [], [], [], 0, int(sizes[0]) if len(sizes) else 0
     actives = np.searchsorted(-sizes, -np.arange(longest), side="left")  # how many are longer than each place
     for s, active in enumerate(actives.tolist()):
-        gx = table[previous[:active]] if small else p["embed"][previous[:active]] @ p["wx"] + p["b"]
+        gx = table[previous[:active]] if table is not None else p["embed"][previous[:active]] @ p["wx"] + p["b"]
         h = step(p, gx, h[:active])[0]
         previous = flat[starts[:active] + s]
         states.append(h)
@@ -103,9 +139,7 @@ def scores(p: Params, docs: list[np.ndarray], end: int, rows: int = ROWS) -> np.
             got = log_probs(p, np.concatenate(states), np.concatenate(targets))
             out += np.bincount(np.concatenate([np.arange(n) for n in owners]), got, len(docs))
             states, targets, owners, held = [], [], [], 0
-    result = np.zeros(len(docs))
-    result[order] = out
-    return result
+    return out
 
 
 def gradients(p: Params, h0: np.ndarray, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Params, np.ndarray, float]:
@@ -126,24 +160,32 @@ def gradients(p: Params, h0: np.ndarray, inputs: np.ndarray, targets: np.ndarray
     count, per = max(1, len(seen)), p["ww"].shape[2]
     order, parts = segments(targets.ravel()[seen], per)
     rows = seen[order]
-    hs, ys, at = after.reshape(-1, HIDDEN)[rows], targets.ravel()[rows], np.arange(len(rows))
-    g = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+    hs, ys, at = with_ones(after.reshape(-1, HIDDEN)[rows]), targets.ravel()[rows], np.arange(len(rows))
+    of_class, of_word, places = with_bias(p["wc"], p["bc"]), with_bias(p["ww"], p["bw"]), ys % per
 
     def softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, float]:
         """The logits' gradient, and the loss."""
-        hit = logits[at[: len(own)], own]
+        seen = at[: len(own)]
+        hit = logits[seen, own]
         e, total, log = exponentials(logits)
         e *= (1 / (total * count))[:, None]
-        e[at[: len(own)], own] -= 1 / count
+        e[seen, own] -= 1 / count
         return e, float((log - hit).sum())
 
-    d, loss = softmax(hs @ p["wc"] + p["bc"], ys // per)
-    g["wc"], g["bc"], dh = hs.T @ d, d.sum(axis=0), d @ p["wc"].T
-    for c, i, j in parts:
-        d, more = softmax(hs[i:j] @ p["ww"][c] + p["bw"][c], ys[i:j] - c * per)
+    loss, dh, by_class, by_word, back = 0.0, np.empty((len(rows), HIDDEN), dtype), np.zeros_like(of_class), np.zeros_like(of_word), p["wc"].T.copy()
+    for i, j in blocks(0, len(rows), len(p["bc"])):
+        d, more = softmax(hs[i:j] @ of_class, ys[i:j] // per)
         loss += more
-        g["ww"][c], g["bw"][c] = hs[i:j].T @ d, d.sum(axis=0)
-        dh[i:j] += d @ p["ww"][c].T
+        by_class += hs[i:j].T @ d
+        dh[i:j] = d @ back
+    for c, begin, end in parts:
+        back = p["ww"][c].T
+        for i, j in blocks(begin, end, per):
+            d, more = softmax(hs[i:j] @ of_word[c], places[i:j])
+            loss += more
+            by_word[c] += hs[i:j].T @ d
+            dh[i:j] += d @ back
+    g = {"wc": by_class[:-1], "bc": by_class[-1], "ww": by_word[:, :-1], "bw": by_word[:, -1]}
     dstates = np.zeros((steps * batch, HIDDEN), dtype)
     dstates[rows] = dh
     dstates = dstates.reshape(shape)

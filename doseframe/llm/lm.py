@@ -30,7 +30,7 @@ TABLE = 1 << 19  # most frequent tokens whose counts are broadcast; the others'
 SHARDS, SHARD_TOKENS, ROUNDS = 4, 2_000_000, 3  # copies at least, tokens that one trains on at once, rounds in one pass
 FOLD = 16  # copies that a task averages
 CODED_TOKENS = 200_000  # tokens that are looked up together
-HELD_TOKENS, HELD_DOCS = 1_000_000, 6000
+HELD_TOKENS, HELD_DOCS = 4_000_000, 12_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:

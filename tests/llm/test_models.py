@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -249,6 +250,23 @@ def test_scores_go_on_over_windows_and_sum_to_one():
     assert abs(np.exp(gru.log_probs(p, np.repeat(h, 70, 0), np.arange(70))).sum() - 1) < 1e-4
 
 
+def test_scoring_holds_few_probabilities_at_once():
+    """Those of 60,000 states over 23,000 tokens are many times what a core's cache holds; they are made block by block."""
+    rng = np.random.default_rng(3)
+    p = gru.new(np.arange(23_000, 0, -1))
+    p = {k: v + (0.1 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in p.items()}
+    h, targets = (0.5 * rng.standard_normal((60_000, gru.HIDDEN))).astype(np.float32), rng.integers(0, 23_000, 60_000)
+    tracemalloc.start()
+    got = gru.log_probs(p, h, targets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    for i in range(0, 60_000, 997):
+        k, j = divmod(int(targets[i]), p["ww"].shape[2])
+        a, b = h[i].astype(np.float64) @ p["wc"] + p["bc"], h[i].astype(np.float64) @ p["ww"][k] + p["bw"][k]
+        assert abs(a[k] - np.log(np.exp(a).sum()) + b[j] - np.log(np.exp(b).sum()) - got[i]) < 1e-3
+
+
 def test_language_model(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (None, "the"), (-3, "The THE the")], docs.schema))
